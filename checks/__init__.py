@@ -2,12 +2,12 @@
 
 from importlib import import_module
 
-MODULES = ("intervals",)
+MODULES = ("intervals", "text", "turns", "stats")
 
 
 def load():
     for m in MODULES:
         import_module(f"checks.{m}")
-    from checks.registry import ORACLES, QUERIES
+    from checks.registry import QUERIES, oracle_texts
 
-    return dict(QUERIES), dict(ORACLES)
+    return dict(QUERIES), oracle_texts()

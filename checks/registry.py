@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from checks.adapters import PRELUDE, Tables
 
 QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[str, str]] = {}
 
 
 def check(name: str, sql: str | None = None, needs: str = ""):
@@ -18,7 +18,7 @@ def check(name: str, sql: str | None = None, needs: str = ""):
     def add(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_prelude(sql, needs)
+            ORACLES[name] = (sql, needs)
         return fn
 
     return add
@@ -40,6 +40,12 @@ def with_prelude(sql: str, needs: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{c} AS ({PRELUDE[c][1].strip()})" for c in wanted)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+def oracle_texts() -> dict[str, str]:
+    return {name: with_prelude(*parts) for name, parts in ORACLES.items()}

@@ -128,20 +128,29 @@ Lookup = Callable[[str], Column]
 
 
 def islands(
-    df: DataFrame, tl: Timeline, cols: Sequence[str], starts: Callable[[Lookup, Lookup], Column], name: str = "island", prev: str | None = None
+    df: DataFrame,
+    tl: Timeline,
+    cols: Sequence[str],
+    starts: Callable[[Lookup, Lookup], Column],
+    name: str = "island",
+    prev: str | None = None,
+    opening: str | None = None,
 ) -> DataFrame:
     """Gaps-and-islands: ``name`` is the position of the row that opened the island.
 
+    ``prev`` and ``opening`` optionally keep the ``cols`` of the row before and of the island's first row.
+
     ``starts(prev, cur)`` decides from two adjacent rows whether the second opens an island.  Inside a
     block it is a ``lag``; for a block's first row it is decided on the block summaries, so flags and
     ids cost one summary and one join together.
     """
     b = tl.blocked(df)
     row, pos = F.struct(*cols), tl.position
+    head = F.struct(pos.alias("pos"), row.alias("row"))
     cur = lambda c: F.col(c)
     b = b.withColumn("_prev", F.lag(row).over(tl.inside()))
     b = b.withColumn("_opens", F.when(F.col("_prev").isNotNull(), starts(lambda c: F.col(f"_prev.{c}"), cur)))
-    b = b.withColumn("_own", F.last(F.when(F.col("_opens"), pos), ignorenulls=True).over(tl.inside().rowsBetween(Window.unboundedPreceding, 0)))
+    b = b.withColumn("_own", F.last(F.when(F.col("_opens"), head), ignorenulls=True).over(tl.inside().rowsBetween(Window.unboundedPreceding, 0)))
     ordered = tl.across()
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
@@ -149,8 +158,8 @@ def islands(
         .agg(
             F.min_by(row, pos).alias("_first"),
             F.max_by(row, pos).alias("_last"),
-            F.min(pos).alias("_first_pos"),
-            F.max(F.when(F.col("_opens"), pos)).alias("_last_open"),
+            F.min_by(head, pos).alias("_first_head"),
+            F.max_by(head, F.when(F.col("_opens"), pos)).alias("_last_open"),
         )
         .withColumn("_before", F.lag("_last").over(ordered))
         .withColumn(
@@ -159,11 +168,14 @@ def islands(
                 F.coalesce(starts(lambda c: F.col(f"_before.{c}"), lambda c: F.col(f"_first.{c}")), F.lit(False))
             ),
         )
-        .withColumn("_head", F.when(F.col("_first_opens"), F.col("_first_pos")))
+        .withColumn("_head", F.when(F.col("_first_opens"), F.col("_first_head")))
         .withColumn("_carry", F.last(F.coalesce("_last_open", "_head"), ignorenulls=True).over(before))
         .select(*tl.block_keys, "_before", F.coalesce("_head", "_carry").alias("_inherited"))
     )
-    out = b.join(blocks, tl.block_keys, "inner").withColumn(name, F.coalesce("_own", "_inherited"))
+    out = b.join(blocks, tl.block_keys, "inner").withColumn("_own", F.coalesce("_own", "_inherited"))
+    out = out.withColumn(name, F.col("_own.pos"))
+    if opening:
+        out = out.withColumn(opening, F.col("_own.row"))
     if prev:
         out = out.withColumn(prev, F.coalesce("_prev", "_before"))
     return out.drop("_block", "_prev", "_opens", "_own", "_before", "_inherited")
@@ -173,3 +185,21 @@ def joined_text(text: Column, *order: str, sep: str = " ") -> Column:
     """``sep``-joined text of a group in order (the group's result is this one string)."""
     ordered = F.array_sort(F.collect_list(F.struct(*order, text.alias("_t"))))
     return F.array_join(F.transform(ordered, lambda s: s["_t"]), sep)
+
+
+def affine_in_blocks(df: DataFrame, keys: Sequence[str], order: str, keep: Column, add: Column, parts: dict[str, Column], whole: dict[str, Column]) -> DataFrame:
+    """Fold ``c <- keep * c + add`` over each group in order, without collecting a group.
+
+    Affine steps compose, so rows compose inside ``(keys, block)`` and block results compose per group.  ``parts``
+    are further block aggregates, ``whole`` combines them (they may read ``_block`` for order).
+    """
+    step = lambda acc, x: F.struct((acc["a"] * x["a"]).alias("a"), (acc["b"] * x["a"] + x["b"]).alias("b"))
+    unit = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), keep.alias("a"), add.alias("b"))))
+    blocks = (
+        df.withColumn("_block", F.floor(F.col(order) / ROWS_PER_BLOCK))
+        .groupBy(*keys, "_block")
+        .agg(F.aggregate(rows, unit, step).alias("_ab"), *[c.alias(n) for n, c in parts.items()])
+    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_block", "_ab"))), lambda x: x["_ab"])
+    return blocks.groupBy(*keys).agg(F.aggregate(ordered, unit, step)["b"].alias("folded"), *[c.alias(n) for n, c in whole.items()])

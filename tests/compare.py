@@ -54,7 +54,7 @@ def compare(spark, con, fn, sql, sf_dir):
         return len(got), f"ok (types differ: {[(n, dict(df.dtypes)[n], kinds[n]) for n in loose]})" if loose else "ok"
     left = [r for r in a if r not in set(b)][:3]
     right = [r for r in b if r not in set(a)][:3]
-    return len(got), f"MISMATCH {len(a)} vs {len(b)}\n   spark {left}\n   duck  {right}"
+    return len(got), f"MISMATCH {len(a)} vs {len(b)}\n   spark {str(left)[:700]}\n   duck  {str(right)[:700]}"
 
 
 def main():
