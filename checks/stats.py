@@ -18,7 +18,7 @@ def meetings(t):
 
 @check("a2_speaker_review", """
 SELECT a.*, coalesce(b.samples, '') AS samples FROM (
- SELECT meeting_id, speaker_id, count(*) AS turn_count, CAST(sum(greatest(0, end_ms - start_ms)) AS BIGINT) AS duration_ms, CAST(count_if(attribution_confidence < 0.8) AS BIGINT) AS low_confidence_turns,
+ SELECT meeting_id, speaker_id, count(*) AS turn_count, CAST(sum(greatest(0, end_ms - start_ms)) AS BIGINT) AS duration_ms, CAST(count_if(coalesce(attribution_confidence < 0.8, false)) AS BIGINT) AS low_confidence_turns,
   arg_min(speaker_name, ord) FILTER (speaker_name <> '') AS speaker_name, arg_min(suggested_speaker_name, ord) FILTER (suggested_speaker_name <> '') AS suggested_speaker_name,
   arg_min(suggested_speaker_confidence, ord) FILTER (suggested_speaker_name <> '') AS suggested_speaker_confidence FROM aligned GROUP BY 1, 2) a
 LEFT JOIN (SELECT meeting_id, speaker_id, string_agg(CASE WHEN length(x) > 140 THEN left(x, 140) || '...' ELSE x END, '|' ORDER BY rn) AS samples FROM (
@@ -59,14 +59,14 @@ def loopy(t):
 
 
 PRELUDE["repeats"] = ("loopy", """
-SELECT meeting_id, ord, size, min(i) - 1 AS at FROM (SELECT meeting_id, ord, x, size, unnest(range(1, length(x) - 2 * size + 1)) AS i FROM (
+SELECT meeting_id, ord, size, min(i) - 1 AS pos FROM (SELECT meeting_id, ord, x, size, unnest(range(1, length(x) - 2 * size + 1)) AS i FROM (
   SELECT meeting_id, ord, lower(text) AS x, unnest(range(20, 101)) AS size FROM loopy WHERE length(text) >= 100) WHERE length(x) > 2 * size)
 WHERE substring(x, i, size) = substring(x, i + size, size) GROUP BY ALL""")
 
 
-@check("a6_repeated_text", "SELECT meeting_id, ord, CAST(size AS INT) AS size, CAST(at AS INT) AS at FROM repeats", "repeats")
+@check("a6_repeated_text", "SELECT meeting_id, ord, CAST(size AS INT) AS size, CAST(pos AS INT) AS first_at FROM repeats", "repeats")
 def _(t):
-    return ql.repeated_text(loopy(t)).select("meeting_id", "ord", "size", "at")
+    return ql.repeated_text(loopy(t)).select("meeting_id", "ord", "size", F.col("at").alias("first_at"))
 
 
 @check("a7_dense_text", "SELECT meeting_id, ord FROM loopy WHERE end_ms > start_ms AND length(text) * 1000 > 200 * (end_ms - start_ms)", "loopy")
@@ -96,11 +96,11 @@ def _(t):
 
 
 @check("a9_alignment_quality", """
-SELECT m.meeting_id, missing_speaker, inverted, out_of_order, empty, coalesce(at, '') AS missing_at,
+SELECT m.meeting_id, missing_speaker, inverted, out_of_order, empty, coalesce(att, '') AS missing_at,
  CASE WHEN n IS NULL THEN 0 ELSE 100 - CASE WHEN missing_speaker > 0 THEN 50 ELSE 0 END - CASE WHEN out_of_order > 0 THEN 20 ELSE 0 END - CASE WHEN empty > 0 THEN 5 ELSE 0 END END::DOUBLE AS score,
  coalesce(missing_speaker = 0 AND inverted = 0, false) AS passed FROM meetings m LEFT JOIN (
  SELECT meeting_id, count(*) AS n, CAST(count_if(sp = '') AS BIGINT) AS missing_speaker, CAST(count_if(e < start_ms) AS BIGINT) AS inverted, CAST(count_if(start_ms < pe) AS BIGINT) AS out_of_order, CAST(count_if(trim(text) = '') AS BIGINT) AS empty,
-  array_to_string(list_slice(list_sort(list(ord) FILTER (sp = '')), 1, 10), ',') AS at FROM (
+  array_to_string(list_slice(list_sort(list(ord) FILTER (sp = '')), 1, 10), ',') AS att FROM (
   SELECT *, lag(e) OVER (PARTITION BY meeting_id ORDER BY ord) AS pe FROM (SELECT *, CASE WHEN ord % 40 = 0 THEN start_ms - 5 ELSE end_ms + (ord % 19 = 0)::INT * 5000 END AS e, CASE WHEN ord % 3 = 0 AND meeting_id % 2 = 0 THEN '' ELSE speaker_id END AS sp FROM aligned))
  GROUP BY 1) USING (meeting_id)""", "meetings aligned")
 def _(t):
@@ -263,7 +263,7 @@ def _(t):
 
 
 @check("o5_first_rows", """
-SELECT a.meeting_id, a.rn, coalesce(x, '') AS all_rows, coalesce(y, '') AS user_rows FROM (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY ord) AS rn, text AS x FROM segments QUALIFY rn <= 10) a
-FULL JOIN (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY ord) AS rn, text AS y FROM segments WHERE speaker_id = 'user' QUALIFY rn <= 10) b ON a.meeting_id = b.meeting_id AND a.rn = b.rn""", "segments")
+SELECT a.meeting_id, a.rn, coalesce(x, '') AS all_rows, coalesce(y, '') AS user_rows FROM (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY ord) AS rn, text AS x FROM segments) a
+LEFT JOIN (SELECT meeting_id, row_number() OVER (PARTITION BY meeting_id ORDER BY ord) AS rn, text AS y FROM segments WHERE speaker_id = 'user') b ON a.meeting_id = b.meeting_id AND a.rn = b.rn WHERE a.rn <= 10""", "segments")
 def _(t):
     return st.side_by_side({"all_rows": t.segments, "user_rows": t.segments.where("speaker_id = 'user'")}, ["meeting_id"], "ord", "text", first=10)

@@ -6,6 +6,9 @@ accented letters count as non-word characters.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -179,10 +182,6 @@ def compose(c) -> Column:
 
 
 def _nfc_udf():
-    import unicodedata
-
-    import pandas as pd
-
     def nfc(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,9 +54,6 @@ def audio_quality(meta: DataFrame) -> DataFrame:
 
 
 def _repeat_finder():
-    import numpy as np
-    import pandas as pd
-
     def find(texts: pd.Series) -> pd.Series:
         def one(t):
             if t is None:
