@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from parlance.functions import text as tx
 from parlance.operators.intervals import gap_series
@@ -73,7 +74,7 @@ def _repeat_finder():
 
         return texts.map(one)
 
-    return F.pandas_udf(find, "array<struct<size:int,at:int>>")
+    return F.pandas_udf(find, "array<struct<size:int,at:int>>", PandasUDFType.SCALAR)
 
 
 def repeated_text(segments: DataFrame) -> DataFrame:
