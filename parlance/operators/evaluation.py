@@ -6,11 +6,12 @@ over rows; everything counted afterwards is ordinary aggregation.
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from parlance.functions import text as tx
 from parlance.operators.intervals import interval_join
@@ -19,6 +20,7 @@ from parlance.session import cut
 
 PUNCT_CLASSES = [".", ",", "?", "!", ":", ";"]
 SENTENCE_ENDS = [".", "!", "?"]
+SMALL_GRID = 250_000
 
 
 # ---- sequence comparison ----------------------------------------------------------------------
@@ -30,6 +32,15 @@ def _codes(a, b) -> tuple[np.ndarray, np.ndarray]:
 
 def matching_blocks(a, b) -> list[tuple[int, int, int]]:
     """Longest common block first (earliest in ``a``, then in ``b``), then the same left and right of it."""
+    if a == b:
+        return [(0, 0, len(a))] if a else []
+    if len(a) * len(b) <= SMALL_GRID:
+        return [tuple(m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+    return _blocks_by_rows(a, b)
+
+
+def _blocks_by_rows(a, b) -> list[tuple[int, int, int]]:
+    """The same blocks for long lists, whose frequent words make the per-word index slow."""
     x, y = _codes(a, b)
     todo, out = [(0, len(x), 0, len(y))], []
     while todo:
@@ -60,7 +71,7 @@ def _blocks(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def blocks_of(a, b) -> Column:
     """matching blocks of two token arrays."""
-    return F.pandas_udf(_blocks, "array<struct<a:int,b:int,size:int>>", PandasUDFType.SCALAR)(a, b)
+    return F.pandas_udf(_blocks, "array<struct<a:int,b:int,size:int>>")(a, b)
 
 
 def similarity_ratio(a: Column, b: Column) -> Column:
@@ -73,6 +84,14 @@ def similarity_ratio(a: Column, b: Column) -> Column:
 def edit_counts(ref: list, hyp: list) -> dict:
     """Fewest edits between two token lists and, among those alignments, the most hits."""
     x, y = _codes(ref, hyp)
+    # Equal ends can be aligned with each other without giving up edits or hits.
+    k = min(len(x), len(y))
+    head = k if (x[:k] == y[:k]).all() else int((x[:k] != y[:k]).argmax())
+    x, y = x[head:], y[head:]
+    k = min(len(x), len(y))
+    back = (x[len(x) - k :] == y[len(y) - k :])[::-1]
+    tail = k if back.all() else int((~back).argmax())
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
     n, m = len(x), len(y)
     unit = n + m + 1
     steps = np.arange(m + 1, dtype=np.int64) * unit
@@ -85,7 +104,7 @@ def edit_counts(ref: list, hyp: list) -> dict:
     edits = -(-value // unit)
     hits = edits * unit - value
     subs = n + m - 2 * hits - edits
-    return {"hits": hits, "substitutions": subs, "deletions": n - hits - subs, "insertions": m - hits - subs}
+    return {"hits": head + tail + hits, "substitutions": subs, "deletions": n - hits - subs, "insertions": m - hits - subs}
 
 
 def _edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
@@ -94,7 +113,7 @@ def _edits(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
 
 def edits_of(ref, hyp) -> Column:
     """word edit alignment counts."""
-    return F.pandas_udf(_edits, "struct<hits:int,substitutions:int,deletions:int,insertions:int>", PandasUDFType.SCALAR)(ref, hyp)
+    return F.pandas_udf(_edits, "struct<hits:int,substitutions:int,deletions:int,insertions:int>")(ref, hyp)
 
 
 def word_errors(pairs: DataFrame) -> DataFrame:
