@@ -168,9 +168,9 @@ FROM (SELECT DISTINCT meeting_id, ord // 5 AS k FROM segments)""")
 
 @check("j10_topic_slices", """
 SELECT t.meeting_id, t.topic_no, t.name, s.ord - 1 AS idx FROM (
-  SELECT meeting_id, topic_no, name, greatest(0, least(start_idx, mx)) AS a, greatest(0, least(end_idx, mx)) AS b
-  FROM topics JOIN (SELECT meeting_id, max(ord) - 1 AS mx FROM segments GROUP BY 1) USING (meeting_id) WHERE trim(name) <> '') t
-JOIN segments s ON s.meeting_id = t.meeting_id AND s.ord - 1 BETWEEN t.a AND t.b WHERE t.b >= t.a""", "topics segments")
+  SELECT meeting_id, topic_no, name, least(start_idx, mx) AS a, least(end_idx, mx) AS b
+  FROM topics JOIN (SELECT meeting_id, max(ord) - 1 AS mx FROM segments GROUP BY 1) USING (meeting_id) WHERE trim(name) <> '' AND start_idx >= 0 AND end_idx >= start_idx) t
+JOIN segments s ON s.meeting_id = t.meeting_id AND s.ord - 1 BETWEEN t.a AND t.b""", "topics segments")
 def _(t):
     k = F.floor(F.col("ord") / 5)
     topics = t.segments.select("meeting_id", k.alias("topic_no")).distinct()

@@ -177,15 +177,14 @@ def window_members(windows: DataFrame, segments: DataFrame, width: int = 300_000
 def topic_slices(turns: DataFrame, topics: DataFrame, block: int = 256) -> DataFrame:
     """Turns whose dense index lies in a topic's inclusive range.
 
-    Indices are clamped to the meeting's last turn; inverted and nameless topics are dropped.  The range is
+    Negative, inverted and nameless topics are dropped, then indices are clamped to the last turn.  The range is
     matched through index blocks, so the join key is ``(meeting, block)``.
     """
     last = turns.groupBy("meeting_id").agg(F.max("idx").alias("last_idx"))
     t = (
         topics.join(last, "meeting_id")
-        .where(F.trim(F.coalesce("name", F.lit(""))) != "")
-        .withColumns({"start_idx": F.greatest(F.lit(0), F.least("start_idx", "last_idx")), "end_idx": F.greatest(F.lit(0), F.least("end_idx", "last_idx"))})
-        .where("end_idx >= start_idx")
+        .where((F.trim(F.coalesce("name", F.lit(""))) != "") & (F.col("start_idx") >= 0) & (F.col("end_idx") >= F.col("start_idx")))
+        .withColumns({"start_idx": F.least("start_idx", "last_idx"), "end_idx": F.least("end_idx", "last_idx")})
         .withColumn("_ib", F.explode(F.sequence(F.floor(F.col("start_idx") / block), F.floor(F.col("end_idx") / block))))
         .drop("last_idx")
     )

@@ -437,13 +437,8 @@ def phrase_context(aligned: DataFrame, phrases: list[str], before: int = 2, afte
     return idx.join(near.distinct(), ["meeting_id", "idx"], "left_semi")
 
 
-def split_by_sentences(segments: DataFrame) -> DataFrame:
-    """Segments of 6 s or more cut after sentence ends, times proportional to characters.
-
-    Pieces under 0.4 s are glued to the piece before, which only looks back: a fold over one row's pieces.
-    """
-    text, dur = F.col("text"), F.col("end_ms") - F.col("start_ms")
-    n = F.greatest(F.lit(1), F.length(text))
+def _sentence_slices(text: Column) -> Column:
+    """Character ranges between sentence ends with their stripped text; blank ranges are left out."""
     ends = F.split(F.regexp_replace(text, "(?U)([.!?]+[\"')\\]»]?\\s+)", "$1\ue000"), "\ue000")
     bounds = F.aggregate(
         ends,
@@ -453,12 +448,52 @@ def split_by_sentences(segments: DataFrame) -> DataFrame:
             F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), (acc["at"] + F.length(x)).alias("b"), tx.strip(x).alias("t")))).alias("out"),
         ),
     )["out"]
-    slices = F.filter(bounds, lambda s: s["t"] != "")
+    return F.filter(bounds, lambda s: s["t"] != "")
+
+
+def _located_words(text: Column, words: Column) -> Column:
+    """Words with the character range at which each is found, searching left to right; missing ones are left out."""
+    kind = "array<struct<a:int,b:int,s:double,e:double>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, w: Column) -> Column:
+        tok = tx.strip(w["word"])
+        hit = F.when(tok != "", _find(text, tok, acc["at"])).otherwise(F.lit(0))
+        found = F.struct((hit - 1).alias("a"), (hit - 1 + F.length(tok)).alias("b"), w["start_ms"].cast("double").alias("s"), w["end_ms"].cast("double").alias("e"))
+        return F.when(hit > 0, F.struct((hit - 1 + F.length(tok)).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))).otherwise(acc)
+
+    return F.aggregate(words, start, step)["out"]
+
+
+def split_by_sentences(segments: DataFrame, words: str | None = None) -> DataFrame:
+    """Segments of 6 s or more cut after sentence ends.
+
+    A piece's times come from the words found in it (``words`` names an array of word structs), otherwise from its
+    share of the characters.  Pieces under 0.4 s are glued to the piece before, which only looks back: a fold over
+    one row's pieces.
+    """
+    text, dur = F.col("text"), F.col("end_ms") - F.col("start_ms")
+    n = F.greatest(F.lit(1), F.length(text))
     at = lambda c: F.col("start_ms") + dur * c / n
     piece = "array<struct<s:double,e:double,t:string>>"
+    df = segments.withColumn("_slices", _sentence_slices(text))
+    df = df.withColumn("_found", _located_words(text, F.col(words)) if words else F.array().cast("array<struct<a:int,b:int,s:double,e:double>>"))
+
+    def times(x: Column) -> tuple[Column, Column]:
+        mine = F.filter("_found", lambda w: (w["a"] < x["b"]) & (w["b"] > x["a"]))
+        s, e = F.array_min(F.transform(mine, lambda w: w["s"])), F.array_max(F.transform(mine, lambda w: w["e"]))
+        # Words without a usable span fall back to the whole segment's bounds.
+        usable = F.coalesce(e > s, F.lit(False))
+        if not words:
+            return at(x["a"]), at(x["b"])
+        whole = (F.size(F.col(words)) > 0) & (dur > 0)
+        return (
+            F.when(usable, s).when(whole, F.col("start_ms").cast("double")).otherwise(at(x["a"])),
+            F.when(usable, e).when(whole, F.col("end_ms").cast("double")).otherwise(at(x["b"])),
+        )
 
-    def glue(acc, x):
-        s, e = at(x["a"]), at(x["b"])
+    def glue(acc: Column, x: Column) -> Column:
+        s, e = times(x)
         last = F.element_at(acc, -1)
         merged = F.struct(last["s"].alias("s"), F.greatest(last["e"], e, last["s"]).alias("e"), F.concat_ws(" ", last["t"], x["t"]).alias("t"))
         short = ((e - s) < MIN_PIECE_MS) & (F.size(acc) > 0)
@@ -466,10 +501,10 @@ def split_by_sentences(segments: DataFrame) -> DataFrame:
             F.concat(acc, F.array(F.struct(s.cast("double").alias("s"), e.cast("double").alias("e"), x["t"].alias("t"))))
         )
 
-    pieces = F.aggregate(slices, F.array().cast(piece), glue)
+    pieces = F.aggregate("_slices", F.array().cast(piece), glue)
     whole = F.array(F.struct(F.col("start_ms").cast("double").alias("s"), F.col("end_ms").cast("double").alias("e"), text.alias("t")))
-    chosen = F.when((dur < SENTENCE_SPLIT_MS) | (F.size(slices) <= 1), whole).otherwise(pieces)
-    out = segments.withColumn("_p", chosen).select(*segments.columns, F.size("_p").alias("_n"), F.posexplode("_p").alias("piece", "_x"))
+    chosen = F.when((dur < SENTENCE_SPLIT_MS) | (F.size("_slices") <= 1), whole).otherwise(pieces)
+    out = df.withColumn("_p", chosen).select(*segments.columns, F.size("_p").alias("_n"), F.posexplode("_p").alias("piece", "_x"))
     first, last = F.col("piece") == 0, F.col("piece") == F.col("_n") - 1
     s = F.when(first, F.col("start_ms").cast("double")).otherwise(F.greatest(F.col("start_ms").cast("double"), F.col("_x.s")))
     e = F.when(last, F.col("end_ms").cast("double")).otherwise(F.least(F.col("end_ms").cast("double"), F.col("_x.e")))
