@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.operators.ordered import by_position, running_totals
+from parlance.session import cut
 
+_STAGED: dict[tuple[str, str], DataFrame] = {}
 GAP_STEP_MS = 600
 MS_PER_CHAR = 60
 
@@ -22,7 +24,14 @@ class Tables:
 
     @cached_property
     def segments(self) -> DataFrame:
-        """One row per non-empty line of a conversation turn, laid out on a millisecond clock."""
+        """The segment table of these files, laid out once per application and stored like any base table."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _STAGED:
+            _STAGED[key] = cut(self._laid_out())
+        return _STAGED[key]
+
+    def _laid_out(self) -> DataFrame:
+        """One row per non-empty line of a conversation turn, on a millisecond clock."""
         lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
         turns = self.table("conversations").select(
             F.col("conv_id").alias("meeting_id"), "turn", F.col("role").alias("speaker_id"), lines.alias("lines")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.ordered import Timeline, dense_index, islands, neighbours
+from parlance.session import cut
 
 # Job states.
 ACTIVE_STATES = ["uploaded", "preprocessing", "transcribing", "diarizing", "aligning", "summarizing", "qa_validating", "formatting", "retrying"]
@@ -75,6 +76,7 @@ def stage_timeline(events: DataFrame) -> DataFrame:
     runs = islands(events, tl, ["state"], lambda p, c: p("state") != c("state"), name="run")
     per = runs.groupBy("job_id", "run").agg(F.first("state").alias("state"), F.min("at_ms").alias("start_ms"), F.max("at_ms").alias("last_ms"), F.min_by("progress", F.struct("at_ms", "event_id")).alias("progress_at_start"))
     per = per.select("job_id", F.col("run.at_ms").alias("at_ms"), F.col("run.event_id").alias("event_id"), "state", "start_ms", "last_ms", "progress_at_start")
+    per = cut(per)
     nxt = neighbours(per, tl, ["start_ms"], prev=None, following="nxt")
     end = F.coalesce("nxt.start_ms", "last_ms")
     out = nxt.withColumns({"end_ms": end, "duration_ms": end - F.col("start_ms")}).drop("nxt", "last_ms")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.operators.ordered import BLOCK_MS, Timeline, by_time, fill, islands, neighbours
+from parlance.session import cut
 
 # Fixed values of the attribution rules (milliseconds and ratios).
 OVERLAP_SHARE = 0.10
@@ -111,9 +112,10 @@ def nearest_speaker(unmatched: DataFrame, diarization: DataFrame) -> DataFrame:
 def align(segments: DataFrame, diarization: DataFrame, width: int = BUCKET_MS) -> DataFrame:
     """Who said what: J1-J5 for every segment; meetings without diarisation get the default speaker."""
     seg = ordered_bounds(segments)
-    won = attribute(overlap_join(seg.select("meeting_id", "ord", "start_ms", "end_ms"), diarization, width))
+    # A narrow table read three times below: staged instead of joining the intervals three times.
+    won = cut(attribute(overlap_join(seg.select("meeting_id", "ord", "start_ms", "end_ms"), diarization, width)))
     joined = seg.join(won.select("meeting_id", "ord", "speaker_id", "speaker_name", "attribution_confidence"), ["meeting_id", "ord"], "left")
-    near = nearest_speaker(seg.join(won.select("meeting_id", "ord"), ["meeting_id", "ord"], "left_anti"), diarization)
+    near = nearest_speaker(seg.select("meeting_id", "ord", "start_ms", "end_ms").join(won.select("meeting_id", "ord"), ["meeting_id", "ord"], "left_anti"), diarization)
     near = near.select("meeting_id", "ord", F.col("speaker_id").alias("near_id"), F.col("speaker_name").alias("near_name"))
     return (
         joined.join(near, ["meeting_id", "ord"], "left")

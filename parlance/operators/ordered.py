@@ -135,10 +135,12 @@ def islands(
     name: str = "island",
     prev: str | None = None,
     opening: str | None = None,
+    following: str | None = None,
 ) -> DataFrame:
     """Gaps-and-islands: ``name`` is the position of the row that opened the island.
 
-    ``prev`` and ``opening`` optionally keep the ``cols`` of the row before and of the island's first row.
+    ``prev``, ``following`` and ``opening`` optionally keep the ``cols`` of the row before, of the row after and of
+    the island's first row.
 
     ``starts(prev, cur)`` decides from two adjacent rows whether the second opens an island.  Inside a
     block it is a ``lag``; for a block's first row it is decided on the block summaries, so flags and
@@ -149,6 +151,8 @@ def islands(
     head = F.struct(pos.alias("pos"), row.alias("row"))
     cur = lambda c: F.col(c)
     b = b.withColumn("_prev", F.lag(row).over(tl.inside()))
+    if following:
+        b = b.withColumn("_next", F.lead(row).over(tl.inside()))
     b = b.withColumn("_opens", F.when(F.col("_prev").isNotNull(), starts(lambda c: F.col(f"_prev.{c}"), cur)))
     b = b.withColumn("_own", F.last(F.when(F.col("_opens"), head), ignorenulls=True).over(tl.inside().rowsBetween(Window.unboundedPreceding, 0)))
     ordered = tl.across()
@@ -170,7 +174,8 @@ def islands(
         )
         .withColumn("_head", F.when(F.col("_first_opens"), F.col("_first_head")))
         .withColumn("_carry", F.last(F.coalesce("_last_open", "_head"), ignorenulls=True).over(before))
-        .select(*tl.block_keys, "_before", F.coalesce("_head", "_carry").alias("_inherited"))
+        .withColumn("_after", F.lead("_first").over(ordered) if following else F.lit(None))
+        .select(*tl.block_keys, "_before", "_after", F.coalesce("_head", "_carry").alias("_inherited"))
     )
     out = b.join(blocks, tl.block_keys, "inner").withColumn("_own", F.coalesce("_own", "_inherited"))
     out = out.withColumn(name, F.col("_own.pos"))
@@ -178,7 +183,9 @@ def islands(
         out = out.withColumn(opening, F.col("_own.row"))
     if prev:
         out = out.withColumn(prev, F.coalesce("_prev", "_before"))
-    return out.drop("_block", "_prev", "_opens", "_own", "_before", "_inherited")
+    if following:
+        out = out.withColumn(following, F.coalesce("_next", "_after"))
+    return out.drop("_block", "_prev", "_next", "_opens", "_own", "_before", "_after", "_inherited")
 
 
 def joined_text(text: Column, *order: str, sep: str = " ") -> Column:

@@ -112,17 +112,14 @@ def _whole_parts() -> dict[str, Column]:
     }
 
 
+def _breaks_turn(gap_ms: int):
+    return lambda p, c: ~p("speaker_id").eqNullSafe(c("speaker_id")) | (c("start_ms") - p("end_ms") >= gap_ms)
+
+
 def turn_islands(aligned: DataFrame, gap_ms: int = TURN_GAP_MS) -> DataFrame:
-    """W3 grouping: a new turn at a speaker change or a gap of ``gap_ms``; keeps the row before and the turn's first row."""
-    return islands(
-        aligned,
-        by_position(),
-        ["speaker_id", "start_ms", "end_ms", "text"],
-        lambda p, c: ~p("speaker_id").eqNullSafe(c("speaker_id")) | (c("start_ms") - p("end_ms") >= gap_ms),
-        name="turn",
-        prev="prev",
-        opening="opened",
-    )
+    """W3 grouping: a new turn at a speaker change or a gap of ``gap_ms``; keeps the rows around and the turn's first row."""
+    cols = ["speaker_id", "start_ms", "end_ms", "text"]
+    return islands(aligned, by_position(), cols, _breaks_turn(gap_ms), name="turn", prev="prev", opening="opened", following="nxt")
 
 
 def build_turns(aligned: DataFrame, gap_ms: int = TURN_GAP_MS) -> DataFrame:
@@ -132,10 +129,10 @@ def build_turns(aligned: DataFrame, gap_ms: int = TURN_GAP_MS) -> DataFrame:
     ``c <- (c * span + conf * dur) / (span + dur)`` is affine in ``c`` once the turn's start is known.
     """
     rows = aligned.withColumn("text", F.coalesce("text", F.lit("")))
-    isl = neighbours(turn_islands(rows, gap_ms), by_position(), ["turn", "start_ms"], prev=None, following="nxt")
+    isl = turn_islands(rows, gap_ms)
     here = tx.strip("text")
     inside = F.col("turn") < F.col("ord")
-    goes_on = F.col("nxt.turn") == F.col("turn")
+    goes_on = F.col("nxt").isNotNull() & ~_breaks_turn(gap_ms)(F.col, lambda c: F.col(f"nxt.{c}"))
     left = F.when(inside, tx.seam_case(tx.strip("prev.text"), here, F.col("start_ms") - F.col("prev.end_ms"))).otherwise(here)
     right = F.when(goes_on, tx.seam_suffix(here, F.col("nxt.start_ms") - F.col("end_ms"))).otherwise(F.lit(""))
     span = F.greatest(F.lit(1), F.col("prev.end_ms") - F.col("opened.start_ms"))
@@ -262,7 +259,7 @@ def dedupe_chunk_overlap(chunks: DataFrame, max_words: int = OVERLAP_WORDS, min_
             "tail": F.when(F.size("words") <= 2 * max_words, norm).otherwise(F.slice(norm, -2 * max_words, 2 * max_words)),
         }
     )
-    df = neighbours(df, by_position(), ["n", "tail"], prev="prev")
+    chains = islands(df, by_position(), ["n", "tail"], lambda p, c: p("n") >= 2 * max_words, name="chain", prev="prev")
 
     def stripped(before: int) -> Column:
         left = F.greatest(F.lit(0), F.col("prev.n") - before)
@@ -278,8 +275,7 @@ def dedupe_chunk_overlap(chunks: DataFrame, max_words: int = OVERLAP_WORDS, min_
         return F.when(F.col("prev").isNull() | (best == 0) | (pos < 0), F.lit(0)).otherwise(best)
 
     table = F.array(*[stripped(b) for b in range(max_words + 1)])
-    df = df.withColumn("table", table).withColumn("reset", F.col("prev").isNull() | (F.col("prev.n") >= 2 * max_words))
-    chains = islands(df.drop("prev"), by_position(), ["reset"], lambda p, c: c("reset"), name="chain")
+    chains = chains.withColumn("table", table).drop("prev")
     # Long chains (many short chunks in a row) are composed per block first.
     chains = chains.withColumn("_block", F.floor(F.col("ord") / CHAIN_BLOCK))
     ident = F.array(*[F.lit(i) for i in range(max_words + 1)])
@@ -298,7 +294,7 @@ def dedupe_chunk_overlap(chunks: DataFrame, max_words: int = OVERLAP_WORDS, min_
     end = _end_of_words(F.col("text"), F.slice("words", 1, F.col("cut")))
     text = F.when(F.col("cut") > 0, F.ltrim(F.substr("text", end + 1), F.lit(" \t,.;:!?-—–"))).otherwise(F.col("text"))
     return applied.withColumns({"text": text, "words": F.slice("words", F.col("cut") + 1, F.greatest(F.lit(0), F.col("n") - F.col("cut")))}).drop(
-        "n", "head", "tail", "table", "reset", "chain", "_block", "enter"
+        "n", "head", "tail", "table", "chain", "_block", "enter"
     )
 
 

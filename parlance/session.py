@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +40,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df):
-    """Materialise a stage so that later stages neither recompute it nor carry its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a stage to the shared folder and read it back.
+
+    Later stages then neither recompute it nor carry its lineage, a lost executor costs only its own tasks, and
+    readers still get column pruning and filters pushed to the files.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
