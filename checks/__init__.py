@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("intervals", "text", "turns", "stats", "people", "items", "evaluation", "catalog", "plans")
+MODULES = ("intervals", "text", "turns", "stats", "people", "items", "evaluation", "catalog", "plans", "streams")
 
 
 def load():

@@ -174,3 +174,11 @@ def online_turns(segments: DataFrame, path: str, checkpoint: str, delay: str = "
         build_turns(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return closed_turn_segments(segments, delay).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(build).trigger(availableNow=True).start()
+
+
+def stalled_now(events: DataFrame, timeout_ms: int) -> DataFrame:
+    """T3 on a table: jobs whose newest event is active and older than the newest event of all by the timeout."""
+    now = events.agg(F.max("at_ms").alias("now_ms"))
+    newest = latest_states(events).where(F.col("state").isin(*ACTIVE_STATES))
+    # `now` is one row: a scalar comparison, not a join of two tables.
+    return newest.where(F.col("at_ms") + timeout_ms <= now.scalar()).select("job_id", F.col("state").alias("last_state"), "at_ms")
