@@ -207,9 +207,7 @@ def duplicate_edges(items: DataFrame) -> DataFrame:
     The meeting's items are cut into blocks; every pair of blocks is one bounded task that returns only the
     pairs that are duplicates.
     """
-    sec = tx.timestamp_seconds("timestamp")
-    n = items.select("meeting_id", "idx", "candidate", tx.item_normalise("text").alias("t"), tx.item_normalise("evidence").alias("e"), sec.alias("s"))
-    n = n.withColumn("blk", F.floor(F.col("idx") / ITEMS_PER_BLOCK))
+    n = items.withColumn("blk", F.floor(F.col("idx") / ITEMS_PER_BLOCK))
     last = n.groupBy("meeting_id").agg(F.max("blk").alias("last_blk"))
     n = n.join(last, "meeting_id")
     own = n.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_blk"))))
@@ -244,15 +242,18 @@ def fuzzy_union(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     cols = ["meeting_id", "ord", "kind", "text", "evidence", "timestamp"]
     both = existing.select(*cols, F.lit(False).alias("candidate")).unionByName(candidates.select(*cols, F.lit(True).alias("candidate")))
-    both = both.withColumn("o", F.col("ord") * 2 + F.col("candidate").cast("int"))
     # Existing items come first: order by (candidate, ord) through one integer.
     width = both.groupBy("meeting_id").agg((F.max("ord") + 1).alias("w"))
-    both = both.join(width, "meeting_id").withColumn("seq", F.col("ord") + F.when(F.col("candidate"), F.col("w")).otherwise(0)).drop("o", "w")
-    items = cut(dense_index(both, by_position(order="seq"), "idx").withColumn("idx", F.col("idx").cast("long")))
+    both = both.join(width, "meeting_id").withColumn("seq", F.col("ord") + F.when(F.col("candidate"), F.col("w")).otherwise(0)).drop("w")
+    forms = {"t": tx.item_normalise("text"), "e": tx.item_normalise("evidence"), "s": tx.timestamp_seconds("timestamp")}
+    both = cut(both.withColumns(forms))
+    # Rows that agree in text, evidence and time stand or fall together behind the first of them, so copies are
+    # reduced to that one before anything is compared.
+    firsts = both.where("t <> ''").groupBy("meeting_id", "t", "e", "s").agg(F.min(F.struct("seq", "candidate")).alias("f"))
+    firsts = firsts.select("meeting_id", "t", "e", "s", F.col("f.seq").alias("seq"), F.col("f.candidate").alias("candidate"))
+    items = cut(dense_index(firsts, by_position(order="seq"), "idx").withColumn("idx", F.col("idx").cast("long")))
     edges = cut(duplicate_edges(items))
-    empty = tx.item_normalise("text") == ""
-    state = items.select("meeting_id", "idx", F.when(~F.col("candidate"), 1).when(empty, -1).otherwise(0).alias("st"))
-    state = cut(state)
+    state = cut(items.select("meeting_id", "idx", F.when(~F.col("candidate"), 1).otherwise(0).alias("st")))
     while not state.where("st = 0").isEmpty():
         e = edges.join(state.select("meeting_id", F.col("idx").alias("earlier"), F.col("st").alias("est")), ["meeting_id", "earlier"])
         seen = e.groupBy("meeting_id", F.col("later").alias("idx")).agg(F.max(F.col("est") == 1).alias("dup"), F.max(F.col("est") == 0).alias("open"))
@@ -264,5 +265,6 @@ def fuzzy_union(existing: DataFrame, candidates: DataFrame) -> DataFrame:
                 F.when(F.col("st") != 0, F.col("st")).when(F.coalesce("dup", F.lit(False)), -1).when(F.coalesce("open", F.lit(False)), 0).otherwise(1).alias("st"),
             )
         )
-    kept = state.where("st = 1").select("meeting_id", "idx")
-    return items.join(kept, ["meeting_id", "idx"], "left_semi").drop("seq")
+    kept = items.where("candidate").join(state.where("st = 1"), ["meeting_id", "idx"], "left_semi").select("meeting_id", "seq")
+    accepted = both.where("candidate").join(kept, ["meeting_id", "seq"], "left_semi")
+    return both.where("not candidate").unionByName(accepted).select(*cols, "candidate", "seq")
