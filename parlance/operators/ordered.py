@@ -49,6 +49,12 @@ class Timeline:
     def across(self):
         return Window.partitionBy(*self.keys).orderBy("_block")
 
+    def inside_reversed(self):
+        return Window.partitionBy(*self.block_keys).orderBy(*[F.desc(c) for c in self.order])
+
+    def across_reversed(self):
+        return Window.partitionBy(*self.keys).orderBy(F.desc("_block"))
+
     def inherit(self, df: DataFrame, summary: Sequence[Column], carried: Sequence[Column]) -> DataFrame:
         """Join what each block inherits: ``summary`` per block, ``carried`` over the ordered summaries."""
         blocks = df.groupBy(*self.block_keys).agg(*summary).select(*self.block_keys, *carried)
@@ -103,22 +109,26 @@ def neighbours(df: DataFrame, tl: Timeline, cols: Sequence[str], prev: str | Non
 
 
 def fill(df: DataFrame, tl: Timeline, forward: dict[str, Column] | None = None, backward: dict[str, Column] | None = None) -> DataFrame:
-    """Nearest non-null value at or before (``forward``) and at or after (``backward``) each row."""
+    """Nearest non-null value at or before (``forward``) and at or after (``backward``) each row.
+
+    Backward values run over the reversed order: a frame that ends at the last row is recomputed for every row, one
+    that begins at the first row only grows.
+    """
     forward, backward = forward or {}, backward or {}
     b = tl.blocked(df.withColumns({f"_v_{n}": c for n, c in {**forward, **backward}.items()}))
     pos = tl.position
     before = tl.across().rowsBetween(Window.unboundedPreceding, -1)
-    after = tl.across().rowsBetween(1, Window.unboundedFollowing)
+    after = tl.across_reversed().rowsBetween(Window.unboundedPreceding, -1)
     present = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), pos)
     summary = [F.max_by(f"_v_{n}", present(n)).alias(f"_s_{n}") for n in forward]
     summary += [F.min_by(f"_v_{n}", present(n)).alias(f"_s_{n}") for n in backward]
     carried = [F.last(f"_s_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in forward]
-    carried += [F.first(f"_s_{n}", ignorenulls=True).over(after).alias(f"_c_{n}") for n in backward]
+    carried += [F.last(f"_s_{n}", ignorenulls=True).over(after).alias(f"_c_{n}") for n in backward]
     out = tl.inherit(b, summary, carried)
     upto = tl.inside().rowsBetween(Window.unboundedPreceding, 0)
-    onward = tl.inside().rowsBetween(0, Window.unboundedFollowing)
+    onward = tl.inside_reversed().rowsBetween(Window.unboundedPreceding, 0)
     cols = {n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(upto), F.col(f"_c_{n}")) for n in forward}
-    cols |= {n: F.coalesce(F.first(f"_v_{n}", ignorenulls=True).over(onward), F.col(f"_c_{n}")) for n in backward}
+    cols |= {n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(onward), F.col(f"_c_{n}")) for n in backward}
     out = out.withColumns(cols)
     names = [*forward, *backward]
     return out.drop("_block", *[f"_v_{n}" for n in names], *[f"_c_{n}" for n in names])
