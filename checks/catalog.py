@@ -245,7 +245,11 @@ def _(t):
     return wr.tagged_payload(p)
 
 
-@check("s16_rule_table")
+NW = r"[^\p{L}\p{N}_]"
+
+
+@check("s16_rule_table", rf"""
+SELECT meeting_id, ord, regexp_replace(regexp_replace(regexp_replace(text, '(^|{NW})die({NW}|$)', '\1DIE\2', 'g'), '(^|{NW})die({NW}|$)', '\1DIE\2', 'g'), 'th(e|an)', 'dh\1', 'g') AS text FROM segments""", "segments")
 def _(t):
     rules = rd.compiled_rules({"names": {"die": "DIE", "th(e|an)": r"dh\1", "bad(": "x"}, "note": "skip"})
     return t.segments.select("meeting_id", "ord", tx.apply_rules("text", [(r["pattern"], r["replacement"]) for r in rules]).alias("text"))

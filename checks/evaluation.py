@@ -125,14 +125,18 @@ def _(t):
     return ev.proper_noun_lexicon(t.table("documents"))
 
 
-@check("x29_proper_noun_overlay")
-def _(t):
-    from parlance.functions import text as tx
+CAP = r"CASE WHEN regexp_matches(w, '\p{L}') THEN regexp_extract(w, '^([^\p{L}]*)', 1) || upper(regexp_extract(w, '(\p{L})', 1)) || regexp_extract(w, '^[^\p{L}]*\p{L}(.*)$', 1) ELSE w END"
+ENDS = r"regexp_matches(regexp_replace(ws[i-1], '[\"»'')\]]+$', ''), '[.!?…]$')"
+
 
-    lex = ev.proper_noun_lexicon(t.segments).select("key")
-    toks = t.segments.select("meeting_id", "ord", F.posexplode(F.filter(F.split(tx.sentence_caps("text"), " "), lambda w: w != "")).alias("p", "w"))
-    hit = toks.withColumn("key", tx.token_normalise("w")).join(lex.withColumn("proper", F.lit(True)), "key", "left")
-    return hit.groupBy("meeting_id", "ord").agg(F.count("*").alias("n"), F.count_if("proper").alias("proper"))
+@check("x29_proper_noun_overlay", rf"""
+WITH t AS (SELECT meeting_id, ord, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM segments),
+u AS (SELECT meeting_id, ord, unnest(list_transform(ws, lambda w, i: CASE WHEN i = 1 OR {ENDS} THEN {CAP} ELSE w END)) AS w, generate_subscripts(ws, 1) AS i FROM t),
+k AS (SELECT *, regexp_replace(lower(w), '[\p{{P}}\p{{S}}]', '', 'g') AS key FROM u),
+l AS (SELECT key FROM (SELECT regexp_replace(lower(w), '[\p{{P}}\p{{S}}]', '', 'g') AS key, count(*) AS n, count_if(regexp_matches(regexp_extract(w, '(\p{{L}})', 1), '\p{{Lu}}')) AS nu FROM (SELECT unnest(ws) AS w FROM t) WHERE regexp_matches(w, '\p{{L}}') GROUP BY 1) WHERE n >= 2 AND length(key) > 1 AND nu::DOUBLE / n >= 0.7)
+SELECT meeting_id, ord, string_agg(CASE WHEN l.key IS NOT NULL THEN {CAP} ELSE w END, ' ' ORDER BY i) AS text, CAST(count(l.key) AS BIGINT) AS proper FROM k LEFT JOIN l ON k.key = l.key GROUP BY 1, 2""", "segments")
+def _(t):
+    return ev.overlay_proper_nouns(t.segments, ["meeting_id", "ord"], ev.proper_noun_lexicon(t.segments))
 
 
 @check("a29_diarization_error", """
@@ -148,8 +152,20 @@ def _(t):
     return ev.diarization_error(ref, hyp).select("recording_id", "total_ms", "miss_ms", "false_alarm_ms")
 
 
-@check("a29_der_jer")
+@check("a29_der_jer", """
+WITH ref AS (SELECT meeting_id AS r, speaker_id AS sp, start_ms AS s, end_ms AS e FROM segments), hyp AS (SELECT meeting_id AS r, speaker_id AS sp, start_ms AS s, end_ms AS e FROM diarization),
+pt AS (SELECT DISTINCT r, unnest([s, e, s - 125, s + 125, e - 125, e + 125]) AS t FROM ref UNION SELECT r, unnest([s, e]) FROM hyp),
+atm AS (SELECT * FROM (SELECT r, t AS a, lead(t) OVER (PARTITION BY r ORDER BY t) AS b FROM pt) WHERE b IS NOT NULL),
+ok AS (SELECT * FROM atm WHERE NOT EXISTS (SELECT 1 FROM ref WHERE ref.r = atm.r AND ((atm.a < s + 125 AND atm.b > s - 125) OR (atm.a < e + 125 AND atm.b > e - 125)))),
+rr AS (SELECT DISTINCT ok.r, ok.a, ok.b, sp FROM ok JOIN ref ON ref.r = ok.r AND s < ok.b AND e > ok.a), hh AS (SELECT DISTINCT ok.r, ok.a, ok.b, sp FROM ok JOIN hyp ON hyp.r = ok.r AND s < ok.b AND e > ok.a),
+n AS (SELECT ok.r, ok.b - ok.a AS ms, (SELECT count(*) FROM rr WHERE rr.r = ok.r AND rr.a = ok.a) AS nr, (SELECT count(*) FROM hh WHERE hh.r = ok.r AND hh.a = ok.a) AS nh FROM ok),
+c AS (SELECT rr.r, rr.sp AS ref, hh.sp AS hyp, sum(rr.b - rr.a) AS ms FROM rr JOIN hh ON rr.r = hh.r AND rr.a = hh.a GROUP BY 1, 2, 3),
+p AS (SELECT * FROM (VALUES (1,'user','assistant','system'),(2,'user','system','assistant'),(3,'assistant','user','system'),(4,'assistant','system','user'),(5,'system','user','assistant'),(6,'system','assistant','user')) v(k,x,y,z)),
+g AS (SELECT r, max(gain) AS ok_ms FROM (SELECT c.r, p.k, sum(CASE WHEN (ref = 'user' AND hyp = x) OR (ref = 'assistant' AND hyp = y) OR (ref = 'system' AND hyp = z) THEN ms ELSE 0 END) AS gain FROM c CROSS JOIN p GROUP BY 1, 2) GROUP BY 1)
+SELECT t.r AS recording_id, total AS total_ms, CAST(coalesce(ok_ms, 0) AS BIGINT) AS correct_ms, CAST(both_ms - coalesce(ok_ms, 0) AS BIGINT) AS confusion_ms,
+ CASE WHEN total > 0 THEN round_even((miss + fa + both_ms - coalesce(ok_ms, 0))::DOUBLE / total, 4) END AS der
+FROM (SELECT r, CAST(sum(nr * ms) AS BIGINT) AS total, sum(greatest(0, nr - nh) * ms) AS miss, sum(greatest(0, nh - nr) * ms) AS fa, sum(least(nr, nh) * ms) AS both_ms FROM n GROUP BY 1) t LEFT JOIN g USING (r)""", "segments diarization")
 def _(t):
     ref = t.segments.select(F.col("meeting_id").alias("recording_id"), "start_ms", "end_ms", F.col("speaker_id").alias("speaker"))
     hyp = t.diarization.select(F.col("meeting_id").alias("recording_id"), "start_ms", "end_ms", F.col("speaker_id").alias("speaker"))
-    return ev.diarization_error(ref, hyp, skip_overlap=True)
+    return ev.diarization_error(ref, hyp, skip_overlap=True).select("recording_id", "total_ms", "correct_ms", "confusion_ms", "der")

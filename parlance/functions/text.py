@@ -327,7 +327,7 @@ def _ends_sentence(tok: Column) -> Column:
     return F.regexp_replace(F.rtrim(tok), "[\"»')\\]]+$", "").rlike("[.!?…]$")
 
 
-def _cap_first_letter(tok: Column) -> Column:
+def cap_first_letter(tok: Column) -> Column:
     """Upper-case the first letter anywhere in the token."""
     at = F.regexp_instr(tok, F.lit(r"\p{L}"))
     return F.when(
@@ -341,7 +341,7 @@ def sentence_caps(c, lower: bool = False) -> Column:
     base = F.lower(_col(c)) if lower else _col(c)
     toks = F.filter(F.split(base, r"(?U)\s+"), lambda t: t != "")
     done = F.transform(
-        toks, lambda t, i: F.when((i == 0) | _ends_sentence(F.get(toks, i - 1)), _cap_first_letter(t)).otherwise(t)
+        toks, lambda t, i: F.when((i == 0) | _ends_sentence(F.get(toks, i - 1)), cap_first_letter(t)).otherwise(t)
     )
     return F.array_join(done, " ")
 
@@ -349,7 +349,7 @@ def sentence_caps(c, lower: bool = False) -> Column:
 def proper_noun_caps(c, lexicon: Column) -> Column:
     """Sentence caps plus capitals on tokens whose normal form is in the ``lexicon`` array."""
     toks = F.filter(F.split(sentence_caps(c), " "), lambda t: t != "")
-    return F.array_join(F.transform(toks, lambda t: F.when(F.array_contains(lexicon, token_normalise(t)), _cap_first_letter(t)).otherwise(t)), " ")
+    return F.array_join(F.transform(toks, lambda t: F.when(F.array_contains(lexicon, token_normalise(t)), cap_first_letter(t)).otherwise(t)), " ")
 
 
 def mean_confidence(word_conf: Column, avg_logprob: Column) -> Column:

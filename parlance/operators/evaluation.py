@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.operators.intervals import interval_join
-from parlance.operators.ordered import BLOCK_MS, Timeline, neighbours
+from parlance.operators.ordered import BLOCK_MS, Timeline, joined_text, neighbours
 from parlance.session import cut
 
 PUNCT_CLASSES = [".", ",", "?", "!", ":", ";"]
@@ -257,6 +257,18 @@ def proper_noun_lexicon(turns: DataFrame, min_count: int = 2, min_share: float =
     return per.where((F.col("n") >= min_count) & (F.length("key") > 1) & (F.col("n_upper") / F.col("n") >= min_share))
 
 
+def overlay_proper_nouns(turns: DataFrame, keys: list[str], lexicon: DataFrame) -> DataFrame:
+    """Sentence capitals plus a capital on every token whose normal form is in the lexicon.
+
+    The lexicon grows with the corpus, so tokens are joined to it by key instead of carrying it along.
+    """
+    toks = F.filter(F.split(tx.sentence_caps("text"), " "), lambda w: w != "")
+    rows = turns.select(*keys, F.posexplode(toks).alias("pos", "w")).withColumn("key", tx.token_normalise("w"))
+    hit = rows.join(lexicon.select("key", F.lit(True).alias("proper")), "key", "left")
+    word = F.when(F.col("proper"), tx.cap_first_letter(F.col("w"))).otherwise(F.col("w"))
+    return hit.groupBy(*keys).agg(joined_text(word, "pos").alias("text"), F.count_if("proper").alias("proper"))
+
+
 # ---- diarisation error ------------------------------------------------------------------------
 def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     """Optimal one-to-one assignment that maximises the summed gain (shortest augmenting paths)."""

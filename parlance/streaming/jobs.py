@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -49,15 +50,15 @@ def follow_job_states(events: DataFrame, path: str, checkpoint: str):
 
 
 def snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest snapshot, or the newest one older than ``before``."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
+    """The newest snapshot, or the newest one older than ``before``; only committed folders hold rows."""
+    try:
+        versions = spark.read.parquet(path)
+    except AnalysisException:
         return None
-    done = [s.getPath().getName() for s in fs.listStatus(p) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    numbers = [int(n[2:]) for n in done if n.startswith("v=") and (before is None or int(n[2:]) < before)]
-    return spark.read.parquet(f"{path}/v={max(numbers)}") if numbers else None
+    if before is not None:
+        versions = versions.where(F.col("v") < before)
+    newest = versions.agg(F.max("v")).first()[0]
+    return None if newest is None else versions.where(F.col("v") == newest).drop("v")
 
 
 # ---- T3 ---------------------------------------------------------------------------------------
