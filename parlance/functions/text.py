@@ -198,22 +198,33 @@ def token_normalise(c) -> Column:
     return F.regexp_replace(F.translate(F.lower(_col(c)), "ё", "е"), r"[\p{P}\p{S}]", "")
 
 
+def canonical_tail(c) -> Column:
+    """Scored punctuation characters at a token's end, in order."""
+    tail = F.regexp_extract(F.rtrim(_col(c)), r"([\p{P}\p{S}]+)$", 1)
+    return F.regexp_replace(F.translate(tail, "…", "."), "[^.!?,;:]", "")
+
+
+def pick_punct(tail: Column) -> Column:
+    has = lambda ch: F.contains(tail, F.lit(ch))
+    return F.when(has("?"), "?").when(has("!"), "!").when(has("."), ".").otherwise(F.right(tail, F.lit(1)))
+
+
 def trailing_punct(c) -> Column:
     """Canonical punctuation at a token's end; sentence ends win, otherwise the last one."""
-    tail = F.regexp_extract(F.rtrim(_col(c)), r"([\p{P}\p{S}]+)$", 1)
-    canon = F.regexp_replace(F.translate(tail, "…", "."), "[^.!?,;:]", "")
-    return (
-        F.when(F.contains(canon, F.lit("?")), "?")
-        .when(F.contains(canon, F.lit("!")), "!")
-        .when(F.contains(canon, F.lit(".")), ".")
-        .otherwise(F.right(canon, F.lit(1)))
-    )
+    return pick_punct(canonical_tail(c))
+
+
+def first_letter(c) -> Column:
+    return F.regexp_extract(_col(c), r"(\p{L})", 1)
+
+
+def letter_case(letter: Column) -> Column:
+    return F.when(letter == "", F.lit(None)).when(letter.rlike(r"^\p{Lu}"), "U").otherwise("L")
 
 
 def first_alpha_case(c) -> Column:
     """X11: U or L for the first letter of a token, null when it has none."""
-    letter = F.regexp_extract(_col(c), r"(\p{L})", 1)
-    return F.when(letter == "", F.lit(None)).when(letter.rlike(r"^\p{Lu}"), "U").otherwise("L")
+    return letter_case(first_letter(c))
 
 
 def word_set(c) -> Column:

@@ -144,13 +144,16 @@ def char_error_rate(ref, hyp) -> Column:
 
 # ---- matched tokens ---------------------------------------------------------------------------
 def scored_tokens(text: Column) -> Column:
-    """Tokens with normal form, trailing punctuation, case and original; tokens without a normal form go."""
+    """Tokens with normal form, trailing punctuation, case and original; tokens without a normal form go.
+
+    Lambdas share no common subexpressions, so each pattern runs once into a field that the second pass reads.
+    """
     raw = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    toks = F.transform(
-        raw,
-        lambda w: F.struct(tx.token_normalise(w).alias("norm"), tx.trailing_punct(w).alias("punct"), tx.first_alpha_case(w).alias("kase"), w.alias("orig")),
+    parts = F.transform(raw, lambda w: F.struct(tx.token_normalise(w).alias("norm"), tx.canonical_tail(w).alias("tail"), tx.first_letter(w).alias("letter"), w.alias("orig")))
+    return F.transform(
+        F.filter(parts, lambda s: s["norm"] != ""),
+        lambda s: F.struct(s["norm"].alias("norm"), tx.pick_punct(s["tail"]).alias("punct"), tx.letter_case(s["letter"]).alias("kase"), s["orig"].alias("orig")),
     )
-    return F.filter(toks, lambda s: s["norm"] != "")
 
 
 def matched_pairs(pairs: DataFrame) -> DataFrame:
@@ -158,14 +161,19 @@ def matched_pairs(pairs: DataFrame) -> DataFrame:
     keep = [c for c in pairs.columns if c not in ("ref", "hyp")]
     df = pairs.select(*keep, scored_tokens(F.col("ref")).alias("g"), scored_tokens(F.col("hyp")).alias("h"))
     df = df.withColumn("m", blocks_of(F.transform("g", lambda s: s["norm"]), F.transform("h", lambda s: s["norm"])))
-    at = df.select(*keep, "g", "h", F.explode("m").alias("m")).select(*keep, "g", "h", "m", F.explode(F.sequence(F.lit(0), F.col("m.size") - 1)).alias("k"))
-    return at.select(
-        *keep,
-        (F.col("m.a") + F.col("k")).alias("gold_pos"),
-        (F.col("m.b") + F.col("k")).alias("hyp_pos"),
-        F.get("g", F.col("m.a") + F.col("k")).alias("gold"),
-        F.get("h", F.col("m.b") + F.col("k")).alias("hyp"),
-    )
+    return df.select(*keep, F.inline(_pairs_in(F.col("m"), F.col("g"), F.col("h"))))
+
+
+def _pairs_in(blocks: Column, g: Column, h: Column) -> Column:
+    """Matched elements of two arrays.  They are picked before the explode, so no output row carries the arrays."""
+
+    def block(m: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), m["size"] - 1),
+            lambda k: F.struct((m["a"] + k).alias("gold_pos"), (m["b"] + k).alias("hyp_pos"), F.get(g, m["a"] + k).alias("gold"), F.get(h, m["b"] + k).alias("hyp")),
+        )
+
+    return F.flatten(F.transform(blocks, block))
 
 
 def _prf(tp: Column, fp: Column, fn: Column, digits: int) -> dict[str, Column]:
@@ -240,8 +248,7 @@ def turn_coverage(turns: DataFrame, words: DataFrame) -> DataFrame:
     hcol = F.array_sort(F.collect_list(F.struct("pos", "k", "tok", "start_ms", "end_ms")))
     pair = gold.groupBy("recording_id").agg(gcol.alias("g")).join(hyp.groupBy("recording_id").agg(hcol.alias("h")), "recording_id")
     pair = pair.withColumn("m", blocks_of(F.transform("g", lambda s: s["tok"]), F.transform("h", lambda s: s["tok"])))
-    at = pair.select("recording_id", "g", "h", F.explode("m").alias("m")).select("recording_id", "g", "h", "m", F.explode(F.sequence(F.lit(0), F.col("m.size") - 1)).alias("i"))
-    hits = at.select("recording_id", F.get("g", F.col("m.a") + F.col("i"))["turn"].alias("turn"), F.get("h", F.col("m.b") + F.col("i")).alias("w"))
+    hits = pair.select("recording_id", F.inline(_pairs_in(F.col("m"), F.col("g"), F.col("h")))).select("recording_id", F.col("gold.turn").alias("turn"), F.col("hyp").alias("w"))
     found = hits.groupBy("recording_id", "turn").agg(F.count("*").alias("n_matched"), F.min("w.start_ms").alias("start_ms"), F.max("w.end_ms").alias("end_ms"))
     sized = turns.withColumn("n_tokens", F.size(norm("text")))
     return sized.join(found, ["recording_id", "turn"], "left").withColumns(
