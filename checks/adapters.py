@@ -15,6 +15,11 @@ GAP_STEP_MS = 600
 MS_PER_CHAR = 60
 
 
+def epoch_ms(column: str):
+    """Milliseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {column})")
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.adapters import PRELUDE
+from checks.adapters import PRELUDE, epoch_ms
 from checks.registry import check
 from parlance.functions import text as tx
 from parlance.operators import catalog as ct
@@ -12,7 +12,7 @@ from parlance.sources import writers as wr
 
 
 def events_ms(t):
-    return t.job_events.withColumn("at_ms", F.unix_millis(F.col("updated_at").cast("timestamp")))
+    return t.job_events.withColumn("at_ms", epoch_ms("updated_at"))
 
 
 PRELUDE["ems"] = ("job_events", "SELECT *, CAST(floor(epoch_us(updated_at) / 1000) AS BIGINT) AS at_ms FROM job_events")
@@ -76,13 +76,13 @@ def _(t):
 @check("j28_orphans", """
 SELECT o_orderkey AS job_id FROM orders o WHERE epoch_ms(o_orderdate) <= epoch_ms(TIMESTAMP '1998-01-01') - 86400000 AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_linenumber = 4)""")
 def _(t):
-    jobs = t.table("orders").select(F.col("o_orderkey").alias("job_id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("modified_ms"))
+    jobs = t.table("orders").select(F.col("o_orderkey").alias("job_id"), epoch_ms("o_orderdate").alias("modified_ms"))
     finals = t.table("lineitem").where("l_linenumber = 4").select(F.col("l_orderkey").alias("job_id"))
     return ct.orphaned_meetings(jobs, finals, 883612800000).select("job_id")
 
 
 def files(t):
-    return t.table("orders").select(F.concat(F.lit("log_"), F.col("o_orderkey").cast("string")).alias("path"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("modified_ms"))
+    return t.table("orders").select(F.concat(F.lit("log_"), F.col("o_orderkey").cast("string")).alias("path"), epoch_ms("o_orderdate").alias("modified_ms"))
 
 
 @check("o7_beyond_newest", "SELECT 'log_' || o_orderkey AS path FROM orders ORDER BY o_orderdate DESC, 'log_' || o_orderkey DESC OFFSET 30")

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from checks.adapters import epoch_ms
 from checks.registry import check
 from parlance.operators import evaluation as ev
 from parlance.operators import people as pp
@@ -37,7 +38,7 @@ def _(t):
     kind = F.col("event_type")
     state = F.when(kind == "signup", "uploaded").when(kind == "view", "transcribing").when(kind == "click", "diarizing").when(kind == "purchase", "completed").otherwise("error")
     events = events_stream(t).select(
-        (F.col("event_id") % 500).alias("job_id"), "event_id", state.alias("state"), F.least(F.lit(100), F.greatest(F.lit(0), F.floor("value"))).cast("int").alias("progress"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms")
+        (F.col("event_id") % 500).alias("job_id"), "event_id", state.alias("state"), F.least(F.lit(100), F.greatest(F.lit(0), F.floor("value"))).cast("int").alias("progress"), epoch_ms("ts").alias("at_ms")
     )
     jobs.follow_job_states(events, f"{out}/data", f"{out}/ck").awaitTermination()
     return jobs.snapshot(t.spark, f"{out}/data").select("job_id", "state", "progress", "at_ms")
