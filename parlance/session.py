@@ -31,12 +31,13 @@ def build_session(master: str | None = None, app: str = "parlance", shuffle_part
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set (tests, laptops)."""
-    set_dir = spark.sparkContext.getCheckpointDir()
-    conf = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if set_dir:
-        return set_dir
-    folder = conf or tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+    """The shared folder the cluster names; a folder of its own only in local mode (tests, laptops), where nothing else could read it anyway."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or ""
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
