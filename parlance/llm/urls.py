@@ -63,37 +63,6 @@ def grams(host: Column, path: Column) -> Column:
     return F.concat(*[_pieces(s, n, mark) for mark, s in marked for n in SIZES])
 
 
-def fits(self, host: Column, path: Column) -> Column:
-        return ((host == self.host) | host.endswith("." + self.host)) & path.startswith(self.path)
-
-
-def host_of(url: Column) -> Column:
-    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(host, string.ascii_uppercase, string.ascii_lowercase), F.lit(""))
-
-
-def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
-
-
-def longest_rule(host: Column, path: Column, rules: list[Rule], value) -> Column:
-    """``value`` of the longest rule that fits, else null."""
-    out = F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: len(r.name)):
-        out = F.when(r.fits(host, path), F.lit(value(r))).otherwise(out)
-    return out
-
-
-def grams(host: Column, path: Column) -> Column:
-    """Character n-grams of the host (marked at both ends) and of the path, told apart by a prefix."""
-    parts = []
-    for mark, s in (("h", F.concat(F.lit("^"), host, F.lit("$"))), ("p", F.concat(path, F.lit("$")))):
-        for n in SIZES:
-            places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - n + 1))
-            parts.append(F.transform(places, lambda i, s=s, n=n, mark=mark: F.concat(F.lit(mark), F.substring(s, i, F.lit(n)))))
-    return F.concat(*parts)
-
-
 def fit(labelled: DataFrame):
     """A model from ``url`` and ``label`` (1: block), on the first ``TRAIN_ROWS`` rows by hash; None without rows."""
     # The sample has at most TRAIN_ROWS rows: one ordered partition makes sums, and so the model, the same on every run.
