@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import balltree, hilbert, urls
+from parlance.llm import balltree, hilbert, jaccard, urls
 from parlance.session import cut
 
 QUERIES: dict = {}
@@ -57,3 +57,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = urls.longest_rule(host, path, RULES, lambda r: r.verdict)
     model = urls.fit(pages.select("url", F.when(verdict == "block", 1).when(verdict == "allow", 0).alias("label")))
     return urls.judge(pages, model, RULES, ["page_id"])
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
