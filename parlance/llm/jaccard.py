@@ -107,7 +107,7 @@ def _digest(s: np.ndarray, salt: int) -> int:
 BITS = 1 << 22
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``id`` and ``text`` of some documents.  A bitmap of ``BITS`` bits thins out the texts before they are joined exactly."""
     spot = F.pmod(F.xxhash64("id"), F.lit(BITS)) + 1  # bitmaps count from 1
     maps = ids.select(spot.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
@@ -201,7 +201,7 @@ def jaccard_components(docs: DataFrame, ids: str = "doc_id", text: str = "text")
     pivots = cut(hot.groupBy("region").agg(typical.alias("pivot")))
     members = cut(hot.select("region", "id").join(pivots, "region").select("pivot", "id").distinct())
     needed = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).unionByName(members.select("id"))
-    texts = cut(_texts_of(docs, needed))
+    texts = cut(texts_of(docs, needed))
 
     # Every document with its least neighbour first; most other pairs then lie in one component and need no comparison.
     star = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
