@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import balltree, hilbert, jaccard, repeats, urls
+from parlance.llm import balltree, hilbert, jaccard, packing, repeats, urls
 from parlance.session import cut
 
+TOKENIZERS = "/opt/tokenizers"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -67,3 +69,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces_of(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(pieces)
