@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import balltree, hilbert, jaccard, packing, repeats, urls
+from parlance.llm import balltree, hilbert, jaccard, language, packing, repeats, urls
 from parlance.session import cut
 
 TOKENIZERS = "/opt/tokenizers"
@@ -75,3 +75,16 @@ def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces_of(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
     return packing.pack(pieces)
+
+
+def fold(n: int):
+    """The remainder that deals documents into folds."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.fit(docs.where(fold(3) != 1), F.col("doc_id"))
+    judged = language.identify(docs, found)
+    return judged.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
