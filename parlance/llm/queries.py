@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import balltree, hilbert, jaccard, language, packing, repeats, urls
+from parlance.llm import balltree, hilbert, jaccard, language, leaks, packing, repeats, urls
 from parlance.session import cut
 
 TOKENIZERS = "/opt/tokenizers"
@@ -88,3 +88,8 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.fit(docs.where(fold(3) != 1), F.col("doc_id"))
     judged = language.identify(docs, found)
     return judged.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+@query
+def op8_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
