@@ -5,7 +5,7 @@ Distances are ``1 - |x & y| / |x | y|``.  Equal sets are one document first.  Th
 * Level 1, singleton pivots.  A pivot is a set of one shingle; documents lie at distance 1 from it unless they hold it.  Under one total
   order of shingles a document's own regions are its first shingles, and the triangle inequality for the symmetric difference bounds
   how far it must be replicated: skipping i of its shingles costs i, so ``n // 4 + 1`` regions reach every document within 0.25.  The order puts
-  shingles last that many documents of a bounded sample hold (``HINT_DOCS``); it decides cost only, never results.
+  shingles last that many documents of a sample hold (one in ``HINT_SHARE``); it decides cost only, never results.
 * Pairs of a region of at most ``DENSE`` documents are counted over all their regions; counts and sizes bound the overlap from above, which leaves
   little more than true links to be compared by their texts.
 * Level 2, document pivots.  A denser region takes its most typical document as pivot; distances to it are computed.  Documents within 0.25
@@ -32,9 +32,9 @@ from parlance.session import cut
 
 SHINGLE = 5
 DENSE = 64
-HINT_DOCS = 8192  # Bound of the sample that orders shingles.
-HINT_TOKENS = 1 << 16  # Bound of the list of frequent shingles it yields.
-SIDE = 128  # Documents on either side of a block of comparisons.
+HINT_SHARE = 8  # One document in so many is in the sample that orders shingles.
+HINT_TOKENS = 1 << 18  # Bound of the list of frequent shingles it yields.
+SIDE = 512  # Documents on either side of a block of comparisons.
 FREQUENT = np.int64(1) << np.int64(62)
 
 
@@ -60,9 +60,8 @@ def _sample_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that at least three documents of a sample of about ``HINT_DOCS`` hold, the commonest ``HINT_TOKENS``."""
-    step = max(1, docs.count() // HINT_DOCS)
-    sample = docs.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(step)) == 0).select("text")
+    """Shingles that at least three documents of the sample hold, the commonest ``HINT_TOKENS``."""
+    sample = docs.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(HINT_SHARE)) == 0).select("text")
     counts = sample.mapInArrow(_sample_shingles, "key long").groupBy("key").count().where("count >= 3")
     rows = counts.orderBy(F.desc("count"), "key").limit(HINT_TOKENS).select("key").toPandas()
     return np.sort(rows["key"].to_numpy(np.int64))
@@ -224,11 +223,16 @@ def jaccard_components(docs: DataFrame, ids: str = "doc_id", text: str = "text")
 
 
 def _outer_links(members: DataFrame, first: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links of documents that lie further than 0.25 from the pivot of a dense region."""
-    away = first.select(F.col("x").alias("pivot"), F.col("y").alias("id"), (1 - F.col("both") / F.col("either")).alias("d"), F.expr(LINKED).alias("linked"))
+    """Links of documents of a dense region that its pivot's links have not yet joined to the pivot.
+
+    All others are one component with the pivot, so only pairs with one of these can still join anything.
+    """
+    away = first.select(F.col("x").alias("pivot"), F.col("y").alias("id"), (1 - F.col("both") / F.col("either")).alias("d"))
     placed = members.join(away, ["pivot", "id"], "left").join(known, "id", "left")
     own = F.col("id") == F.col("pivot")
-    placed = cut(placed.select("pivot", "id", F.when(own, 0.0).otherwise(F.col("d")).alias("d"), (own | F.col("linked")).alias("inside"), F.coalesce("component", "id").alias("component")))
+    placed = cut(placed.select("pivot", "id", F.when(own, 0.0).otherwise(F.col("d")).alias("d"), F.coalesce("component", "id").alias("component")))
+    centre = placed.where(own).select("pivot", F.col("component").alias("centre"))
+    placed = cut(placed.join(centre, "pivot").withColumn("inside", F.col("component") == F.col("centre")).drop("centre"))
     sizes = placed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("rows"), F.ceil(F.sum((~F.col("inside")).cast("int")) / SIDE).alias("cols"))
     sizes = cut(sizes.where("cols > 0"))
     laid = placed.join(sizes, "pivot")
