@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import balltree, hilbert, jaccard, language, leaks, packing, repeats, urls
+from parlance.llm import balltree, hilbert, jaccard, language, leaks, packing, repeats, urls, warc
 from parlance.session import cut
 
 TOKENIZERS = "/opt/tokenizers"
@@ -93,3 +93,21 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder = warc.new_folder(spark)
+    ranges = warc.write_index(warc.write_archives(pages, folder), folder)
+    wanted = pages.select(warc.url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"))
+    records = warc.read_records(warc.lookup(wanted, folder, ranges), folder)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op6_warc_index"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS latest FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id < latest THEN latest END AS refers_to FROM q"""
