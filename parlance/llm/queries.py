@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import balltree, hilbert, jaccard, language, leaks, packing, repeats, urls, warc
+from parlance.llm import balltree, bilinear, hilbert, jaccard, language, leaks, packing, repeats, urls, warc
 from parlance.session import cut
 
 TOKENIZERS = "/opt/tokenizers"
@@ -111,3 +111,13 @@ q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS pay
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id < latest THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id < latest THEN latest END AS refers_to FROM q"""
+
+
+@query
+def op7_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lm = bilinear.fit(docs.where(fold(5) != 1))
+    scored = bilinear.score(docs, lm)
+    return scored.select(
+        "doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(lm.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
