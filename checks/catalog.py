@@ -202,7 +202,7 @@ def _(t):
     return wr.csv_lines(rd.audit_events(audit_json(t)))
 
 
-PRELUDE["shares"] = ("aligned", "SELECT meeting_id, speaker_id, CAST(sum(end_ms - start_ms) AS BIGINT) AS ms, round(sum(end_ms - start_ms) * 100.0 / sum(sum(end_ms - start_ms)) OVER (PARTITION BY meeting_id), 1) AS share FROM aligned GROUP BY 1, 2")
+PRELUDE["shares"] = ("aligned", "SELECT meeting_id, speaker_id, CAST(sum(end_ms - start_ms) AS BIGINT) AS ms, round_even(sum(end_ms - start_ms) * 100::DOUBLE / sum(sum(end_ms - start_ms)) OVER (PARTITION BY meeting_id), 1) AS share FROM aligned GROUP BY 1, 2")
 
 
 @check("s10_protocol_lines", """

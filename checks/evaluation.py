@@ -14,10 +14,10 @@ def edited(t):
     ws = F.filter(F.split("text", " "), lambda w: w != "")
     n = F.size(ws)
     hyp = F.transform(F.slice(ws, 1, n - 1), lambda w, i: F.when(i == 2, F.lit("zzzz")).otherwise(w))
-    return t.segments.where(n >= 8).select("meeting_id", "ord", F.col("text").alias("ref"), F.array_join(hyp, " ").alias("hyp"))
+    return t.segments.where(n >= 4).select("meeting_id", "ord", F.col("text").alias("ref"), F.array_join(hyp, " ").alias("hyp"))
 
 
-PRELUDE["edited"] = ("segments", "SELECT meeting_id, ord, len(ws) AS n FROM (SELECT meeting_id, ord, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM segments) WHERE len(ws) >= 8")
+PRELUDE["edited"] = ("segments", "SELECT meeting_id, ord, len(ws) AS n FROM (SELECT meeting_id, ord, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM segments) WHERE len(ws) >= 4")
 
 
 @check("a25_word_errors", "SELECT meeting_id, ord, CAST(n AS INT) AS n_ref, CAST(n - 1 AS INT) AS n_hyp, CAST(n - 2 AS INT) AS hits, 1 AS substitutions, 1 AS deletions, 0 AS insertions, round_even(2.0::DOUBLE / n, 4) AS wer FROM edited", "edited")

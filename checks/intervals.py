@@ -126,7 +126,7 @@ def _(t):
 @check("j8_cross_source", """
 SELECT a.meeting_id, a.ord,
   coalesce((SELECT string_agg(CAST(d.d_ord AS VARCHAR), ',' ORDER BY d.d_ord) FROM diarization d
-    WHERE d.meeting_id = a.meeting_id AND d.start_ms < a.end_ms AND a.start_ms < d.end_ms AND greatest(d.start_ms,a.start_ms) < least(d.end_ms,a.end_ms)), '') AS dia_hits,
+    WHERE d.meeting_id = a.meeting_id AND d.start_ms < a.end_ms AND a.start_ms < d.end_ms), '') AS dia_hits,
   coalesce((SELECT string_agg(CAST(o.ord AS VARCHAR), ',' ORDER BY o.ord) FROM segments o
     WHERE o.meeting_id = a.meeting_id AND o.start_ms + 900 < a.end_ms AND a.start_ms < o.end_ms + 900), '') AS late_hits
 FROM segments a""", "segments diarization")
@@ -187,8 +187,9 @@ def _(t):
 
 
 @check("a1_participants", """
-SELECT meeting_id, speaker_id, CAST(sum(end_ms - start_ms) AS BIGINT) AS speaking_ms,
-  round(sum(end_ms - start_ms) * 100.0 / sum(sum(end_ms - start_ms)) OVER (PARTITION BY meeting_id), 1) AS speaking_share
+SELECT meeting_id, speaker_id, arg_min_null(speaker_name, ord) AS speaker_name, CAST(sum(end_ms - start_ms) AS BIGINT) AS speaking_ms,
+  round_even(sum(end_ms - start_ms) * 100::DOUBLE / sum(sum(end_ms - start_ms)) OVER (PARTITION BY meeting_id), 1) AS speaking_share,
+  CAST(row_number() OVER (PARTITION BY meeting_id ORDER BY sum(end_ms - start_ms) DESC, min(ord)) AS INTEGER) AS place
 FROM attributed GROUP BY meeting_id, speaker_id""", "attributed")
 def _(t):
     return stats.participants(iv.align(t.asr, t.diarization))

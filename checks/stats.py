@@ -156,7 +156,7 @@ def _(t):
 
 
 @check("a13_confidence_histogram", """
-SELECT meeting_type, band, n, round(100.0 * n / sum(n) OVER w, 1) AS pct, round(sum(s) OVER w / sum(n) OVER w, 3) AS mean FROM (
+SELECT meeting_type, band, n, round_even(100::DOUBLE * n / sum(n) OVER w, 1) AS pct, round_even(sum(s) OVER w / sum(n) OVER w, 3) AS mean FROM (
  SELECT meeting_type, CASE WHEN a >= 1.0 THEN '[1.00]' WHEN a >= 0.8 THEN '[0.80, 1.00)' WHEN a >= 0.6 THEN '[0.60, 0.80)' ELSE '[0.00, 0.60)' END AS band, count(*) AS n, sum(a) AS s
  FROM (SELECT *, attribution_confidence AS a FROM aligned) WHERE a IS NOT NULL GROUP BY 1, 2) WINDOW w AS (PARTITION BY meeting_type)""", AL)
 def _(t):
@@ -234,7 +234,7 @@ def _(t):
 
 @check("a30_stage_shares", """
 SELECT o_orderpriority AS run_id, o_orderstatus AS stage, CAST(sum(o_custkey) AS BIGINT) AS elapsed_ms, max(o_orderkey) AS audio_ms, max(o_totalprice) AS peak,
- round(100.0 * sum(o_custkey) / sum(sum(o_custkey)) OVER (PARTITION BY o_orderpriority), 1) AS share_pct, round(max(o_orderkey)::DOUBLE / sum(o_custkey), 2) AS real_time_factor FROM orders GROUP BY 1, 2""")
+ round_even(100::DOUBLE * sum(o_custkey) / sum(sum(o_custkey)) OVER (PARTITION BY o_orderpriority), 1) AS share_pct, round_even(max(o_orderkey)::DOUBLE / sum(o_custkey), 2) AS real_time_factor FROM orders GROUP BY 1, 2""")
 def _(t):
     tm = t.table("orders").select(
         F.col("o_orderpriority").alias("run_id"), F.col("o_orderstatus").alias("stage"), F.col("o_custkey").alias("elapsed_ms"), F.col("o_orderkey").alias("audio_ms"), F.col("o_totalprice").alias("peak")
@@ -248,9 +248,9 @@ def _(t):
 
 
 @check("j24_share_delta", """
-SELECT meeting_id, speaker_id, coalesce(o, 0) AS old_share, coalesce(n, 0) AS new_share, round(coalesce(n, 0) - coalesce(o, 0), 1) AS delta FROM
- (SELECT meeting_id, speaker_id, round(100.0 * sum(end_ms - start_ms) / sum(sum(end_ms - start_ms)) OVER (PARTITION BY meeting_id), 1)::DOUBLE AS o FROM segments GROUP BY 1, 2)
- FULL JOIN (SELECT meeting_id, speaker_id, round(100.0 * sum(end_ms - start_ms) / sum(sum(end_ms - start_ms)) OVER (PARTITION BY meeting_id), 1)::DOUBLE AS n FROM diarization GROUP BY 1, 2) USING (meeting_id, speaker_id)""", "segments diarization")
+SELECT meeting_id, speaker_id, coalesce(o, 0) AS old_share, coalesce(n, 0) AS new_share, round_even(coalesce(n, 0) - coalesce(o, 0), 1) AS delta FROM
+ (SELECT meeting_id, speaker_id, round_even(100::DOUBLE * sum(end_ms - start_ms) / sum(sum(end_ms - start_ms)) OVER (PARTITION BY meeting_id), 1) AS o FROM segments GROUP BY 1, 2)
+ FULL JOIN (SELECT meeting_id, speaker_id, round_even(100::DOUBLE * sum(end_ms - start_ms) / sum(sum(end_ms - start_ms)) OVER (PARTITION BY meeting_id), 1) AS n FROM diarization GROUP BY 1, 2) USING (meeting_id, speaker_id)""", "segments diarization")
 def _(t):
     return st.share_delta(t.segments, t.diarization)
 

@@ -123,9 +123,11 @@ def _(t):
     return t.segments.select("meeting_id", "ord", tx.apply_rules("text", rules).alias("text"))
 
 
-@check("x9_scoring_normalise", r"SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(text), 'ё', 'е'), '[\p{P}\p{S}]', ' ', 'g'), '[\s\x0b\x85\x{a0}]+', ' ', 'g')) AS text FROM documents")
+@check("x9_scoring_normalise", r"SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize(CASE WHEN doc_id % 2 = 0 THEN replace(text, 'é', 'e' || chr(769)) ELSE text END)), 'ё', 'е'), '[\p{P}\p{S}]', ' ', 'g'), '[\s\x0b\x85\x{a0}]+', ' ', 'g')) AS text FROM documents")
 def _(t):
-    return t.table("documents").select("doc_id", tx.scoring_normalise("text").alias("text"))
+    # Every other text holds decomposed letters.
+    apart = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("é"), F.lit("e\u0301"))).otherwise(F.col("text"))
+    return t.table("documents").select("doc_id", tx.scoring_normalise(apart).alias("text"))
 
 
 @check("x10_trailing_punct", r"""
@@ -150,9 +152,9 @@ def _(t):
 @check("x12_token_overlap", r"""
 SELECT meeting_id, ord, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 4) AS overlap FROM (
  SELECT meeting_id, ord, list_distinct(regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1)) AS a, list_distinct(regexp_extract_all(lower(p), '([\p{L}\p{N}_]+)', 1)) AS b
- FROM (SELECT meeting_id, ord, text, left(text, CAST(length(text) - ord % 40 AS INT)) || ' zz' AS p FROM segments WHERE length(text) > 40))""", "segments")
+ FROM (SELECT meeting_id, ord, text, left(text, CAST(greatest(0, length(text) - ord % 40) AS INT)) || ' zz' AS p FROM segments))""", "segments")
 def _(t):
-    df = t.segments.where("length(text) > 40").withColumn("p", F.expr("concat(left(text, cast(length(text) - ord % 40 as int)), ' zz')"))
+    df = t.segments.withColumn("p", F.expr("concat(left(text, cast(greatest(0, length(text) - ord % 40) as int)), ' zz')"))
     return df.select("meeting_id", "ord", F.round(tx.token_overlap("text", "p"), 4).alias("overlap"))
 
 
@@ -236,10 +238,10 @@ def _(t):
 
 @check("x26_group_thousands", r"""
 SELECT l_orderkey, l_linenumber, 'sum ' || replace(format('{:,}', CAST(round(l_extendedprice * 100) AS BIGINT)), ',', chr(160)) || ' of item' || l_partkey * 10000 AS text
-FROM lineitem WHERE l_extendedprice * 100 >= 1000""")
+FROM lineitem""")
 def _(t):
     x = F.concat(F.lit("sum "), F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), F.lit(" of item"), (F.col("l_partkey") * 10000).cast("string"))
-    return t.table("lineitem").where("l_extendedprice * 100 >= 1000").select("l_orderkey", "l_linenumber", tx.group_thousands(x).alias("text"))
+    return t.table("lineitem").select("l_orderkey", "l_linenumber", tx.group_thousands(x).alias("text"))
 
 
 @check("x27_context_tier", """

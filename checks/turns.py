@@ -255,7 +255,7 @@ SELECT meeting_id, win, greatest(f, f + win * width - CASE WHEN win > 0 THEN lea
   SELECT *, greatest(300000, CAST(ceil((l - f) / 12000.0) AS BIGINT) * 1000) AS width FROM (SELECT meeting_id, min(start_ms) AS f, max(end_ms) * 9 AS l FROM segments GROUP BY 1) WHERE l > f))""")
 
 
-@check("w21_recall_windows", "SELECT meeting_id, win, start_ms, end_ms FROM wins", "wins")
+@check("w21_recall_windows", "SELECT meeting_id, win, start_ms, end_ms FROM wins w WHERE EXISTS (SELECT 1 FROM segments s WHERE s.meeting_id = w.meeting_id AND s.end_ms * 9 > w.start_ms AND s.start_ms < w.end_ms)", "wins segments")
 def _(t):
     return tn.recall_windows(t.asr.withColumn("end_ms", F.col("end_ms") * 9), 5, 12)
 

@@ -39,7 +39,7 @@ NOISE_ITEMS = ["", "--", "---", "—", "–", "-", "**", "***"]
 NOISE_PREFIXES = ["**В разделе ", "*Примечание", "Примечание:", 'Упоминание "', "Note:", "*Note", "**Note"]
 NULL_WORDS = ["нет", "none", "null", "n/a", "-"]
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
-LATIN = "a b v g d e zh z i y k l m n o p r s t u f h c ch sh sch _ y _ e yu ya".replace("_", "").split(" ")
+LATIN = ["a", "b", "v", "g", "d", "e", "zh", "z", "i", "y", "k", "l", "m", "n", "o", "p", "r", "s", "t", "u", "f", "h", "c", "ch", "sh", "sch", "", "y", "", "e", "yu", "ya"]
 # -----------------------------------------------------------------------------------------------
 
 _MARK = "\ue000"  # private-use character: splits a text at a replaced position
@@ -166,11 +166,8 @@ def apply_rules(c, rules: list[tuple[str, str]]) -> Column:
 
 
 def scoring_normalise(c) -> Column:
-    """Lower case, yo -> ye, punctuation and symbols to spaces, whitespace collapsed.
-
-    Text is expected in composed (NFC) form; ``compose`` below brings it there.
-    """
-    out = F.translate(F.lower(_col(c)), "ё", "е")
+    """Composed (NFC) form, lower case, yo -> ye, punctuation and symbols to spaces, whitespace collapsed."""
+    out = F.translate(F.lower(compose(c)), "ё", "е")
     out = F.regexp_replace(out, r"[\p{P}\p{S}]", " ")
     return strip(F.regexp_replace(out, r"(?U)\s+", " "))
 
@@ -305,8 +302,11 @@ def is_twin_summary(c) -> Column:
 
 
 def group_thousands(c) -> Column:
-    """No-break space every three digits in numbers of four or more digits."""
-    return F.regexp_replace(_col(c), r"(?U)(?<=(?<![\w])\d{1,400})(?=(?:\d{3})+(?!\w))", " ")
+    """No-break space every three digits in numbers of four or more digits.
+
+    The first match takes the one to three digits before whole threes, each later one goes on from there.
+    """
+    return F.regexp_replace(_col(c), r"(?U)(?:(?<!\w)(\d{1,3})|\G(?<=\d)(\d{3}))(?=(?:\d{3})+(?!\w))", "$1$2\u00a0")
 
 
 def token_estimate(chars: Column) -> Column:
@@ -357,12 +357,6 @@ def sentence_caps(c, lower: bool = False) -> Column:
     return F.array_join(done, " ")
 
 
-def proper_noun_caps(c, lexicon: Column) -> Column:
-    """Sentence caps plus capitals on tokens whose normal form is in the ``lexicon`` array."""
-    toks = F.filter(F.split(sentence_caps(c), " "), lambda t: t != "")
-    return F.array_join(F.transform(toks, lambda t: F.when(F.array_contains(lexicon, token_normalise(t)), cap_first_letter(t)).otherwise(t)), " ")
-
-
 def mean_confidence(word_conf: Column, avg_logprob: Column) -> Column:
     """Mean word confidence, else exp of the mean log probability, clamped to 0..1."""
     n = F.size(word_conf)

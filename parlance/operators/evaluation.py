@@ -6,7 +6,6 @@ over rows; everything counted afterwards is ordinary aggregation.
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,6 @@ from parlance.session import cut
 
 PUNCT_CLASSES = [".", ",", "?", "!", ":", ";"]
 SENTENCE_ENDS = [".", "!", "?"]
-SMALL_GRID = 250_000
 
 
 # ---- sequence comparison ----------------------------------------------------------------------
@@ -34,13 +32,6 @@ def matching_blocks(a, b) -> list[tuple[int, int, int]]:
     """Longest common block first (earliest in ``a``, then in ``b``), then the same left and right of it."""
     if a == b:
         return [(0, 0, len(a))] if a else []
-    if len(a) * len(b) <= SMALL_GRID:
-        return [tuple(m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
-    return _blocks_by_rows(a, b)
-
-
-def _blocks_by_rows(a, b) -> list[tuple[int, int, int]]:
-    """The same blocks for long lists, whose frequent words make the per-word index slow."""
     x, y = _codes(a, b)
     todo, out = [(0, len(x), 0, len(y))], []
     while todo:

@@ -30,12 +30,13 @@ def _buckets(start: Column, end: Column, width: int) -> Column:
 
 
 def interval_join(
-    left: DataFrame, right: DataFrame, keys: list[str], lcols: tuple[str, str], rcols: tuple[str, str], width: int = BUCKET_MS
+    left: DataFrame, right: DataFrame, keys: list[str], lcols: tuple[str, str], rcols: tuple[str, str], width: int = BUCKET_MS, points: bool = False
 ) -> DataFrame:
     """Every pair with the same ``keys`` whose half-open intervals intersect, each exactly once.
 
     Both sides are cut into time buckets so the shuffle key is ``(keys, bucket)``: a long meeting spreads
-    over many tasks.  A pair is kept only in the bucket where its intersection begins.
+    over many tasks.  A pair is kept only in the bucket where its intersection begins.  With ``points``, an interval of no length inside another
+    meets it too (``left start < right end`` and ``right start < left end``).
     """
     ls, le = lcols
     rs, re_ = rcols
@@ -43,7 +44,8 @@ def interval_join(
     rb = right.withColumn("_bucket", _buckets(F.col(rs), F.col(re_), width))
     joined = lb.join(rb, [*keys, "_bucket"], "inner")
     begins = F.greatest(ls, rs)
-    return joined.where((begins < F.least(le, re_)) & (F.floor(begins / width) == F.col("_bucket"))).drop("_bucket")
+    meets = (F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le)) if points else begins < F.least(le, re_)
+    return joined.where(meets & (F.floor(begins / width) == F.col("_bucket"))).drop("_bucket")
 
 
 def overlap_join(segments: DataFrame, diarization: DataFrame, width: int = BUCKET_MS) -> DataFrame:
@@ -164,7 +166,7 @@ def cross_source(anchor: DataFrame, *others: tuple[str, DataFrame], width: int =
     key = ["meeting_id", "ord"]
     for name, src in others:
         o = src.select("meeting_id", F.col("ord").alias("o_ord"), F.col("start_ms").alias("o_start"), F.col("end_ms").alias("o_end"), F.col("text").alias("o_text"))
-        hits = interval_join(anchor.select(*key, "start_ms", "end_ms"), o, ["meeting_id"], ("start_ms", "end_ms"), ("o_start", "o_end"), width)
+        hits = interval_join(anchor.select(*key, "start_ms", "end_ms"), o, ["meeting_id"], ("start_ms", "end_ms"), ("o_start", "o_end"), width, points=True)
         got = hits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("o_ord", "o_start", "o_end", "o_text"))).alias(name))
         out = out.join(got, key, "left").withColumn(name, F.coalesce(name, F.array().cast(got.schema[name].dataType)))
     return out
@@ -173,7 +175,7 @@ def cross_source(anchor: DataFrame, *others: tuple[str, DataFrame], width: int =
 def window_members(windows: DataFrame, segments: DataFrame, width: int = 300_000) -> DataFrame:
     """Segments touching a window (``end > window start`` and ``start < window end``)."""
     w = windows.select("meeting_id", "win", F.col("start_ms").alias("w_start"), F.col("end_ms").alias("w_end"))
-    return interval_join(segments, w, ["meeting_id"], ("start_ms", "end_ms"), ("w_start", "w_end"), width)
+    return interval_join(segments, w, ["meeting_id"], ("start_ms", "end_ms"), ("w_start", "w_end"), width, points=True)
 
 
 def topic_slices(turns: DataFrame, topics: DataFrame, block: int = 256) -> DataFrame:

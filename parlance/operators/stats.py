@@ -19,11 +19,18 @@ def duration() -> Column:
 
 
 def participants(aligned: DataFrame) -> DataFrame:
-    """A1: speaking time and share (percent, one decimal) per meeting and speaker."""
-    per = aligned.groupBy("meeting_id", "speaker_id").agg(F.sum(duration()).alias("speaking_ms"))
-    total = F.sum("speaking_ms").over(Window.partitionBy("meeting_id"))
-    share = F.when(total > 0, F.round(F.col("speaking_ms") * 100 / total, 1)).otherwise(F.lit(0.0))
-    return per.withColumn("speaking_share", share)
+    """A1: name at the first turn, speaking time, share (percent, one decimal, halves to even) and place per meeting and speaker.
+
+    Places follow speaking time, longest first, and among equals the first turn.
+    """
+    name = F.min_by("speaker_name", "ord") if "speaker_name" in aligned.columns else F.first(F.lit(None).cast("string"))
+    per = aligned.groupBy("meeting_id", "speaker_id").agg(name.alias("speaker_name"), F.sum(duration()).alias("speaking_ms"), F.min("ord").alias("_first"))
+    # One row per speaker: a meeting's speakers fit a window.
+    whole = Window.partitionBy("meeting_id")
+    total = F.sum("speaking_ms").over(whole)
+    share = F.when(total > 0, F.bround(F.col("speaking_ms") * 100 / total, 1)).otherwise(F.lit(0.0))
+    place = F.row_number().over(whole.orderBy(F.desc("speaking_ms"), "_first"))
+    return per.withColumns({"speaking_share": share, "place": place}).drop("_first")
 
 
 def low_confidence() -> Column:
@@ -96,8 +103,8 @@ def confidence_histogram(aligned: DataFrame, keys: list[str]) -> DataFrame:
         *keys,
         "band",
         "n",
-        F.round(100 * F.col("n") / F.sum("n").over(w), 1).alias("pct"),
-        F.round(F.sum("s").over(w) / F.sum("n").over(w), 3).alias("mean"),
+        F.bround(100 * F.col("n") / F.sum("n").over(w), 1).alias("pct"),
+        F.bround(F.sum("s").over(w) / F.sum("n").over(w), 3).alias("mean"),
     )
 
 
@@ -190,8 +197,8 @@ def stage_shares(timings: DataFrame) -> DataFrame:
     total = F.sum("elapsed_ms").over(Window.partitionBy("run_id"))
     return per.withColumns(
         {
-            "share_pct": F.round(100 * F.col("elapsed_ms") / total, 1),
-            "real_time_factor": F.when(F.col("elapsed_ms") > 0, F.round(F.col("audio_ms") / F.col("elapsed_ms"), 2)),
+            "share_pct": F.bround(100 * F.col("elapsed_ms") / total, 1),
+            "real_time_factor": F.when(F.col("elapsed_ms") > 0, F.bround(F.col("audio_ms") / F.col("elapsed_ms"), 2)),
         }
     )
 
@@ -212,11 +219,11 @@ def share_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     def shares(df: DataFrame, name: str) -> DataFrame:
         per = df.groupBy("meeting_id", F.when(F.coalesce("speaker_id", F.lit("")) == "", "?").otherwise(F.col("speaker_id")).alias("speaker_id")).agg(F.sum(duration()).alias("d"))
         total = F.sum("d").over(Window.partitionBy("meeting_id"))
-        return per.select("meeting_id", "speaker_id", F.when(total > 0, F.round(100 * F.col("d") / total, 1)).otherwise(0.0).alias(name))
+        return per.select("meeting_id", "speaker_id", F.when(total > 0, F.bround(100 * F.col("d") / total, 1)).otherwise(0.0).alias(name))
 
     both = shares(old, "old_share").join(shares(new, "new_share"), ["meeting_id", "speaker_id"], "full")
     o, n = F.coalesce("old_share", F.lit(0.0)), F.coalesce("new_share", F.lit(0.0))
-    return both.select("meeting_id", "speaker_id", o.alias("old_share"), n.alias("new_share"), F.round(n - o, 1).alias("delta"))
+    return both.select("meeting_id", "speaker_id", o.alias("old_share"), n.alias("new_share"), F.bround(n - o, 1).alias("delta"))
 
 
 def side_by_side(runs: dict[str, DataFrame], keys: list[str], order: str, value: str, first: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
 from parlance.operators.greedy import greedy_groups, surveyed
-from parlance.operators.intervals import interval_join, speaker_runs
+from parlance.operators.intervals import interval_join, speaker_runs, window_members
 from parlance.operators.ordered import (
     BLOCK_MS,
     Timeline,
@@ -390,7 +390,7 @@ def indexed_lines(aligned: DataFrame, fallback: str = "Говорящий") -> D
 
 
 def recall_windows(aligned: DataFrame, window_minutes: int = 12, max_windows: int = 12) -> DataFrame:
-    """At most ``max_windows`` windows over a meeting, overlapping by up to a minute."""
+    """At most ``max_windows`` windows over a meeting, overlapping by up to a minute; windows that no segment touches are left out."""
     span = aligned.groupBy("meeting_id").agg(F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"))
     dur = F.greatest(F.lit(0), F.col("last_ms") - F.col("first_ms"))
     width = F.greatest(F.lit(max(300, max(1, window_minutes) * 60) * 1000), F.ceil(dur / (1000 * max(1, max_windows))) * 1000).cast("long")
@@ -401,12 +401,14 @@ def recall_windows(aligned: DataFrame, window_minutes: int = 12, max_windows: in
     )
     cursor = F.col("first_ms") + F.col("win") * F.col("width_ms")
     overlap = F.least(F.lit(60_000.0), F.col("width_ms") * 0.1)
-    return wins.select(
+    laid = wins.select(
         "meeting_id",
         "win",
         F.greatest(F.col("first_ms"), cursor - F.when(F.col("win") > 0, overlap).otherwise(0)).cast("long").alias("start_ms"),
         F.least(F.col("last_ms"), cursor + F.col("width_ms")).alias("end_ms"),
     )
+    touched = window_members(laid, aligned).select("meeting_id", "win").distinct()
+    return laid.join(touched, ["meeting_id", "win"], "left_semi")
 
 
 def header_flags(aligned: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text as tx
 from parlance.operators import stats
 from parlance.operators.intervals import align, mark_overlaps
+from parlance.operators.ordered import ROWS_PER_BLOCK, Timeline, dense_index
 from parlance.operators.people import apply_matches
 from parlance.operators.turns import build_turns, clean_segments, smooth, split_by_diarization, split_by_sentences
 from parlance.session import cut
@@ -22,8 +23,9 @@ def _stage(df: DataFrame, stages: bool) -> DataFrame:
 
 
 def renumber(df: DataFrame) -> DataFrame:
-    """Pieces of a split segment take positions between their neighbours; order is all later stages use."""
-    return df.withColumn("ord", F.col("ord") * 10_000 + F.col("piece")).drop("piece")
+    """Pieces of split segments take dense positions in their meeting, so blocks of positions hold as many rows as before the split."""
+    order = Timeline(("meeting_id",), ("ord", "piece"), ROWS_PER_BLOCK)
+    return dense_index(df, order, "_dense").drop("ord", "piece").withColumnRenamed("_dense", "ord")
 
 
 def attributed_segments(

@@ -18,8 +18,6 @@ def build_session(master: str | None = None, app: str = "parlance", shuffle_part
         b.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # Rows here are small but costly to process: let small stages keep one task per core.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.python.unix.domain.socket.enabled", "true")

@@ -21,7 +21,6 @@ def test_blocks_equal_difflib():
         a = [r.choice(words) for _ in range(r.randrange(0, 25))]
         b = [r.choice(words) for _ in range(r.randrange(0, 25))]
         want = pairs_of(SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
-        assert pairs_of(ev._blocks_by_rows(a, b)) == want
         assert pairs_of(ev.matching_blocks(a, b)) == want
 
 
