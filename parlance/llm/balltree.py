@@ -3,7 +3,7 @@
 A shard holds a bounded number of vectors and is packed into one row with its tree; a block of queries is one row as well, so memory
 is bounded by the two blocks.  A pilot shard is searched first; its k-th scores are lower bounds that every other shard starts from.
 
-Defined results: vectors that are null, empty, of another length than the first, or hold null or non-finite parts take no part; rows
+Defined results: rows without an id and vectors that are null, empty, of another length than the first, or hold null or non-finite parts take no part; rows
 that share an id count once (the least vector); ties go to the smaller id; fewer than k candidates give fewer rows.
 """
 
@@ -143,7 +143,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, stage) -> DataFrame:
     ``stage`` writes a table and reads it back.  Scores are exact while they stay below 2**53.
     """
     whole = lambda d: d.where("v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))")
-    vectors, queries = whole(vectors.select("id", "v")), whole(queries.select("id", "v"))
+    vectors, queries = whole(vectors.select("id", "v").where("id is not null")), whole(queries.select("id", "v").where("id is not null"))
     shape = vectors.agg(F.count(F.lit(1)).alias("n"), F.min_by(F.size("v"), "id").alias("dim")).first()
     asked = queries.count()
     dim, spark = shape["dim"], vectors.sparkSession

@@ -13,7 +13,7 @@ Distances are ``1 - |x & y| / |x | y|``.  Equal sets are one document first.  Th
 * Level 3.  These comparisons run on a grid of bounded blocks of the region, and stop for documents already in one component.
 
 Defined results: texts without words and nulls have no shingles and no links; texts of fewer words than a shingle are one shingle; rows that share
-an id share a component; empty tables give empty tables; other columns are not read.
+an id share a component, rows without an id have no links; empty tables give empty tables; other columns are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ neighbours from at least two documents are seeds.  Around its seeds a document i
 
 Runs are counted by partial aggregation, so a passage that a third of all documents hold is never gathered in one task.
 
-Defined results: nulls, empty texts and texts of fewer than 50 words have no spans; A-Z equals a-z; words are told apart by 64-bit digests; repeated rows
+Defined results: rows without an id, nulls, empty texts and texts of fewer than 50 words have no spans; A-Z equals a-z; words are told apart by 64-bit digests; repeated rows
 of one id are one document; the owner of a repeated window is the least id that holds it; empty tables give empty tables.
 """
 
@@ -82,7 +82,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
     """``ids``, ``start_word``, ``end_word`` (exclusive), ``owner`` (least document that holds a window of it), ``own`` (this document is the owner of
     all its windows) and ``holders`` (occurrences of its commonest window)."""
-    docs = docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     seeds = docs.mapInArrow(_seeds, "key long, id long, at int")
     common = cut(seeds.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
     met = cut(seeds.join(common, "key").groupBy("id").agg(F.collect_set("at").alias("seeds")))  # at most one entry per word of the document
@@ -120,15 +120,15 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = max(at, b)
                 kept.append(data[at : int(bounds[i + 1])])
                 out.append(b"".join(kept).decode("utf-8"))
-            yield pa.record_batch({"id": part.column("id"), "new_text": pa.array(out, pa.string())})
+            yield pa.record_batch({"id": part.column("id"), "_cut_text_": pa.array(out, pa.string())})
 
 
 def drop_repeats(docs: DataFrame, spans: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents whose repeated spans are cut out except at their owner; a document left without words goes, all others keep their rows and columns."""
     borrowed = cut(spans.where("not own").groupBy(F.col(ids).alias("id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")))
     touched = texts_of(docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text")), borrowed.select("id")).join(borrowed, "id")
-    fresh = cut(touched.select("id", "text", "spans").mapInArrow(_cut_text, "id long, new_text string").dropDuplicates(["id"]))
-    fresh = fresh.select(F.col("id").alias(ids), "new_text")
+    fresh = cut(touched.select("id", "text", "spans").mapInArrow(_cut_text, "id long, _cut_text_ string").dropDuplicates(["id"]))
+    fresh = fresh.select(F.col("id").alias(ids), "_cut_text_")
     out = docs.join(fresh, ids, "left")
-    empty = F.col("new_text").isNotNull() & ~F.col("new_text").rlike(r"[^\x20\x09-\x0D]")
-    return out.where(~F.coalesce(empty, F.lit(False))).withColumn(text, F.coalesce("new_text", text)).select(docs.columns)
+    empty = F.col("_cut_text_").isNotNull() & ~F.col("_cut_text_").rlike(r"[^\x20\x09-\x0D]")
+    return out.where(~F.coalesce(empty, F.lit(False))).withColumn(text, F.coalesce("_cut_text_", text)).select(docs.columns)

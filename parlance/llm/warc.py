@@ -7,7 +7,7 @@ ranges, binary-searches that range's directory, reads the bytes of one block, an
 Files carry the task's attempt in their names, and only files named in a finished stage are ever read, so a lost executor leaves nothing behind but an unused file.
 Any folder that ``pyarrow.fs`` can open will do (local or shared paths, HDFS, object stores).
 
-Defined results: null payloads are empty, null URLs are the empty URL; payloads of at least ``REVISIT_BYTES`` bytes that equal that of a later page (larger
+Defined results: rows without a page id get no record, null payloads are empty, null URLs are the empty URL; payloads of at least ``REVISIT_BYTES`` bytes that equal that of a later page (larger
 id) become revisits of the latest one; repeated rows of one page are written and found once each; an empty table gives an empty archive.
 """
 
@@ -55,7 +55,7 @@ def _open_new(folder: str, kind: str):
     return filesystem.open_output_stream(name, compression=None), name
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, size: int, refers_to: int | None, refers_url: str | None) -> bytes:
+def record(page_id: int, url: str, payload: bytes, digest: str, size: int, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit has no block but the digest and length of the payload it stands for."""
     lines = [
         "WARC/1.1",
@@ -100,8 +100,8 @@ def _write_records(folder: str):
                         out.close()
                     out, name = _open_new(folder, "archive")
                     at = 0
-                refers = None if pd.isna(r.refers_to) else int(r.refers_to)
-                raw = gzip_member(record(int(r.page_id), r.url, r.payload.encode("utf-8"), r.digest, int(r.size), refers, None))
+                refers = None if r.refers_to is None else int(r.refers_to)
+                raw = gzip_member(record(int(r.page_id), r.url, r.payload.encode("utf-8"), r.digest, int(r.size), refers))
                 out.write(raw)
                 rows.append((r.key, int(r.page_id), name, at, len(raw)))
                 at += len(raw)
@@ -115,14 +115,14 @@ def _write_records(folder: str):
 def plan_records(pages: DataFrame) -> DataFrame:
     """Pages with key, digest, size and, for revisits, the page they refer to."""
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select(
+    rows = pages.where("page_id is not null").select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), url_key(F.col("url")).alias("key"), payload.alias("payload"),
         F.sha1(F.encode(payload, "UTF-8")).alias("digest"), F.octet_length(payload).cast("long").alias("size"),
     )
     large = rows.where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest", "size")
     latest = cut(large.groupBy("digest", "size").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     # Payloads stay where they are unless many pages repeat: only ids and digests of repeated pages meet.
-    revisits = cut(large.join(latest, ["digest", "size"]).where("page_id < latest").select("page_id", F.col("latest").alias("refers_to")).distinct())
+    revisits = cut(large.join(latest, ["digest", "size"]).where("page_id < latest").select("page_id", F.col("latest").cast("string").alias("refers_to")).distinct())  # text: pandas would make nullable ids floats
     return rows.join(revisits, "page_id", "left")
 
 
