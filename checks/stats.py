@@ -74,31 +74,38 @@ def _(t):
     return ql.dense_text(loopy(t)).select("meeting_id", "ord")
 
 
+def findings():
+    return F.array_join(F.transform("findings", lambda f: F.concat(f["severity"], F.lit(" "), f["message"], F.lit("="), f["value"].cast("string"))), ";")
+
+
 @check("a5_transcript_quality", """
 SELECT meeting_id, round(a, 5) AS avg_confidence, mn AS min_confidence, vl AS very_low, em AS empty, sus AS suspect,
  CASE WHEN a IS NULL THEN 0.0 ELSE greatest(0, least(100, 100 - CASE WHEN a < 0.6 THEN 20 ELSE 0 END - CASE WHEN vl > 0 THEN 5 ELSE 0 END - 5 * least(em, 5) - CASE WHEN sus THEN 15 ELSE 0 END)) END::DOUBLE AS score,
- a IS NOT NULL AND a >= 0.6 AND NOT sus AS passed FROM (
+ a IS NOT NULL AND a >= 0.6 AND NOT sus AS passed,
+ array_to_string(list_filter([CASE WHEN a IS NULL THEN 'critical no segments=' || '0.0' END, CASE WHEN a < 0.6 THEN 'warning low average confidence=' || CAST(round_even(a, 2) AS DOUBLE) END, CASE WHEN sus THEN 'warning repeated or dense text=' || '0.0' END, CASE WHEN vl > 0 THEN 'note segments with very low confidence=' || CAST(vl AS DOUBLE) END, CASE WHEN em > 0 THEN 'note segments without text=' || CAST(em AS DOUBLE) END], lambda x: x IS NOT NULL), ';') AS findings FROM (
  SELECT m.meeting_id, a, mn, vl, em, coalesce(s.meeting_id IS NOT NULL, false) AS sus FROM meetings m
  LEFT JOIN (SELECT meeting_id, avg(confidence) AS a, min(confidence) AS mn, CAST(count_if(confidence < 0.3) AS BIGINT) AS vl, CAST(count_if(trim(text) = '') AS BIGINT) AS em FROM loopy GROUP BY 1) p USING (meeting_id)
  LEFT JOIN (SELECT meeting_id FROM repeats UNION SELECT meeting_id FROM loopy WHERE end_ms > start_ms AND length(text) * 1000 > 200 * (end_ms - start_ms)) s ON s.meeting_id = m.meeting_id)""", "meetings repeats loopy")
 def _(t):
-    return ql.transcript_quality(meetings(t), loopy(t)).withColumn("avg_confidence", F.round("avg_confidence", 5))
+    return ql.transcript_quality(meetings(t), loopy(t)).withColumns({"avg_confidence": F.round("avg_confidence", 5), "findings": findings()})
 
 
 @check("a8_diarization_quality", """
 SELECT m.meeting_id, speakers, short_rows, quiet_speakers, coalesce(g > 2000, false) AS large_gaps,
- CASE WHEN speakers IS NULL THEN 0 ELSE 100 - CASE WHEN speakers < 2 THEN 10 ELSE 0 END - CASE WHEN short_rows > 0 THEN 5 ELSE 0 END - CASE WHEN g > 2000 THEN 10 ELSE 0 END END::DOUBLE AS score, speakers IS NOT NULL AS passed
+ CASE WHEN speakers IS NULL THEN 0 ELSE 100 - CASE WHEN speakers < 2 THEN 10 ELSE 0 END - CASE WHEN short_rows > 0 THEN 5 ELSE 0 END - CASE WHEN g > 2000 THEN 10 ELSE 0 END END::DOUBLE AS score, speakers IS NOT NULL AS passed,
+ array_to_string(list_filter([CASE WHEN speakers IS NULL THEN 'critical no rows=' || '0.0' END, CASE WHEN speakers < 2 THEN 'note few speakers=' || CAST(speakers AS DOUBLE) END, CASE WHEN short_rows > 0 THEN 'note very short rows=' || CAST(short_rows AS DOUBLE) END, CASE WHEN g > 2000 THEN 'note large gaps=' || CAST(round_even(g, 0) AS DOUBLE) END, CASE WHEN quiet_speakers > 0 THEN 'note speakers with a small share=' || CAST(quiet_speakers AS DOUBLE) END], lambda x: x IS NOT NULL), ';') AS findings
 FROM meetings m LEFT JOIN (SELECT meeting_id, count(*) AS speakers, CAST(sum(sh) AS BIGINT) AS short_rows, CAST(count_if(d < 0.05 * tot) AS BIGINT) AS quiet_speakers FROM (
   SELECT meeting_id, speaker_id, sum(end_ms - start_ms) AS d, sum(sum(end_ms - start_ms)) OVER (PARTITION BY meeting_id) AS tot, count_if(end_ms - start_ms < 300) AS sh FROM diarization GROUP BY 1, 2) GROUP BY 1) p USING (meeting_id)
 LEFT JOIN (SELECT meeting_id, avg(gap) AS g FROM (SELECT meeting_id, lead(start_ms) OVER (PARTITION BY meeting_id ORDER BY start_ms, d_ord) - end_ms AS gap FROM diarization) WHERE gap > 1000 GROUP BY 1) q USING (meeting_id)""", "meetings diarization")
 def _(t):
-    return ql.diarization_quality(meetings(t), t.diarization)
+    return ql.diarization_quality(meetings(t), t.diarization).withColumn("findings", findings())
 
 
 @check("a9_alignment_quality", """
 SELECT m.meeting_id, missing_speaker, inverted, out_of_order, empty, coalesce(att, '') AS missing_at,
  CASE WHEN n IS NULL THEN 0 ELSE 100 - CASE WHEN missing_speaker > 0 THEN 50 ELSE 0 END - CASE WHEN out_of_order > 0 THEN 20 ELSE 0 END - CASE WHEN empty > 0 THEN 5 ELSE 0 END END::DOUBLE AS score,
- coalesce(missing_speaker = 0 AND inverted = 0, false) AS passed FROM meetings m LEFT JOIN (
+ coalesce(missing_speaker = 0 AND inverted = 0, false) AS passed,
+ array_to_string(list_filter([CASE WHEN n IS NULL THEN 'critical no segments=' || '0.0' END, CASE WHEN missing_speaker > 0 THEN 'critical segments without speaker=' || CAST(missing_speaker AS DOUBLE) END, CASE WHEN inverted > 0 THEN 'critical inverted time ranges=' || CAST(inverted AS DOUBLE) END, CASE WHEN out_of_order > 0 THEN 'note segments out of order=' || CAST(out_of_order AS DOUBLE) END, CASE WHEN empty > 0 THEN 'note segments without text=' || CAST(empty AS DOUBLE) END], lambda x: x IS NOT NULL), ';') AS findings FROM meetings m LEFT JOIN (
  SELECT meeting_id, count(*) AS n, CAST(count_if(sp = '') AS BIGINT) AS missing_speaker, CAST(count_if(e < start_ms) AS BIGINT) AS inverted, CAST(count_if(start_ms < pe) AS BIGINT) AS out_of_order, CAST(count_if(trim(text) = '') AS BIGINT) AS empty,
   array_to_string(list_slice(list_sort(list(ord) FILTER (sp = '')), 1, 10), ',') AS att FROM (
   SELECT *, lag(e) OVER (PARTITION BY meeting_id ORDER BY ord) AS pe FROM (SELECT *, CASE WHEN ord % 40 = 0 THEN start_ms - 5 ELSE end_ms + (ord % 19 = 0)::INT * 5000 END AS e, CASE WHEN ord % 3 = 0 AND meeting_id % 2 = 0 THEN '' ELSE speaker_id END AS sp FROM aligned))
@@ -112,12 +119,13 @@ def _(t):
         }
     )
     at = F.coalesce(F.array_join(F.transform("missing_at", lambda x: x.cast("string")), ","), F.lit(""))
-    return ql.alignment_quality(meetings(t), al).withColumn("missing_at", at)
+    return ql.alignment_quality(meetings(t), al).withColumns({"missing_at": at, "findings": findings()})
 
 
 @check("a10_protocol_quality", """
 SELECT doc_id, greatest(0, 100 - CASE WHEN length(topic) < 3 THEN 10 ELSE 0 END - CASE WHEN length(trim(s, e' \\n')) < 50 THEN 20 ELSE 0 END - CASE WHEN p = 0 THEN 15 ELSE 0 END - CASE WHEN d = 0 THEN 5 ELSE 0 END
- - CASE WHEN k = 0 THEN 5 ELSE 0 END - CASE WHEN x = 0 THEN 10 ELSE 0 END - CASE WHEN length(s) > 5000 THEN 5 ELSE 0 END - CASE WHEN s = '' AND d = 0 AND k = 0 THEN 50 ELSE 0 END)::DOUBLE AS score, NOT (s = '' AND d = 0 AND k = 0) AS passed FROM (
+ - CASE WHEN k = 0 THEN 5 ELSE 0 END - CASE WHEN x = 0 THEN 10 ELSE 0 END - CASE WHEN length(s) > 5000 THEN 5 ELSE 0 END - CASE WHEN s = '' AND d = 0 AND k = 0 THEN 50 ELSE 0 END)::DOUBLE AS score, NOT (s = '' AND d = 0 AND k = 0) AS passed,
+ array_to_string(list_filter([CASE WHEN s = '' AND d = 0 AND k = 0 THEN 'critical no content=' || '50.0' END, CASE WHEN length(topic) < 3 THEN 'note short topic=' || '10.0' END, CASE WHEN length(trim(s, e' \\n')) < 50 THEN 'note short summary=' || '20.0' END, CASE WHEN p = 0 THEN 'note no participants=' || '15.0' END, CASE WHEN d = 0 THEN 'note no decisions=' || '5.0' END, CASE WHEN k = 0 THEN 'note no tasks=' || '5.0' END, CASE WHEN x = 0 THEN 'note no transcript=' || '10.0' END, CASE WHEN length(s) > 5000 THEN 'note long summary=' || '5.0' END], lambda x: x IS NOT NULL), ';') AS findings FROM (
  SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN lang ELSE source END AS topic, CASE WHEN doc_id % 4 = 0 THEN '' ELSE text END AS s, doc_id % 3 AS p, doc_id % 2 AS d, (doc_id // 2) % 2 AS k, doc_id % 5 AS x FROM documents)""")
 def _(t):
     i = F.col("doc_id")
@@ -132,7 +140,7 @@ def _(t):
         rep(i % 5).alias("transcript"),
         F.array().cast("array<string>").alias("key_topics"),
     )
-    return ql.protocol_quality(df).select("doc_id", "score", "passed")
+    return ql.protocol_quality(df).select("doc_id", "score", "passed", findings().alias("findings"))
 
 
 @check("p5_review_rows", "SELECT meeting_id, ord FROM aligned WHERE attribution_confidence < 0.8", AL)

@@ -32,6 +32,10 @@ def _present(*messages: Column) -> Column:
     return F.filter(F.array(*messages), lambda m: m.isNotNull())
 
 
+def _finding(when: Column, severity: str, message: str, value: Column | float = 0.0) -> Column:
+    return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(message).alias("message"), (value if isinstance(value, Column) else F.lit(value)).cast("double").alias("value")))
+
+
 def audio_quality(meta: DataFrame) -> DataFrame:
     """A4: duration, sample rate, channels, codec and size of each recording."""
     d = F.col("duration_ms")
@@ -114,6 +118,13 @@ def transcript_quality(meetings: DataFrame, segments: DataFrame) -> DataFrame:
         suspect.alias("suspect"),
         F.when(none, 0.0).otherwise(_clamped(score)).alias("score"),
         (~none & ~low & ~suspect).alias("passed"),
+        _present(
+            _finding(none, "critical", "no segments"),
+            _finding(low, "warning", "low average confidence", F.bround("avg_confidence", 2)),
+            _finding(suspect, "warning", "repeated or dense text"),
+            _finding(F.col("very_low") > 0, "note", "segments with very low confidence", F.col("very_low")),
+            _finding(F.col("empty") > 0, "note", "segments without text", F.col("empty")),
+        ).alias("findings"),
     )
 
 
@@ -131,7 +142,20 @@ def diarization_quality(meetings: DataFrame, diarization: DataFrame) -> DataFram
     wide = F.coalesce(F.col("mean_gap_ms") > GAP_MEAN_MS, F.lit(False))
     score = 100 - _minus(10, F.col("speakers") < 2) - _minus(5, F.col("short_rows") > 0) - _minus(10, wide)
     return df.select(
-        "meeting_id", "speakers", "short_rows", "quiet_speakers", wide.alias("large_gaps"), F.when(none, 0.0).otherwise(_clamped(score)).alias("score"), (~none).alias("passed")
+        "meeting_id",
+        "speakers",
+        "short_rows",
+        "quiet_speakers",
+        wide.alias("large_gaps"),
+        F.when(none, 0.0).otherwise(_clamped(score)).alias("score"),
+        (~none).alias("passed"),
+        _present(
+            _finding(none, "critical", "no rows"),
+            _finding(F.col("speakers") < 2, "note", "few speakers", F.col("speakers")),
+            _finding(F.col("short_rows") > 0, "note", "very short rows", F.col("short_rows")),
+            _finding(wide, "note", "large gaps", F.bround("mean_gap_ms", 0)),
+            _finding(F.col("quiet_speakers") > 0, "note", "speakers with a small share", F.col("quiet_speakers")),
+        ).alias("findings"),
     )
 
 
@@ -161,6 +185,13 @@ def alignment_quality(meetings: DataFrame, aligned: DataFrame) -> DataFrame:
         "missing_at",
         F.when(none, 0.0).otherwise(_clamped(score)).alias("score"),
         F.when(none, False).otherwise((F.col("missing_speaker") == 0) & (F.col("inverted") == 0)).alias("passed"),
+        _present(
+            _finding(none, "critical", "no segments"),
+            _finding(F.col("missing_speaker") > 0, "critical", "segments without speaker", F.col("missing_speaker")),
+            _finding(F.col("inverted") > 0, "critical", "inverted time ranges", F.col("inverted")),
+            _finding(F.col("out_of_order") > 0, "note", "segments out of order", F.col("out_of_order")),
+            _finding(F.col("empty") > 0, "note", "segments without text", F.col("empty")),
+        ).alias("findings"),
     )
 
 
@@ -169,15 +200,18 @@ def protocol_quality(protocols: DataFrame) -> DataFrame:
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
     topic, summary = tx.strip(F.coalesce("topic", F.lit(""))), F.coalesce("summary", F.lit(""))
     empty = (F.length(summary) == 0) & (size("key_topics") == 0) & (size("decisions") == 0) & (size("tasks") == 0)
-    score = (
-        100
-        - _minus(10, F.length(topic) < 3)
-        - _minus(20, F.length(tx.strip(summary)) < 50)
-        - _minus(15, size("participants") == 0)
-        - _minus(5, size("decisions") == 0)
-        - _minus(5, size("tasks") == 0)
-        - _minus(10, size("transcript") == 0)
-        - _minus(5, F.length(summary) > 5000)
-        - _minus(50, empty)
-    )
-    return protocols.withColumns({"score": _clamped(score), "passed": ~empty})
+    rules = [
+        (50, empty, "critical", "no content"),
+        (10, F.length(topic) < 3, "note", "short topic"),
+        (20, F.length(tx.strip(summary)) < 50, "note", "short summary"),
+        (15, size("participants") == 0, "note", "no participants"),
+        (5, size("decisions") == 0, "note", "no decisions"),
+        (5, size("tasks") == 0, "note", "no tasks"),
+        (10, size("transcript") == 0, "note", "no transcript"),
+        (5, F.length(summary) > 5000, "note", "long summary"),
+    ]
+    score = F.lit(100)
+    for points, when, _, _ in rules:
+        score = score - _minus(points, when)
+    findings = _present(*[_finding(when, severity, message, float(points)) for points, when, severity, message in rules])
+    return protocols.withColumns({"score": _clamped(score), "passed": ~empty, "findings": findings})
