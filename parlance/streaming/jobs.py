@@ -34,31 +34,28 @@ def ingest_audit(events: DataFrame, path: str, checkpoint: str):
 
 # ---- T2 ---------------------------------------------------------------------------------------
 def follow_job_states(events: DataFrame, path: str, checkpoint: str):
-    """Keep the newest state per job in a table of numbered snapshots.
+    """Keep the newest state per job in a table of numbered changes.
 
-    A micro-batch carries the jobs that changed; it is merged with the last snapshot under the batch's own number,
-    so a repeated batch rewrites the same snapshot.  Late events lose by event time inside ``latest_states``.
+    A micro-batch writes only the jobs that changed, under its own number, so a repeated batch rewrites the same folder.  Late events
+    lose by event time inside ``latest_states``, so a job's row of the highest number is its newest.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = snapshot(spark, path, number)
-        merged = batch if before is None else before.join(batch, "job_id", "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(f"{path}/v={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return latest_states(events).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(upsert).trigger(availableNow=True).start()
 
 
-def snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest snapshot, or the newest one older than ``before``; only committed folders hold rows."""
+def snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest row of every job; None before the first batch.  Any other failure to read is raised."""
     try:
         versions = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    if before is not None:
-        versions = versions.where(F.col("v") < before)
-    newest = versions.agg(F.max("v")).first()[0]
-    return None if newest is None else versions.where(F.col("v") == newest).drop("v")
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    names = [c for c in versions.columns if c not in ("job_id", "v")]
+    return versions.groupBy("job_id").agg(F.max_by(F.struct(*names), "v").alias("s")).select("job_id", "s.*")
 
 
 # ---- T3 ---------------------------------------------------------------------------------------
