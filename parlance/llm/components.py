@@ -18,17 +18,19 @@ def _star(links: DataFrame) -> DataFrame:
     return links.join(least, "u")
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every vertex has one link, and it leads to a vertex without any."""
+    if links.groupBy("u").count().where("count > 1").head(1):
+        return False
+    return not links.select("v").join(links.select(F.col("u").alias("v")), "v", "left_semi").head(1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id`` and ``component`` (its least reachable id) of every vertex of ``edges`` (u, v), itself included."""
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (mark["n"], mark["s"]) == seen or mark["n"] == 0:
-            break
-        seen = (mark["n"], mark["s"])
-        large = _star(cut(_both(now))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _settled(now):
+        large = _star(_both(now)).where("v > u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v")
+        large = cut(large.distinct())
         small = _star(large)
         pairs = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = cut(pairs.where("u <> v").distinct())
