@@ -107,6 +107,17 @@ def _(t):
     return tn.words_to_segments(t.words, order="start_ms").withColumn("conf_sum", F.round(F.col("confidence") * F.col("n_words"), 2)).drop("confidence")
 
 
+PRELUDE["tiedwords"] = ("words", "SELECT *, k AS ord FROM (SELECT meeting_id, t AS start_ms, end_ms, word, confidence, regexp_matches(word, '[.!?…]$') AS ends, row_number() OVER (PARTITION BY meeting_id ORDER BY t, seg_ord, w_pos) AS k FROM (SELECT *, start_ms // 700 * 700 AS t FROM words))")
+
+
+@check("w6_equal_starts", recursive("NOT g.ends AND r.start_ms - g.pe <= 800 AND r.end_ms - g.s0 <= 15000", "tiedwords", ", {0}ends")
+       + " SELECT meeting_id, arg_min(start_ms, k) AS ord, arg_min(start_ms, k) AS start_ms, arg_max(end_ms, k) AS end_ms, string_agg(word, ' ' ORDER BY k) AS text, round(sum(confidence), 2) AS conf_sum, count(*) AS n_words FROM tiedwords JOIN (SELECT meeting_id, k, grp FROM g) USING (meeting_id, k) GROUP BY meeting_id, grp", "tiedwords")
+def _(t):
+    tied = t.words.withColumn("start_ms", F.floor(F.col("start_ms") / 700) * 700)
+    out = tn.words_to_segments(tied, order="start_ms", ties=("seg_ord", "w_pos"))
+    return out.withColumn("conf_sum", F.round(F.col("confidence") * F.col("n_words"), 2)).drop("confidence")
+
+
 PRELUDE["kwords"] = ("words", "SELECT meeting_id, start_ms AS ord, start_ms, end_ms, word, confidence, regexp_matches(word, '[.!?…]$') AS ends, row_number() OVER (PARTITION BY meeting_id ORDER BY start_ms) AS k FROM words")
 
 

@@ -193,8 +193,14 @@ def _fold_group(grouped: DataFrame) -> DataFrame:
     ).withColumnRenamed("group", "ord")
 
 
-def words_to_segments(words: DataFrame, gap_ms: int = WORD_GAP_MS, span_ms: int = SEGMENT_SPAN_MS, order: str = "w_ord") -> DataFrame:
-    """Break after sentence punctuation, after a long pause, or when the span would exceed ``span_ms``."""
+def words_to_segments(words: DataFrame, gap_ms: int = WORD_GAP_MS, span_ms: int = SEGMENT_SPAN_MS, order: str = "w_ord", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Break after sentence punctuation, after a long pause, or when the span would exceed ``span_ms``.
+
+    ``order`` must tell words of a meeting apart; where it is a time that several share, ``ties`` names the columns that order those.
+    """
+    if ties:
+        dense = dense_index(words, Timeline(("meeting_id",), (order, *ties), BLOCK_MS), "_at")
+        return words_to_segments(dense, gap_ms, span_ms, "_at").drop("ord").withColumn("ord", F.col("start_ms"))
     flagged = words.withColumn("ends", F.col("word").rlike("[.!?…]$").cast("int"))
     grouped = greedy_groups(
         flagged,
