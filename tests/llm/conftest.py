@@ -1,17 +1,14 @@
-import re
 import sys
 from pathlib import Path
 
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-DOC = "doc_id long, text string, lang string, source string, n_chars long, id long, component string"
-
+from plain_text import prose  # noqa: E402
 
-def words(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+DOC = "doc_id long, text string, lang string, source string, n_chars long, id long, component string"
 
 
 @pytest.fixture(scope="session")
@@ -21,11 +18,6 @@ def spark():
     return build_session("local[8]", shuffle_partitions=4)
 
 
-def prose(seed, n):
-    """Words no other seed shares."""
-    return " ".join(f"w{seed}x{(seed * 7919 + i * 31) % 1009}q{i}" for i in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls in every column, empty and long texts, copies, near copies, ties and repeated rows, with columns whose names operators use inside."""

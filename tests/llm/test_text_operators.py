@@ -1,18 +1,14 @@
 """Language, repeats, leaks, scores, packing and the Jaccard join against plain loops, on odd rows and on empty tables."""
 
 import math
-import sys
 import zlib
 from collections import Counter, defaultdict
-from pathlib import Path
 
 import numpy as np
 import pytest
+from plain_text import prose, words
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-from conftest import prose, words  # noqa: E402
-
-from parlance.llm import bilinear, jaccard, language, leaks, packing, repeats  # noqa: E402
+from parlance.llm import bilinear, jaccard, language, leaks, packing, repeats
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
