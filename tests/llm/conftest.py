@@ -1,8 +1,11 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # small products, many processes
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 

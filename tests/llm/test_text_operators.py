@@ -232,7 +232,7 @@ def test_packing_is_an_exact_round_trip(docs, texts):
 
 def test_packing_odd_rows(odd_docs, no_docs):
     tricky = {r.doc_id: r.text for r in odd_docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()}
-    tricky[14] = "Ünï<|endoftext|>x don't re-do it's 'll e\u0301 \u00a0a\u2003b <|x <|startoftext|> İI"
+    tricky[14] = "Ünï<|endoftext|>x don't re-do it's 'll e\u0301 \u00a0a\u2003b a- a-. a-b a-b. x. x.. X, .x, 5, ... , <|x <|startoftext|> İI"
     df = odd_docs.sparkSession.createDataFrame(list(tricky.items()), "doc_id long, text string")
     check_packing(packing.pack(packing.pieces_of(df, TOKENIZER)).collect(), tricky)
     assert packing.pack(packing.pieces_of(odd_docs, TOKENIZER)).where("doc_id = 2").selectExpr("sum(length)").first()[0] == 2 * (len(packing_ids(tricky[2])) + 1)
