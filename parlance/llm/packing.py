@@ -11,6 +11,7 @@ pieces follow id and start.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,35 +27,83 @@ WINDOW = 2048
 STEP = 16  # Width of a length class; a window has WINDOW / STEP units.
 DEPTH = 3
 END_ID = 1
-CACHE_WORDS = 1 << 19  # Bound of a worker's memory of word ids.
+REMEMBERED = 1 << 20  # Bound of the words a worker remembers.
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordIds:
-    """Token ids of words, each distinct word encoded once while it is remembered.
+    """Token ids of words, each distinct word encoded once while a worker remembers it.
 
-    Valid for tokenizers that drop white space and never merge across it: the ids of a text are those of its words in turn.
+    Valid for tokenizers that drop white space, split letters from punctuation, and end the last id of each such piece with ``</w>``: the ids of a text are
+    those of its words in turn.  Words of letters alone (but for one mark behind them) are encoded many at a time and told apart by these ends.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, np.ndarray] = {}
-
-    def of(self, keys: np.ndarray, spelled) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and their counts for distinct word keys; ``spelled(i)`` is the text of the i-th."""
-        new = [i for i, k in enumerate(keys.tolist()) if k not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list(range(len(keys)))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([spelled(i) for i in part], add_special_tokens=False), strict=True):
-                self.known[int(keys[i])] = np.array(e.ids, np.uint32)
-        found = [self.known[k] for k in keys.tolist()]
-        return (np.concatenate(found) if found else np.zeros(0, np.uint32)), np.array([len(f) for f in found], np.int64)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self.tokenizer.encode(m.decode(), add_special_tokens=False).ids[0] for m in (b".", b",", b";", b":", b"!", b"?")}
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.flat, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, letters: list[bytes], others: list[bytes]) -> None:
+        flat, counts = [], []
+        for at in range(0, len(letters), 20_000):
+            part = letters[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not end every word of letters once")
+            flat.append(ids)
+            counts.append(np.diff(np.concatenate([[-1], ends])))
+        for e in self.tokenizer.encode_batch_fast([o[1:].decode("utf-8") for o in others], add_special_tokens=False) if others else []:
+            flat.append(np.array(e.ids, np.uint32))
+            counts.append(np.array([len(e.ids)]))
+        new = np.concatenate(counts).astype(np.int64)
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(new) - new])
+        self.flat, self.count = np.concatenate([self.flat, *flat]), np.concatenate([self.count, new])
+        for i, k in enumerate([*letters, *others], len(self.place)):
+            self.place[k] = i
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in turn and the number of each word."""
+        if len(self.place) + len(words) > REMEMBERED:
+            self.forget()
+        keys, tails, letters, others, place = [], [], {}, {}, self.place
+        for word in words:
+            low = word.lower()
+            mark = self.marks.get(low[-1:], -1)
+            core = low[:-1] if mark >= 0 else low
+            if core in place or core in letters:
+                pass
+            elif core.isalpha() or (not core.isascii() and core.decode("utf-8").lower().isalpha()):
+                letters[core] = True
+            else:
+                core, mark = b"\0" + low, -1  # never the spelling of a word of letters
+                if core not in place:
+                    others[core] = True
+            keys.append(core)
+            tails.append(mark)
+        if letters or others:
+            self._learn(list(letters), list(others))
+        at = np.array([place[k] for k in keys], np.int64)
+        tail = np.array(tails, np.int64)
+        counts = self.count[at] + (tail >= 0)
+        ends = np.cumsum(counts)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+        own = self.count[at]
+        spot = np.repeat(ends - counts, own) + (np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own))
+        out[spot] = self.flat[np.repeat(self.first[at], own) + (np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own))]
+        out[ends[tail >= 0] - 1] = tail[tail >= 0]
+        return out, counts
 
 
 _WORKER: dict[str, WordIds] = {}
@@ -66,9 +115,9 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         _WORKER[path] = WordIds(path)
     w = find_words(texts)
     # Upper case is folded by the tokenizer itself, so words that differ only in the case of A-Z share ids.
-    keys, first_seen, which = np.unique(w.hash, return_index=True, return_inverse=True)
+    _, seen, which = np.unique(w.hash, return_index=True, return_inverse=True)
     raw = w.data.tobytes()
-    flat, counts = _WORKER[path].of(keys, lambda i: raw[w.start[first_seen[i]] : w.end[first_seen[i]]].decode("utf-8"))
+    flat, counts = _WORKER[path].of([raw[a:b] for a, b in zip(w.start[seen].tolist(), w.end[seen].tolist(), strict=True)])
     base = np.concatenate([[0], np.cumsum(counts)])
     n = counts[which]
     upto = np.concatenate([[0], np.cumsum(n)])
@@ -81,7 +130,7 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def _pieces(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=1 << 22):
                 ids, bounds = token_ids(part.column("text"), path)
                 ids = ids.astype("<u4")
                 rows = [(i, a, min(window, int(hi - lo) - a), int(lo), int(hi - lo)) for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) for a in range(0, int(hi - lo), window)]
