@@ -24,15 +24,15 @@ from parlance.llm.jaccard import texts_of
 from parlance.llm.words import Words, chunks, find_words, mix, runs_hash
 from parlance.session import cut
 
-KEY = 26
-WINDOW = 25
+KEY = 19
+WINDOW = 32
 LENGTH = KEY + WINDOW - 1
 
 
 def minimisers(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Selected word positions (indices into ``w``) and the digests of their keys.
 
-    The least of a second hash in each stretch of ``WINDOW`` positions of one row is selected, the first among equals; a row with fewer positions selects its least.
+    The least of a second hash in each stretch of ``WINDOW`` positions of one row is selected, the first among equals; a row of fewer words than a passage has none.
     """
     h, at = runs_hash(w, KEY)
     if not len(h):
