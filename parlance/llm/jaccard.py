@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.components import components
-from parlance.llm.words import chunks, find_words, mix, runs_hash
+from parlance.llm.words import chunks, commonest, find_words, mix, runs_hash
 from parlance.session import cut
 
 SHINGLE = 5
@@ -62,8 +62,8 @@ def _sample_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles that at least three documents of the sample hold, the commonest ``HINT_TOKENS``."""
     sample = docs.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(HINT_SHARE)) == 0).select("text")
-    counts = sample.mapInArrow(_sample_shingles, "key long").groupBy("key").count().where("count >= 3")
-    rows = counts.orderBy(F.desc("count"), "key").limit(HINT_TOKENS).select("key").toPandas()
+    counts = cut(sample.mapInArrow(_sample_shingles, "key long").groupBy("key").count().where("count >= 3"))
+    rows = commonest(counts, "count", HINT_TOKENS)[0].select("key").toPandas()
     return np.sort(rows["key"].to_numpy(np.int64))
 
 

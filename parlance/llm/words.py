@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -127,3 +129,17 @@ def runs_hash(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         h += w.hash[j : j + n] * factor[j]
     at = np.flatnonzero(w.doc[:n] == w.doc[k - 1 :])
     return mix(h[at]), at
+
+
+def commonest(counts: DataFrame, count: str, bound: int) -> tuple[DataFrame, int]:
+    """Rows with the largest counts, at most ``bound``, as those above a count; and that count.
+
+    The limit is read off how many rows have each count, so tasks never send ``bound`` rows each.
+    """
+    kept, limit = 0, 0
+    for r in sorted(counts.groupBy(count).agg(F.count(F.lit(1)).alias("rows")).collect(), key=lambda r: -r[count]):
+        if kept + r["rows"] > bound:
+            limit = r[count]
+            break
+        kept += r["rows"]
+    return counts.where(F.col(count) > limit), limit
