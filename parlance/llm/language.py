@@ -209,9 +209,11 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(place):
                     continue
                 _, first, n = np.unique(gram_hash(code, place, ORDER), return_index=True, return_counts=True)
-                rows = np.stack([code[place[first] - ORDER + 1 + j] for j in range(ORDER)], axis=1)
-                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * ORDER), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows, "<u4").tobytes())])
-                yield pa.record_batch({"lang": pa.array([str(lang)] * len(rows)), "gram": flat.cast(pa.binary()), "n": pa.array(n.astype(np.int64))})
+                # Five characters of 21 bits each in two numbers.
+                c = [code[place[first] - ORDER + 1 + j].astype(np.int64) for j in range(ORDER)]
+                yield pa.record_batch(
+                    {"lang": pa.array([str(lang)] * len(first)), "head": pa.array(c[0] << 21 | c[1]), "tail": pa.array(c[2] << 42 | c[3] << 21 | c[4]), "n": pa.array(n.astype(np.int64))}
+                )
 
 
 def fit(labelled: DataFrame, ids: Column) -> Identifier:
@@ -220,12 +222,14 @@ def fit(labelled: DataFrame, ids: Column) -> Identifier:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     sample = known.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).cache()
     try:
-        counted = sample.where(F.col("rank") % CALIBRATE_EVERY != 0).select("lang", "text").mapInArrow(_gram_counts, "lang string, gram binary, n long")
-        grams = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # distinct grams of the bounded sample
+        counted = sample.where(F.col("rank") % CALIBRATE_EVERY != 0).select("lang", "text").mapInArrow(_gram_counts, "lang string, head long, tail long, n long")
+        grams = counted.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n")).toPandas()  # distinct grams of the bounded sample
         models = {}
         for lang, g in grams.groupby("lang"):
-            rows = np.frombuffer(b"".join(bytes(x) for x in g["gram"]), "<u4").reshape(-1, ORDER)
+            head, tail, low = g["head"].to_numpy(), g["tail"].to_numpy(), (1 << 21) - 1
+            rows = np.stack([head >> 21, head & low, tail >> 42, tail >> 21 & low, tail & low], axis=1).astype(np.uint32)
             models[str(lang)] = kneser_ney(rows, g["n"].to_numpy())
+        del grams
         held = sample.where(F.col("rank") % CALIBRATE_EVERY == 0).select("lang", "text").toPandas()
     finally:
         sample.unpersist()
@@ -250,7 +254,7 @@ def identify(docs: DataFrame, found: Identifier, ids: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value.models)
         for batch in batches:
-            for part in chunks(batch, limit=1 << 20):
+            for part in chunks(batch, limit=1 << 19):
                 names, score, ce, out = shared.value.judge(scorer, part.column("text").to_pylist())
                 yield pa.record_batch({"id": part.column("id"), "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(score), "cross_entropy": pa.array(ce), "rejected": pa.array(out)})
 

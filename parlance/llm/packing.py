@@ -27,7 +27,7 @@ WINDOW = 2048
 STEP = 16  # Width of a length class; a window has WINDOW / STEP units.
 DEPTH = 3
 END_ID = 1
-REMEMBERED = 1 << 20  # Bound of the words a worker remembers.
+REMEMBERED = 1 << 18  # Bound of the words a worker remembers.
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -130,7 +130,7 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def _pieces(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, limit=1 << 22):
+            for part in chunks(batch):
                 ids, bounds = token_ids(part.column("text"), path)
                 ids = ids.astype("<u4")
                 rows = [(i, a, min(window, int(hi - lo) - a), int(lo), int(hi - lo)) for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) for a in range(0, int(hi - lo), window)]

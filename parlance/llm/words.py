@@ -1,4 +1,4 @@
-"""Vectorised words of Arrow text columns: byte spans and 64-bit hashes of whole texts, a few megabytes at a time.
+"""Vectorised words of Arrow text columns: byte spans and 64-bit hashes of whole texts, about a megabyte at a time.
 
 Words are runs of bytes other than space and tab to carriage return; A-Z count as a-z in hashes.  A hash is a polynomial over
 random byte values modulo 2**64, read off prefix sums, so no word becomes a Python object.
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
