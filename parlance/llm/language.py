@@ -219,8 +219,10 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, ids: Column) -> Identifier:
     """Models from ``text`` and ``lang`` of labelled rows; ``ids`` only orders the sample."""
     known = labelled.where("lang is not null and text is not null").select("text", "lang", F.xxhash64(ids).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample = known.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).cache()
+    # Only hashes are ranked; the chosen ones, at most SAMPLE_ROWS a language, then pick their texts.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = known.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).groupBy("lang", "h").agg(F.min("rank").alias("rank"))
+    sample = known.join(F.broadcast(chosen), ["lang", "h"]).cache()
     try:
         counted = sample.where(F.col("rank") % CALIBRATE_EVERY != 0).select("lang", "text").mapInArrow(_gram_counts, "lang string, head long, tail long, n long")
         grams = counted.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n")).toPandas()  # distinct grams of the bounded sample
