@@ -175,6 +175,48 @@ def test_leaks_find_passages_and_paraphrases(spark, odd_docs, no_docs):
     assert leaks.leaks(odd_docs, bench).columns == ["doc_id", "item_id", "cosine", "share", "start_word", "end_word"]
 
 
+def test_leaks_find_paraphrases_of_the_rarest_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    df = Counter(x for r in docs.collect() for x in set(words(r.text)))
+    rows = []
+    for r in bench.collect():
+        w = words(r.text)
+        body = range(len(w) - 6) if len(w) > 12 else range(len(w))
+        swapped = set(sorted(body, key=lambda j: (df[w[j]], j))[: len(w) - math.ceil(leaks.COMMON * len(w))])
+        text = " ".join(f"other{r.item_id}x{j}" if j in swapped else x for j, x in enumerate(w))
+        rows.append((10**6 + r.item_id, prose(r.item_id, 30 + r.item_id % 40) + " " + text + " " + prose(300 + r.item_id, 70)))
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")), bench).collect()}
+    missed = {d - 10**6 for d, _ in rows} - {i for d, i in got if d == 10**6 + i}
+    assert not missed, sorted(missed)
+
+
+def test_leaks_equal_exhaustive_search():
+    """Every stretch of every text against every item, with inserted, changed and moved words."""
+    rng = np.random.default_rng(4)
+    common = [f"c{i}" for i in range(30)]
+    items = [" ".join(rng.choice(common) if rng.random() < 0.5 else f"r{k}x{j}" for j in range(n)) for k, n in enumerate((5, 9, 15, 24, 40, 70))]
+    texts = []
+    for t in items * 12:
+        w = [f"z{rng.integers(10**6)}" if rng.random() < 0.25 else x for x in t.split()]
+        for _ in range(len(w) // 4):
+            w.insert(int(rng.integers(len(w) + 1)), str(rng.choice(common)))
+        texts.append(" ".join([*rng.choice(common, 40).tolist(), *w, *rng.choice(common, 33).tolist()]))
+    finder = leaks.Finder(list(range(len(items))), items, np.ones(leaks.BUCKETS), np.zeros((leaks.BUCKETS, 2)))
+    found = {(d, i) for d, i, *_ in finder.search(leaks.find_words(leaks.pa.array(texts)))}
+    expected = set()
+    for d, t in enumerate(texts):
+        h = leaks.find_words(leaks.pa.array([t])).hash
+        for i, mine in enumerate(finder.words):
+            need, span = math.ceil(leaks.COMMON * len(mine)), int(math.ceil(leaks.COMMON * len(mine)) / leaks.DENSITY + 1e-9)
+            for s in range(len(h)):
+                p = leaks.common_subsequence(mine.tolist(), h[s : s + span])
+                if len(p) >= need and len(leaks.common_subsequence(mine[-leaks.ANSWER :].tolist(), h[s + p[0] : s + span])) >= leaks.ANSWER_COMMON * min(len(mine), leaks.ANSWER):
+                    expected.add((d, i))
+                    break
+    assert expected <= found and len(expected) > 20, (len(expected), sorted(expected - found))
+
+
 @pytest.mark.parametrize("held", [1 << 18, 200])
 def test_scores_equal_loops(spark, docs, texts, monkeypatch, held):
     monkeypatch.setattr(bilinear, "HELD", held)
