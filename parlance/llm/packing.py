@@ -12,6 +12,7 @@ pieces follow id and start.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +37,8 @@ class WordIds:
     """Token ids of words, each distinct word encoded once while a worker remembers it.
 
     Valid for tokenizers that drop white space, split letters from punctuation, and end the last id of each such piece with ``</w>``: the ids of a text are
-    those of its words in turn.  Words of letters alone (but for one mark behind them) are encoded many at a time and told apart by these ends.
+    those of its words in turn.  Words of letters alone (but for one mark behind them) are encoded many at a time and told apart by these ends, or one
+    by one if the ends don't match the words.
     """
 
     def __init__(self, path: str):
@@ -60,10 +62,14 @@ class WordIds:
             part = letters[at : at + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids])
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer does not end every word of letters once")
-            flat.append(ids)
-            counts.append(np.diff(np.concatenate([[-1], ends])))
+            if len(ends) == len(part):
+                flat.append(ids)
+                counts.append(np.diff(np.concatenate([[-1], ends])))
+                continue
+            # Some word is split into pieces with ends of their own: each word by itself.
+            for e in self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in part], add_special_tokens=False):
+                flat.append(np.array(e.ids, np.uint32))
+                counts.append(np.array([len(e.ids)]))
         for e in self.tokenizer.encode_batch_fast([o[1:].decode("utf-8") for o in others], add_special_tokens=False) if others else []:
             flat.append(np.array(e.ids, np.uint32))
             counts.append(np.array([len(e.ids)]))
@@ -84,7 +90,7 @@ class WordIds:
             core = low[:-1] if mark >= 0 else low
             if core in place or core in letters:
                 pass
-            elif core.isalpha() or (not core.isascii() and core.decode("utf-8").lower().isalpha()):
+            elif core.isalpha() or (not core.isascii() and unicodedata.normalize("NFC", core.decode("utf-8").lower()).isalpha()):
                 letters[core] = True
             else:
                 core, mark = b"\0" + low, -1  # never the spelling of a word of letters

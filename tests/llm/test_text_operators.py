@@ -1,6 +1,7 @@
 """Language, repeats, leaks, scores, packing and the Jaccard join against plain loops, on odd rows and on empty tables."""
 
 import math
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -287,6 +288,19 @@ def packing_ids(text):
     return Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
 
 
+def test_packing_letters_that_compose_to_letter_and_mark():
+    letters = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha() and not unicodedata.normalize("NFC", chr(c).lower()).isalpha()]
+    assert len(letters) >= 59
+    text = "hello " + " ".join(f"स{x}क {x}, {x}" for x in letters) + " road ends"
+    ids, _ = packing.token_ids(packing.pa.array([text]), TOKENIZER)
+    assert ids[:-1].tolist() == packing_ids(text)
+    # Blocks of words that don't end once each are encoded word by word.
+    coder = packing.WordIds(TOKENIZER)
+    coder._learn([f"स{x}क".encode() for x in letters] + [b"hello", b"road"], [])
+    assert coder.count[-2:].tolist() == [len(packing_ids("hello")), len(packing_ids("road"))]
+    assert coder.count.sum() == len(packing_ids(" ".join([*(f"स{x}क" for x in letters), "hello", "road"])))
+
+
 def test_plan_uses_up_any_histogram():
     rng = np.random.default_rng(3)
     for _ in range(5):
