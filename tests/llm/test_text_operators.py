@@ -192,6 +192,16 @@ def test_leaks_find_paraphrases_of_the_rarest_words(spark):
     assert not missed, sorted(missed)
 
 
+def test_leaks_do_not_depend_on_the_sample(spark, monkeypatch):
+    """A latent space of a few documents, or one in which nothing is near, finds the same."""
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").where("item_id % 20 = 3")
+    rows = [(r.item_id, prose(r.item_id, 60) + " " + r.text + " " + prose(400 + r.item_id, 60)) for r in bench.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(leaks, "SAMPLE_DOCS", 1)
+    monkeypatch.setattr(leaks, "COSINE", 9.0)
+    assert {(d, d) for d, _ in rows} <= {(r.doc_id, r.item_id) for r in leaks.leaks(docs, bench).collect()}
+
+
 def test_leaks_equal_exhaustive_search():
     """Every stretch of every text against every item, with inserted, changed and moved words."""
     rng = np.random.default_rng(4)
