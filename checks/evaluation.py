@@ -9,12 +9,12 @@ from parlance.operators import evaluation as ev
 PRELUDE["lines"] = ("segments", "SELECT meeting_id, ord, ws, len(ws) AS n, text FROM (SELECT meeting_id, ord, text, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[\\p{P}\\p{S}]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS ws FROM segments)")
 
 
-def edited(t):
-    """Reference lines and a hypothesis: word 3 replaced by a word that occurs nowhere, the last word dropped."""
+def edited(t, least=4):
+    """Reference lines of at least so many words and a hypothesis: word 3 replaced by a word that occurs nowhere, the last word dropped, where there is one."""
     ws = F.filter(F.split("text", " "), lambda w: w != "")
     n = F.size(ws)
-    hyp = F.transform(F.slice(ws, 1, n - 1), lambda w, i: F.when(i == 2, F.lit("zzzz")).otherwise(w))
-    return t.segments.where(n >= 4).select("meeting_id", "ord", F.col("text").alias("ref"), F.array_join(hyp, " ").alias("hyp"))
+    hyp = F.transform(F.slice(ws, 1, F.greatest(n - 1, F.lit(0))), lambda w, i: F.when(i == 2, F.lit("zzzz")).otherwise(w))
+    return (t.segments.where(n >= least) if least else t.segments).select("meeting_id", "ord", F.col("text").alias("ref"), F.array_join(hyp, " ").alias("hyp"))
 
 
 PRELUDE["edited"] = ("segments", "SELECT meeting_id, ord, len(ws) AS n FROM (SELECT meeting_id, ord, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM segments) WHERE len(ws) >= 4")
@@ -104,7 +104,7 @@ def _(t):
 
 @check("f2_similarity_ratio")
 def _(t):
-    df = edited(t).select("meeting_id", "ord", F.split("ref", " ").alias("a"), F.split("hyp", " ").alias("b"))
+    df = edited(t, least=0).select("meeting_id", "ord", F.split("ref", " ").alias("a"), F.split("hyp", " ").alias("b"))
     return df.select("meeting_id", "ord", F.round(ev.similarity_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
 
 

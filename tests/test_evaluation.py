@@ -128,3 +128,18 @@ def test_matched_pairs_on_edited_text(spark):
     got = sorted((r.gold_pos, r.hyp_pos, r.gold.punct, r.hyp.punct) for r in ev.matched_pairs(df).collect())
     assert got == [(0, 0, "", ""), (1, 1, ",", ""), (2, 2, ".", "?"), (4, 4, "", "")]
     assert df.select(ev.similarity_ratio(F.split("ref", " "), F.split("hyp", " "))).first()[0] == 0.2
+
+
+def test_similarity_query_keeps_short_lines(spark):
+    from checks import load
+    from checks.adapters import Tables
+
+    folder = "/root/testdata/sf0.001"
+    got = {(r.meeting_id, r.ord): r.ratio for r in load()[0]["f2_similarity_ratio"](spark, folder).collect()}
+    lines = Tables(spark, folder).segments.select("meeting_id", "ord", "text").collect()
+    assert len(got) == len(lines) and any(len(r.text.split()) < 4 for r in lines)
+    for r in lines:
+        w = [x for x in r.text.split(" ") if x]
+        hyp = " ".join("zzzz" if i == 2 else x for i, x in enumerate(w[:-1]))
+        want = SequenceMatcher(None, r.text.split(" "), hyp.split(" "), autojunk=False).ratio()
+        assert abs(got[r.meeting_id, r.ord] - want) <= 1e-4
