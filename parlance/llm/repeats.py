@@ -1,11 +1,11 @@
-"""Passages that repeat across documents, by sparse suffix arrays at minimiser positions.
+"""Passages that repeat across documents, by hash grouping of keys at minimiser positions.
 
 A suffix is kept where its next ``KEY`` words have the least hash among ``WINDOW`` neighbouring positions, so content alone selects positions and every
-passage of ``WINDOW + KEY - 1 = 50`` words holds one whose key lies inside it.  Suffixes are ordered by the digest of their key; runs of equal
-neighbours from at least two documents are seeds.  Around its seeds a document is extended left and right, one word at a time, to all windows of
-50 words that hold the key; these are ordered by digest again, and runs over two documents are repeats.  Overlapping windows make one span.
+passage of ``WINDOW + KEY - 1 = 50`` words holds one whose key lies inside it.  No suffix is sorted and no neighbours
+are compared: keys are grouped by their digest, and those of at least two documents are seeds.  All windows of 50 words that hold a seed's key
+are grouped by digest again, and those of two documents are repeats.  Overlapping windows make one span.
 
-Runs are counted by partial aggregation, so a passage that a third of all documents hold is never gathered in one task.
+Groups are counted by partial aggregation, so a passage that a third of all documents hold is never gathered in one task.
 
 Defined results: rows without an id, nulls, empty texts and texts of fewer than 50 words have no spans; A-Z equals a-z; words are told apart by 64-bit digests; repeated rows
 of one id are one document; the owner of a repeated window is the least id that holds it; empty tables give empty tables.
