@@ -123,10 +123,11 @@ def eigenpairs(v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
             most = min(positive - done, crowd)
             edges += [nth(diagonal, beside, done + j, nothing, high) for j in range(len(edges) + 1, most + 2)]
             gaps = -np.diff(edges)
-            wide = gaps >= 0.2 * (edges[0] - np.array(edges[1:]))
-            if (gaps > 1e-9 * edges[0]).any():
+            seen = gaps > max(1e-9 * edges[0], 50 * nothing)  # not rounding
+            if seen.any():
                 # The most eigenvalues, though not more than asked for, with a gap that is wide beside their interval.
-                good = np.flatnonzero(wide & (gaps > 1e-9 * edges[0])) + 1
+                good = np.flatnonzero(seen & (gaps >= 0.2 * (edges[0] - np.array(edges[1:])))) + 1
+                good = good if len(good) else np.flatnonzero(seen) + 1
                 enough = good[good <= k - done]
                 cut_at = int(enough[-1] if len(enough) else good[0])
             elif most < positive - done:
