@@ -8,7 +8,7 @@ Files carry the task's attempt in their names, and only files named in a finishe
 Any folder that ``pyarrow.fs`` can open will do (local or shared paths, HDFS, object stores).
 
 Defined results: rows without a page id get no record, null payloads are empty, null URLs are the empty URL; payloads of at least ``REVISIT_BYTES`` bytes that equal that of a later page (larger
-id) become revisits of the latest one; repeated rows of one page are written and found once each; an empty table gives an empty archive.
+id) become revisits of the latest one; rows of one page id, equal or not, are records each, all found by that id; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from parlance.session import checkpoint_dir, cut
 REVISIT_BYTES = 1000
 FILE_BYTES = 64 << 20
 BLOCK_LINES = 256
+ROWS = 4096  # Captures sent on at once.
 LEVEL = 6
 
 
@@ -122,8 +123,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
     large = rows.where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest", "size")
     latest = cut(large.groupBy("digest", "size").agg(F.max("page_id").alias("latest"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     # Payloads stay where they are unless many pages repeat: only ids and digests of repeated pages meet.
-    revisits = cut(large.join(latest, ["digest", "size"]).where("page_id < latest").select("page_id", F.col("latest").cast("string").alias("refers_to")).distinct())  # text: pandas would make nullable ids floats
-    return rows.join(revisits, "page_id", "left")
+    revisits = cut(large.join(latest, ["digest", "size"]).where("page_id < latest").select("page_id", "digest", "size", F.col("latest").cast("string").alias("refers_to")).distinct())  # text: pandas would make nullable ids floats
+    return rows.join(revisits, ["page_id", "digest", "size"], "left")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -165,7 +166,8 @@ def _write_index(folder: str):
 
 def write_index(captures: DataFrame, folder: str) -> list[tuple[str, int, str]]:
     """Sorts captures by key into ranges, writes blocks and directories, and returns the first key and file of each range (one per task)."""
-    rows = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    # Places too, so that captures of one page may fill several ranges.
+    rows = captures.repartitionByRange("key", "page_id", "file", "at").sortWithinPartitions("key", "page_id", "file", "at")
     ranges = rows.mapInPandas(_write_index(folder), "first_key string, first_page long, file string, blocks int").collect()
     return sorted((r["first_key"], r["first_page"], r["file"]) for r in ranges)
 
@@ -188,37 +190,44 @@ def _search(folder: str, ranges: list[tuple[str, int, str]]):
                     if handle is not None:
                         handle.close()
                     handle = filesystem.open_input_file(name)
-                block = max(0, bisect.bisect_right(starts, (r.key, r.page_id)) - 1)
-                if block != open_block:
-                    open_block = block
-                    handle.seek(directory[block][3])
-                    lines = {}
-                    for line in zlib.decompress(handle.read(directory[block][4])).decode("utf-8").split("\n"):
-                        key, page, file, at, length = json.loads(line)
-                        lines[key, page] = (key, page, file, at, length)
-                hit = lines.get((r.key, r.page_id))
-                if hit:
-                    rows.append(hit)
+                # Captures of one page may go on over several blocks.
+                wanted = (r.key, r.page_id)
+                for block in range(max(0, bisect.bisect_left(starts, wanted) - 1), max(1, bisect.bisect_right(starts, wanted))):
+                    if block != open_block:
+                        open_block = block
+                        handle.seek(directory[block][3])
+                        lines = {}
+                        for line in zlib.decompress(handle.read(directory[block][4])).decode("utf-8").split("\n"):
+                            key, page, *place = json.loads(line)
+                            lines.setdefault((key, page), []).append((key, page, *place))
+                    rows += lines.get(wanted, [])
+                    if len(rows) >= ROWS:
+                        yield pd.DataFrame(rows, columns=["key", "page_id", "file", "at", "length"])
+                        rows = []
             yield pd.DataFrame(rows, columns=["key", "page_id", "file", "at", "length"])
 
     return run
 
 
 def lookup(wanted: DataFrame, folder: str, ranges: list[tuple[str, int, str]]) -> DataFrame:
-    """Captures of ``key`` and ``page_id`` rows, through the index."""
+    """All captures of ``key`` and ``page_id`` rows, through the index; asking twice finds them once."""
     if not ranges:
         return wanted.sparkSession.createDataFrame([], CAPTURES)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         firsts = [(k, p) for k, p, _ in ranges]
         for batch in batches:
-            at = [max(0, bisect.bisect_right(firsts, x) - 1) for x in zip(batch["key"], batch["page_id"], strict=True)]
-            yield batch.assign(range=pd.Series(at, index=batch.index, dtype="int32"))
+            keys = list(zip(batch["key"], batch["page_id"], strict=True))
+            low = [max(0, bisect.bisect_left(firsts, x) - 1) for x in keys]
+            high = [max(0, bisect.bisect_right(firsts, x) - 1) for x in keys]
+            yield batch.assign(range=pd.Series([list(range(a, b + 1)) for a, b in zip(low, high, strict=True)], index=batch.index, dtype=object))
 
-    routed = wanted.select("key", "page_id").mapInPandas(route, "key string, page_id long, range int")
+    routed = wanted.where("page_id is not null").select("key", "page_id").distinct().mapInPandas(route, "key string, page_id long, range array<int>")
+    routed = routed.select("key", "page_id", F.explode("range").alias("range"))
     return routed.repartition("range").sortWithinPartitions("range", "key", "page_id").mapInPandas(_search(folder, ranges), CAPTURES)
 
 
+READ_COLUMNS = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
 
 
@@ -245,8 +254,9 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
                     rows.append((page, url, int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"][5:], "revisit", int(fields["WARC-Refers-To"][len("<urn:page:") : -1]), None))
                 else:
                     rows.append((page, url, len(block), hashlib.sha1(block).hexdigest(), "response", None, block.decode("utf-8")))
-            out = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
-            yield out.astype({"refers_to": "Int64"})
+            out = pd.DataFrame(rows, columns=READ_COLUMNS)
+            # Ids whole: pandas would make a column of numbers and None floats.
+            yield out.assign(refers_to=pd.array([r[5] for r in rows], dtype="Int64"))
 
     # Ranges of bytes that follow each other are read by one task.
     return captures.repartitionByRange("file", "at").sortWithinPartitions("file", "at").mapInPandas(run, READ)

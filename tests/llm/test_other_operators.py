@@ -126,6 +126,16 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch):
         assert (r.url, r.payload_bytes, r.payload_digest) == (url or "", len(raw), hashlib.sha1(raw).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", latest[html or ""]) if again else ("response", None))
         assert r.payload == (None if again else html or "")
+    # Rows that share an id, equal and not, and more captures of one page than a block holds.
+    odd = [(5, "u", big), (5, "u", small), (9, "v", big), (7, "u", small), (7, "u", small), (8, None, None)] + [(11, "w", f"{i}{small}") for i in range(20)]
+    twins = spark.createDataFrame([(*r, "key", "digest", 3) for r in odd], "page_id long, url string, html string, key string, digest string, size int")
+    other = str(tmp_path / "twins")
+    captured = warc.write_archives(twins, other)
+    asked = twins.select(warc.url_key(F.col("url")).alias("key"), "page_id")
+    found = warc.read_records(warc.lookup(asked, other, warc.write_index(captured, other)), other).collect()
+    want = [(p, None if p == 5 and h == big else h or "", 9 if p == 5 and h == big else None) for p, _, h in odd]
+    assert sorted((r.page_id, r.payload, r.refers_to) for r in found if r.payload) + sorted((r.page_id, r.refers_to) for r in found if r.payload is None) == sorted(w for w in want if w[1]) + [(5, 9)]
+    assert len(found) == len(odd)
     missing = spark.createDataFrame([("zz)/none", 5)], "key string, page_id long")
     assert warc.lookup(missing, folder, ranges).count() == 0
     none = warc.write_index(warc.write_archives(pages.limit(0), folder), folder)
