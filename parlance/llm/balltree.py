@@ -161,7 +161,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, stage) -> DataFrame:
     )
     found = "block long, query_id long, vec_id long, score double"
     meet = blocks.withColumn("floors", F.lit(None).cast("binary")).withColumn("shard", F.least(F.col("block"), F.lit(0)))  # shard 0
-    pilot = stage(meet.repartition("block").join(shards, "shard").mapInPandas(_search_rows(dim, k), found))
+    # One row of at most SHARD_ROWS vectors goes to every task; a join by key would bring all blocks to it.
+    pilot = stage(meet.repartition("block").join(F.broadcast(shards.where("shard = 0")), "shard").mapInPandas(_search_rows(dim, k), found))
     kth = pilot.groupBy("block", "query_id").agg(F.when(F.count("score") == k, F.min("score")).alias("kth"))
 
     def with_floor(group: pd.DataFrame, bounds: pd.DataFrame) -> pd.DataFrame:

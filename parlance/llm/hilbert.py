@@ -14,13 +14,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 4096  # Rows are ranked in about this many blocks, at most twice as many, so no block holds more than 1/4096 of all rows.
-
+from parlance.session import cut
 
-def ordinal(text: Column) -> Column:
-    """A number in the order of the first six UTF-8 bytes, so that steps of a string dimension are ranges of its values."""
-    head = F.substring(F.rpad(F.hex(F.encode(text, "UTF-8")), 12, "0"), 1, 12)
-    return F.conv(head, 16, 10).cast("double")
+BLOCKS = 4096  # Rows are ranked in about this many blocks, at most twice as many, so no block holds more than 1/4096 of all rows.
 
 
 def curve_index(axes: list[str], bits: int) -> Column:
@@ -45,23 +41,46 @@ def curve_index(axes: list[str], bits: int) -> Column:
         (t, s) -> named_struct('x', t.x * 2 + (shiftright(t.g[s.i], s.b) & 1), 'g', t.g), t -> t.x)""")
 
 
+def string_cuts(df: DataFrame, value: Column, parts: int) -> list[str]:
+    """Values that cut the rows, in the order of whole values (UTF-8), into ``parts`` runs of about one size; at most ``parts - 1`` strings."""
+    kinds = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    # Running counts over values in order: within ranges of values, and over the ranges.
+    kinds = cut(kinds.repartitionByRange("v").withColumn("p", F.spark_partition_id()))
+    ranges = kinds.groupBy("p").agg(F.sum("n").alias("rows"))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("p", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v")) + F.col("before")
+    step = F.expr(f"((upto - 1) * {parts}L) div total")
+    last = kinds.join(ranges, "p").withColumn("upto", upto).groupBy(step.alias("step")).agg(F.max("v").alias("v")).where(F.col("step") < parts - 1)
+    return sorted((r["v"] for r in last.collect()), key=lambda v: v.encode("utf-8"))
+
+
 def quantile_steps(df: DataFrame, dims: Mapping[str, Column], bits: int) -> dict[str, Column]:
-    """The step of each dimension, from its quantiles over all rows (``2**bits - 1`` numbers each reach the driver)."""
+    """The step of each dimension, from its quantiles over all rows (at most ``2**bits - 1`` values each reach the driver)."""
     parts = 1 << bits
+    words = {f.name for f in df.select(*[c.alias(n) for n, c in dims.items()]).schema if f.dataType.typeName() == "string"}
     asked = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    row = df.agg(*[F.percentile_approx(c, asked, F.lit(10_000)).alias(n) for n, c in dims.items()]).first()
+    numbers = [F.percentile_approx(c, asked, F.lit(10_000)).alias(n) for n, c in dims.items() if n not in words]
+    row = df.agg(*numbers).first() if numbers else {}
     steps = {}
     for n, c in dims.items():
-        cuts = row[n] or []
-        steps[n] = F.coalesce(sum(((c > cut).cast("int") for cut in cuts), F.lit(0)), F.lit(0))
+        cuts = string_cuts(df, c, parts) if n in words else row[n] or []
+        steps[n] = F.coalesce(sum(((c > v).cast("int") for v in cuts), F.lit(0)), F.lit(0))
     return steps
 
 
-def hilbert_shards(df: DataFrame, ids: str, dims: Mapping[str, Column], shards: int = 8, bits: int = 4, carry: Mapping[str, Column] | None = None) -> DataFrame:
-    """``ids``, the carried columns, ``cell`` (curve index), ``shard`` and ``slot``: shards whose row counts differ by one at most, slots gapless from 0."""
+def hilbert_shards(
+    df: DataFrame, ids: str, dims: Mapping[str, Column], shards: int = 8, bits: int = 4, carry: Mapping[str, Column] | None = None, near: Column | None = None
+) -> DataFrame:
+    """``ids``, the carried columns, ``cell`` (curve index), ``shard`` and ``slot``: shards whose row counts differ by one at most, slots gapless from 0.
+
+    Within a cell, rows with equal ``near`` lie in one run of about 1/BLOCKS of all rows, or of their own number where that is more; a shard's end may fall into it.
+    """
     steps = quantile_steps(df, dims, bits)
-    rows = df.select(F.col(ids).alias("id"), *[s.alias(f"d{i}") for i, s in enumerate(steps.values())], *[c.alias(f"c_{n}") for n, c in (carry or {}).items()])
+    tie = F.xxhash64(near if near is not None else F.col(ids))
+    carried = [f"c_{n}" for n in carry or {}]
     axes = [f"d{i}" for i in range(len(steps))]
+    rows = cut(df.select(F.col(ids).alias("id"), tie.alias("tie"), *[s.alias(a) for a, s in zip(axes, steps.values(), strict=True)], *[c.alias(f"c_{n}") for n, c in (carry or {}).items()]))
     counts = rows.groupBy(*axes).agg(F.count(F.lit(1)).alias("cell_rows"))
     by_cell = counts.withColumn("cell", curve_index(axes, bits))
     # At most 2**(bits * dimensions) rows: one window orders them.
@@ -74,14 +93,17 @@ def hilbert_shards(df: DataFrame, ids: str, dims: Mapping[str, Column], shards:
         F.sum("cell_rows").over(every).alias("total"),
         F.ceil(F.col("cell_rows") * BLOCKS / F.sum("cell_rows").over(every)).alias("parts"),
     )
-    placed = rows.join(F.broadcast(cells), axes).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    blocks = placed.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = blocks.select("cell", "part", (F.sum("n").over(before) - F.col("n")).alias("block_from"))
-    carried = [f"c_{n}" for n in carry or {}]
-    ranked = placed.withColumn("at", F.row_number().over(Window.partitionBy("cell", "part").orderBy("id", *carried)) - 1)
+    # Parts of a cell are ranges of ties; one that holds much more than its share, as of a text with many copies, is split by id.
+    part = F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * F.col("parts")), F.col("parts") - 1)
+    placed = rows.join(F.broadcast(cells), axes).withColumn("part", part)
+    sizes = placed.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) * BLOCKS / F.max("total") / 2).alias("splits"))
+    placed = placed.join(F.broadcast(sizes), ["cell", "part"]).withColumn("split", F.pmod(F.xxhash64("id", F.lit(7)), F.col("splits")))
+    blocks = placed.groupBy("cell", "part", "split").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("cell").orderBy("part", "split").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.select("cell", "part", "split", (F.sum("n").over(before) - F.col("n")).alias("block_from"))
+    ranked = placed.withColumn("at", F.row_number().over(Window.partitionBy("cell", "part", "split").orderBy("tie", "id", *carried)) - 1)
     rank = (F.col("cell_from") + F.col("block_from") + F.col("at")).cast("long")
-    ranked = ranked.join(F.broadcast(blocks), ["cell", "part"]).withColumn("rank", rank)
+    ranked = ranked.join(F.broadcast(blocks), ["cell", "part", "split"]).withColumn("rank", rank)
     shard = F.expr(f"(rank * {shards}L) div total")
     ranked = ranked.withColumn("shard", shard)
     start = F.expr(f"(shard * total + {shards - 1}L) div {shards}L")

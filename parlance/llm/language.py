@@ -50,7 +50,7 @@ def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     doc = np.repeat(np.arange(len(low)), sizes)
     letter = is_letter()[code]
     first = np.zeros(len(code), bool)
-    first[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = True
+    first[np.cumsum(sizes) - sizes] = True
     before = np.concatenate([[False], letter[:-1]]) & ~first
     keep = letter | before
     code, doc = np.where(letter, code, 32)[keep], doc[keep]
@@ -216,13 +216,15 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def fit(labelled: DataFrame, ids: Column) -> Identifier:
-    """Models from ``text`` and ``lang`` of labelled rows; ``ids`` only orders the sample."""
-    known = labelled.where("lang is not null and text is not null").select("text", "lang", F.xxhash64(ids).alias("h"))
-    # Only hashes are ranked; the chosen ones, at most SAMPLE_ROWS a language, then pick their texts.
+def fit(labelled: DataFrame) -> Identifier:
+    """Models from ``text`` and ``lang`` of labelled rows: at most ``SAMPLE_ROWS`` different texts a language, those of least hash."""
+    known = labelled.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("h"))
+    # Only hashes are ranked, and of these only as many as may be chosen: about four times SAMPLE_ROWS a language, each text once.
+    kinds = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("kinds"))
+    low = known.select("lang", "h").join(kinds, "lang").where(F.col("h").cast("double") <= F.least(4.0 * SAMPLE_ROWS / F.col("kinds"), F.lit(1.0)) * 2.0**64 - 2.0**63)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = known.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS).groupBy("lang", "h").agg(F.min("rank").alias("rank"))
-    sample = known.join(F.broadcast(chosen), ["lang", "h"]).cache()
+    chosen = low.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS)
+    sample = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h", "rank").agg(F.min("text").alias("text")).cache()
     try:
         counted = sample.where(F.col("rank") % CALIBRATE_EVERY != 0).select("lang", "text").mapInArrow(_gram_counts, "lang string, head long, tail long, n long")
         grams = counted.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n")).toPandas()  # distinct grams of the bounded sample

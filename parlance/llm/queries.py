@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import balltree, bilinear, divergence, hilbert, jaccard, language, leaks, packing, repeats, secrets, urls, warc, whitening
 from parlance.session import cut
 
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,9 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
-    dims = {"lang": hilbert.ordinal(F.col("lang")), "source": hilbert.ordinal(F.col("source")), "chars": F.col("n_chars").cast("double")}
+    dims = {"lang": F.col("lang"), "source": F.col("source"), "chars": F.col("n_chars").cast("double")}
     carry = {"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(F.encode(text, "UTF-8"))}
-    placed = hilbert.hilbert_shards(docs, "doc_id", dims, shards=8, carry=carry)
+    placed = hilbert.hilbert_shards(docs, "doc_id", dims, shards=8, carry=carry, near=text)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
 
 
@@ -73,7 +74,7 @@ def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pieces_of(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    pieces = packing.pieces_of(table(spark, sf_dir, "documents"), TOKENIZER)
     return packing.pack(pieces)
 
 
@@ -85,7 +86,7 @@ def fold(n: int):
 @query
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = language.fit(docs.where(fold(3) != 1), F.col("doc_id"))
+    found = language.fit(docs.where(fold(3) != 1))
     judged = language.identify(docs, found)
     return judged.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 

@@ -128,7 +128,8 @@ def drop_repeats(docs: DataFrame, spans: DataFrame, ids: str = "doc_id", text: s
     borrowed = cut(spans.where("not own").groupBy(F.col(ids).alias("id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")))
     touched = texts_of(docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text")), borrowed.select("id")).join(borrowed, "id")
     fresh = cut(touched.select("id", "text", "spans").mapInArrow(_cut_text, "id long, _cut_text_ string").dropDuplicates(["id"]))
-    fresh = fresh.select(F.col("id").alias(ids), "_cut_text_")
+    new = max(docs.columns, key=len) + "_cut"  # no column's name
+    fresh = fresh.select(F.col("id").alias(ids), F.col("_cut_text_").alias(new))
     out = docs.join(fresh, ids, "left")
-    empty = F.col("_cut_text_").isNotNull() & ~F.col("_cut_text_").rlike(r"[^\x20\x09-\x0D]")
-    return out.where(~F.coalesce(empty, F.lit(False))).withColumn(text, F.coalesce("_cut_text_", text)).select(docs.columns)
+    empty = F.col(new).isNotNull() & ~F.col(new).rlike(r"[^\x20\x09-\x0D]")
+    return out.where(~F.coalesce(empty, F.lit(False))).withColumn(text, F.coalesce(new, text)).select(docs.columns)

@@ -64,12 +64,14 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def fit(labelled: DataFrame):
-    """A model from ``url`` and ``label`` (1: block), on the first ``TRAIN_ROWS`` rows by hash; None without rows."""
+    """A model from ``url`` and ``label`` (1: block), on the first ``TRAIN_ROWS`` different rows by hash of the URL; None without rows."""
+    known = labelled.where("label is not null").select("url", F.col("label").cast("double").alias("label"), F.xxhash64("url").alias("h"))
+    kinds = known.agg(F.approx_count_distinct("h").alias("n")).first()["n"] or 1
+    low = known.where(F.col("h").cast("double") <= min(1.0, 4.0 * TRAIN_ROWS / kinds) * 2.0**64 - 2.0**63)  # about four times the sample
     # The sample has at most TRAIN_ROWS rows: one ordered partition makes sums, and so the model, the same on every run.
     rows = (
-        labelled.where("label is not null")
-        .select("url", F.col("label").cast("double").alias("label"))
-        .orderBy(F.xxhash64("url"), "url", "label")
+        low.distinct()
+        .orderBy("h", "url", "label")
         .limit(TRAIN_ROWS)
         .select("label", grams(host_of(F.col("url")), path_of(F.col("url"))).alias("grams"))
     ).cache()

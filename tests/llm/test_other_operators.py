@@ -13,7 +13,7 @@ from parlance.session import cut
 
 
 def place_shards(df):
-    dims = {"lang": hilbert.ordinal(F.col("lang")), "source": hilbert.ordinal(F.col("source")), "chars": F.col("n_chars").cast("double")}
+    dims = {"lang": F.col("lang"), "source": F.col("source"), "chars": F.col("n_chars").cast("double")}
     return hilbert.hilbert_shards(df, "doc_id", dims, carry={"size": F.octet_length("text")})
 
 
@@ -41,6 +41,26 @@ def test_shards_are_even_and_gapless(spark, odd_docs, no_docs):
     assert place_shards(no_docs).count() == 0
 
 
+def test_string_steps_tell_long_names_apart(spark):
+    names = [f"a common beginning {i:02d}" for i in range(8)]
+    df = spark.createDataFrame([(n,) for i, n in enumerate(names) for _ in range(5)] + [(None,)] * 3, "name string")
+    steps = hilbert.quantile_steps(df, {"name": F.col("name")}, 3)["name"]
+    got = {r.name: r.step for r in df.select("name", steps.alias("step")).distinct().collect()}
+    assert [got[n] for n in names] == list(range(8)) and got[None] == 0
+    one = spark.createDataFrame([("x",)] * 9, "name string")
+    assert {r.step for r in one.select(hilbert.quantile_steps(one, {"name": F.col("name")}, 3)["name"].alias("step")).collect()} == {0}
+
+
+def test_equal_texts_follow_each_other(spark, monkeypatch):
+    monkeypatch.setattr(hilbert, "BLOCKS", 16)
+    df = spark.createDataFrame([(i, "copy" if i % 3 == 0 else f"t{i % 40}", 1.0) for i in range(600)], "doc_id long, text string, x double")
+    rows = hilbert.hilbert_shards(df, "doc_id", {"x": F.col("x")}, carry={"text": F.col("text")}, near=F.col("text")).collect()
+    assert len(rows) == 600 and len({r.shard for r in rows if r.text == "copy"}) <= 4
+    texts = [r.text for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    runs = {t: len(texts) - texts[::-1].index(t) - texts.index(t) for t in set(texts)}
+    assert runs["copy"] <= 200 + 80 and sum(n == texts.count(t) for t, n in runs.items()) > 30  # those that share the sixteenth of the ties that is split are mixed
+
+
 def test_written_shards_hold_all_rows(spark, tmp_path):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     hilbert.write_shards(df, place_shards(df), "doc_id", str(tmp_path / "shards"))

@@ -137,13 +137,13 @@ def test_repeats_odd_rows(odd_docs, no_docs):
 def test_language_held_out_and_odd_rows(spark, odd_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     fold = "pmod(crc32(cast(cast(doc_id as string) as binary)), 3)"
-    found = language.fit(docs.where(f"{fold} <> 1"), docs["doc_id"])
+    found = language.fit(docs.where(f"{fold} <> 1"))
     judged = language.identify(docs, found).join(docs.select("doc_id", "lang"), "doc_id").where(f"{fold} = 1").toPandas()
     assert (judged["lang_pred"] == judged["lang"]).mean() > 0.97 and judged["score"].between(0, 1).all() and judged["rejected"].mean() < 0.02
     odd = {r.doc_id: r for r in language.identify(odd_docs, found).collect()}
     assert all(odd[d].lang_pred == "und" and odd[d].rejected and odd[d].score == 0 for d in (4, 5, 6, 15)) and odd[7].lang_pred != "und"
     assert language.identify(no_docs, found).count() == 0
-    none = language.fit(no_docs, no_docs["doc_id"])
+    none = language.fit(no_docs)
     assert {r.lang_pred for r in language.identify(odd_docs, none).collect()} == {"und"}
 
 
