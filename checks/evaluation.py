@@ -4,37 +4,55 @@ from pyspark.sql import functions as F
 
 from checks.adapters import PRELUDE
 from checks.registry import check
+from parlance.functions import text as tx
 from parlance.operators import evaluation as ev
 
 PRELUDE["lines"] = ("segments", "SELECT meeting_id, ord, ws, len(ws) AS n, text FROM (SELECT meeting_id, ord, text, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[\\p{P}\\p{S}]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '') AS ws FROM segments)")
 
 
-def edited(t, least=4):
-    """Reference lines of at least so many words and a hypothesis: word 3 replaced by a word that occurs nowhere, the last word dropped, where there is one."""
+def edited(t):
+    """Reference lines and a hypothesis: the last word dropped, and before it word 3, where there is one, replaced by a word that occurs nowhere."""
     ws = F.filter(F.split("text", " "), lambda w: w != "")
-    n = F.size(ws)
-    hyp = F.transform(F.slice(ws, 1, F.greatest(n - 1, F.lit(0))), lambda w, i: F.when(i == 2, F.lit("zzzz")).otherwise(w))
-    return (t.segments.where(n >= least) if least else t.segments).select("meeting_id", "ord", F.col("text").alias("ref"), F.array_join(hyp, " ").alias("hyp"))
+    hyp = F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.when(i == 2, F.lit("zzzz")).otherwise(w))
+    return t.segments.select("meeting_id", "ord", F.col("text").alias("ref"), F.array_join(hyp, " ").alias("hyp"))
 
 
-PRELUDE["edited"] = ("segments", "SELECT meeting_id, ord, len(ws) AS n FROM (SELECT meeting_id, ord, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM segments) WHERE len(ws) >= 4")
+PRELUDE["edited"] = ("lines", "SELECT meeting_id, ord, n, CAST(n > 0 AS INT) AS dropped, CAST(n > 3 AS INT) AS changed FROM lines")
 
 
-@check("a25_word_errors", "SELECT meeting_id, ord, CAST(n AS INT) AS n_ref, CAST(n - 1 AS INT) AS n_hyp, CAST(n - 2 AS INT) AS hits, 1 AS substitutions, 1 AS deletions, 0 AS insertions, round_even(2.0::DOUBLE / n, 4) AS wer FROM edited", "edited")
+@check("a25_word_errors", "SELECT meeting_id, ord, CAST(n AS INT) AS n_ref, CAST(n - dropped AS INT) AS n_hyp, CAST(n - dropped - changed AS INT) AS hits, changed AS substitutions, dropped AS deletions, 0 AS insertions, CASE WHEN n > 0 THEN round_even((dropped + changed)::DOUBLE / n, 4) END AS wer FROM edited", "edited")
 def _(t):
     return ev.word_errors(edited(t))
 
 
-@check("a25_corpus_wer", "SELECT meeting_id, CAST(sum(n) AS BIGINT) AS n_ref, CAST(count(*) * 2 AS BIGINT) AS edits, round_even(count(*) * 2.0::DOUBLE / sum(n), 4) AS wer FROM edited GROUP BY 1", "edited")
+@check("a25_corpus_wer", "SELECT meeting_id, CAST(sum(n) AS BIGINT) AS n_ref, CAST(sum(dropped + changed) AS BIGINT) AS edits, CASE WHEN sum(n) > 0 THEN round_even(sum(dropped + changed)::DOUBLE / sum(n), 4) END AS wer FROM edited GROUP BY 1", "edited")
 def _(t):
     return ev.corpus_error_rate(ev.word_errors(edited(t)), ["meeting_id"])
 
 
-@check("a26_char_error_rate", r"""
-SELECT meeting_id, ord, round_even(levenshtein(r, h)::DOUBLE / length(r), 4) AS cer FROM (SELECT meeting_id, ord, regexp_replace(lower(text), '[^a-z]', '', 'g') AS r, regexp_replace(lower(replace(text, 'en', 'an') || ' xy'), '[^a-z]', '', 'g') AS h FROM segments) WHERE length(r) > 0""", "segments")
+@check("a25_meeting_edits", """
+SELECT meeting_id, CAST(n AS INT) AS n_ref, CAST(n - dropped + added AS INT) AS n_hyp, CAST(n - changed - dropped AS INT) AS hits, CAST(changed AS INT) AS substitutions, CAST(dropped AS INT) AS deletions, CAST(added AS INT) AS insertions,
+ CASE WHEN n > 0 THEN round_even((changed + dropped + added)::DOUBLE / n, 4) END AS wer
+FROM (SELECT meeting_id, n, (n + 11) // 14 AS changed, (n + 6) // 14 AS dropped, (n + 1) // 14 AS added FROM (SELECT meeting_id, sum(n) AS n FROM lines GROUP BY 1))""", "lines")
 def _(t):
-    df = t.segments.select("meeting_id", "ord", F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("r"), F.regexp_replace(F.lower(F.concat(F.replace("text", F.lit("en"), F.lit("an")), F.lit(" xy"))), "[^a-z]", "").alias("h"))
-    return df.where("r <> ''").select("meeting_id", "ord", ev.char_error_rate("r", "h").alias("cer"))
+    """Whole meetings as recordings: of every 14 words one replaced, one dropped and one followed by another, each far from the next; what is new occurs nowhere."""
+    words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "ws"))), lambda x: x["ws"]))
+    whole = t.segments.select("meeting_id", "ord", tx.tokens(tx.scoring_normalise("text")).alias("ws")).groupBy("meeting_id").agg(words.alias("ws"))
+    new = lambda i: F.concat(F.lit("zz"), i.cast("string"))
+    hyp = F.flatten(F.transform("ws", lambda w, i: F.when(i % 14 == 2, F.array(new(i))).when(i % 14 == 7, F.array().cast("array<string>")).when(i % 14 == 12, F.array(w, new(i))).otherwise(F.array(w))))
+    return ev.word_errors(whole.select("meeting_id", F.array_join("ws", " ").alias("ref"), F.array_join(hyp, " ").alias("hyp")))
+
+
+# Letters beyond ASCII of the given languages, each as one byte: DuckDB's edit distance counts bytes.
+WIDE, NARROW = "àâäáãåæçéèêëíìîïñóòôöõøœúùûüýÿß", "ABCDEFGHIJKLMNOPQRSTUVWXYZ01234"
+_SPELL = r"translate(regexp_replace(regexp_replace(lower({}), '[\p{{P}}\p{{S}}]', ' ', 'g'), '\s+', '', 'g'), '" + WIDE + "', '" + NARROW[: len(WIDE)] + "')"
+PRELUDE["spelled"] = ("segments", f"SELECT meeting_id, ord, {_SPELL.format('text')} AS r, {_SPELL.format("replace(text, 'en', 'an') || ' xy'")} AS h FROM segments")
+
+
+@check("a26_char_error_rate", "SELECT meeting_id, ord, CASE WHEN length(r) > 0 THEN round_even(levenshtein(r, h)::DOUBLE / length(r), 4) END AS cer FROM spelled", "spelled")
+def _(t):
+    hyp = F.concat(F.replace("text", F.lit("en"), F.lit("an")), F.lit(" xy"))
+    return t.segments.select("meeting_id", "ord", ev.char_error_rate(F.col("text"), hyp).alias("cer"))
 
 
 def repunctuated(t):
@@ -77,9 +95,10 @@ def _(t):
 
 
 @check("a27_sentence_counts", """
-SELECT meeting_id, ord, CAST(count(*) AS INT) AS gold_tokens, CAST(count(*) AS INT) AS hyp_tokens, CAST(count_if(gp IN ('.','!','?')) AS INT) AS gold_sentences, CAST(count_if(hp IN ('.','!','?')) AS INT) AS hyp_sentences FROM toks GROUP BY 1, 2""", "toks")
+SELECT s.meeting_id, s.ord, CAST(count(k.g) AS INT) AS gold_tokens, CAST(count(k.g) AS INT) AS hyp_tokens, CAST(count_if(gp IN ('.','!','?')) AS INT) AS gold_sentences, CAST(count_if(hp IN ('.','!','?')) AS INT) AS hyp_sentences
+FROM segments s LEFT JOIN toks k ON k.meeting_id = s.meeting_id AND k.ord = s.ord GROUP BY 1, 2""", "segments toks")
 def _(t):
-    return ev.sentence_counts(repunctuated(t)).where("gold_tokens > 0")
+    return ev.sentence_counts(repunctuated(t))
 
 
 @check("a28_capital_scores", f"""
@@ -102,18 +121,19 @@ def _(t):
     return m.groupBy("meeting_id", "ord").agg(F.count("*").alias("n"), F.sum("gold_pos").alias("gold_sum"))
 
 
-@check("f2_similarity_ratio")
+@check("f2_similarity_ratio", "SELECT meeting_id, ord, round(2.0::DOUBLE * (n - dropped - changed) / (2 * n - dropped), 4) AS ratio FROM edited", "edited")
 def _(t):
-    df = edited(t, least=0).select("meeting_id", "ord", F.split("ref", " ").alias("a"), F.split("hyp", " ").alias("b"))
+    df = edited(t).select("meeting_id", "ord", F.split("ref", " ").alias("a"), F.split("hyp", " ").alias("b"))
     return df.select("meeting_id", "ord", F.round(ev.similarity_ratio(F.col("a"), F.col("b")), 4).alias("ratio"))
 
 
 @check("a33_turn_coverage", """
-SELECT recording_id, turn, n_tokens, CAST(CASE WHEN turn % 4 = 3 THEN 0 ELSE n_tokens END AS BIGINT) AS n_matched, CASE WHEN turn % 4 = 3 OR n_tokens = 0 THEN 'unaligned' ELSE 'aligned' END AS status FROM (
- SELECT meeting_id * 1000 + ord AS recording_id, ord AS turn, CAST(n AS INT) AS n_tokens FROM lines)""", "lines")
+SELECT meeting_id AS recording_id, ord AS turn, CAST(n AS INT) AS n_tokens, CAST(CASE WHEN ord % 4 = 3 THEN 0 ELSE n END AS BIGINT) AS n_matched, CASE WHEN ord % 4 = 3 OR n = 0 THEN 'unaligned' ELSE 'aligned' END AS status FROM lines""", "lines")
 def _(t):
-    turns = t.segments.select((F.col("meeting_id") * 1000 + F.col("ord")).alias("recording_id"), F.col("ord").alias("turn"), "text")
-    words = t.words.where("seg_ord % 4 <> 3").select((F.col("meeting_id") * 1000 + F.col("seg_ord")).alias("recording_id"), F.col("w_pos").alias("pos"), "word", "start_ms", "end_ms")
+    """Whole meetings; in every fourth turn each word is heard as one that occurs nowhere."""
+    turns = t.segments.select(F.col("meeting_id").alias("recording_id"), F.col("ord").alias("turn"), "text")
+    heard = F.when(F.col("seg_ord") % 4 == 3, F.concat(F.lit("zz"), F.col("seg_ord").cast("string"), F.lit("x"), F.col("w_pos").cast("string"))).otherwise(F.col("word"))
+    words = t.words.select(F.col("meeting_id").alias("recording_id"), (F.col("seg_ord") * 100_000 + F.col("w_pos")).alias("pos"), heard.alias("word"), "start_ms", "end_ms")
     return ev.turn_coverage(turns, words).select("recording_id", "turn", "n_tokens", F.col("n_matched").cast("bigint").alias("n_matched"), "status")
 
 

@@ -107,15 +107,15 @@ def _(t):
 
 @check("x22_sectioned_reply", r"""
 SELECT conv_id AS reply_id, turn, section, text, assignee FROM (
- SELECT conv_id, turn, 'summary' AS section, trim(string_split(text, chr(10))[1]) AS text, CAST(NULL AS VARCHAR) AS assignee FROM conversations
+ SELECT conv_id, turn, 'summary' AS section, trim(line) AS text, CAST(NULL AS VARCHAR) AS assignee FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations) WHERE trim(line) <> ''
  UNION ALL SELECT conv_id, turn, 'decisions', 'We ' || turn, NULL FROM conversations
  UNION ALL SELECT conv_id, turn, 'tasks', 'Do ' || turn, CASE WHEN turn % 2 = 0 THEN role END FROM conversations)""")
 def _(t):
     k = F.col("turn").cast("string")
-    first = F.get(F.split("text", "\n"), F.lit(0))
+    bullets = F.replace("text", F.lit("\n"), F.lit("\n- "))
     who = F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise("net")
     reply = F.concat(
-        F.lit("preamble\n### **SUMMARY:**\n- "), first, F.lit("\n\n**РЕШЕНИЯ**:\n- We "), k, F.lit("\n* нет\nnot a bullet\n- Note: skip\nACTION ITEMS\n1. Do "), k, F.lit(" | "), who, F.lit(" | -\n- --\n")
+        F.lit("preamble\n### **SUMMARY:**\n- "), bullets, F.lit("\n\n**РЕШЕНИЯ**:\n- We "), k, F.lit("\n* нет\nnot a bullet\n- Note: skip\nACTION ITEMS\n1. Do "), k, F.lit(" | "), who, F.lit(" | -\n- --\n")
     )
     df = t.table("conversations").select(F.struct("conv_id", "turn").alias("reply_id"), reply.alias("reply"))
     return it.sectioned_lines(df).select(F.col("reply_id.conv_id").alias("reply_id"), F.col("reply_id.turn").alias("turn"), "section", "text", "assignee")

@@ -10,27 +10,31 @@ NW = r"[^\p{L}\p{N}_]"
 PRELUDE["spoken"] = ("", """
 SELECT conv_id AS meeting_id, turn, CASE turn % 8
   WHEN 0 THEN 'um, ' || text WHEN 1 THEN 'you know ' || replace(text, '. ', '. uhm ') WHEN 2 THEN replace(text, ', ', ',, like ')
-  WHEN 3 THEN '- , ' || replace(text, '. ', '. - ') WHEN 4 THEN 'go on go on go on ' || text WHEN 5 THEN '1:02:03 ' || left(text, 12)
-  WHEN 6 THEN 'Thanks for watching!' ELSE replace(text, '.', ' .') || ',, ' END AS text FROM conversations""")
+  WHEN 3 THEN '- , ' || replace(text, '. ', '. - ') WHEN 4 THEN 'go on go on go on ' || text WHEN 5 THEN '1:02:03 ' || text
+  WHEN 6 THEN text || ' Thanks for watching!' ELSE replace(text, '.', ' .') || ',, ' END AS text FROM conversations
+ UNION ALL SELECT conv_id, -turn - 1, CASE turn % 3 WHEN 0 THEN '1:02:03 ' || role WHEN 1 THEN 'Thanks for watching!' ELSE ' -' END FROM conversations""")
 
 
 def spoken(t):
     x = F.col("text")
     k = F.col("turn") % 8
     rep = lambda a, b: F.replace(x, F.lit(a), F.lit(b))
-    return t.table("conversations").select(
+    whole = t.table("conversations").select(
         F.col("conv_id").alias("meeting_id"),
-        "turn",
+        F.col("turn").cast("long").alias("turn"),
         F.when(k == 0, F.concat(F.lit("um, "), x))
         .when(k == 1, F.concat(F.lit("you know "), rep(". ", ". uhm ")))
         .when(k == 2, rep(", ", ",, like "))
         .when(k == 3, F.concat(F.lit("- , "), rep(". ", ". - ")))
         .when(k == 4, F.concat(F.lit("go on go on go on "), x))
-        .when(k == 5, F.concat(F.lit("1:02:03 "), F.substring(x, 1, 12)))
-        .when(k == 6, "Thanks for watching!")
+        .when(k == 5, F.concat(F.lit("1:02:03 "), x))
+        .when(k == 6, F.concat(x, F.lit(" Thanks for watching!")))
         .otherwise(F.concat(rep(".", " ."), F.lit(",, ")))
         .alias("text"),
     )
+    # What recognisers leave between turns: rows of their own beside the whole texts.
+    left = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("1:02:03 "), "role")).when(F.col("turn") % 3 == 1, "Thanks for watching!").otherwise(" -")
+    return whole.unionByName(t.table("conversations").select(F.col("conv_id").alias("meeting_id"), (-F.col("turn") - 1).cast("long").alias("turn"), left.alias("text")))
 
 
 def filler_sql(col: str) -> str:
