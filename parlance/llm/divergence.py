@@ -1,7 +1,7 @@
 """Divergence of sources by in-mapper stripes.
 
 Each task folds whole documents into stripes: per language and term the number of documents that hold it and its count in every source.  Its memory is bounded: stripes
-beyond ``SPILL`` entries are merged, and written out if that does not halve them.  Stripes of one language and term are merged by key, each source's counts first.  Terms in enough documents of a language are kept, and each merged stripe gives its
+beyond ``SPILL`` entries are merged, and written out if that does not halve them.  Stripes of one language and term are merged by key.  Terms in enough documents of a language are kept, and each merged stripe gives its
 divergences at once: how far every source that uses the term is from its language, and what the term adds to the distance of every two sources.
 
 The share of a term with count ``c`` in a group with ``n`` kept tokens, where the language keeps ``v`` terms, is ``p = 1 + floor(SCALE * (c + 2) / (n + 2 * v))``; two shares differ by
@@ -30,7 +30,7 @@ from parlance.session import cut
 LEAST_DOCS = 10
 BEST = 10
 SCALE = 1_000_000_000
-SPILL = 1 << 19  # Stripe entries (language, term, source) a task holds.
+SPILL = 1 << 20  # Stripe entries (language, term, source) a task holds.
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -56,58 +56,73 @@ def find_terms(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return terms.dictionary_encode(), np.searchsorted(offsets, start, side="right") - 1
 
 
-STRIPES = "lang string, term string, docs long, sources array<string>, counts array<long>"
+STRIPES = "lang string, term string, sources array<string>, counts array<long>"
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    k, c = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[edge], np.add.reduceat(c[order], edge) if len(edge) else c
 
 
 class Stripes:
-    """The stripes of one task: columns of (language, term, source, count) and (language, term, documents), merged when they grow."""
+    """The stripes of one task: counts by (term, language, source), merged when they grow.  Source 0 counts documents."""
 
     def __init__(self):
-        self.counts: list[pa.Table] = []
-        self.docs: list[pa.Table] = []
+        self.langs: dict[str, int] = {}
+        self.sources: dict[str | None, int] = {None: 0}
+        self.words: list[pa.Array] = []  # one vocabulary of each part
+        self.cells: list[np.ndarray] = []  # its rows of term (in that vocabulary), language, source
+        self.counts: list[np.ndarray] = []
         self.size = 0
 
+    def codes(self, column: pa.Array, known: dict) -> np.ndarray:
+        names = column.dictionary_encode()
+        return np.array([known.setdefault(x, len(known)) for x in names.dictionary.to_pylist()], np.int64)[np.asarray(names.indices)]
+
     def add(self, batch: pa.RecordBatch) -> None:
         terms, row = find_terms(batch.column("text"))
         if not len(row):
             return
-        vocabulary, code = terms.dictionary, np.asarray(terms.indices).astype(np.int64)
-        groups = pa.table({"lang": batch.column("lang"), "source": batch.column("source")})
-        lang, source = groups["lang"].combine_chunks().dictionary_encode(), groups["source"].combine_chunks().dictionary_encode()
-        n = len(vocabulary)
+        code, n = np.asarray(terms.indices).astype(np.int64), len(terms.dictionary)
         pairs, times = np.unique(row * n + code, return_counts=True)
         row, code = pairs // n, pairs % n
-        langs, sources = np.asarray(lang.indices).astype(np.int64)[row], np.asarray(source.indices).astype(np.int64)[row]
-        own, docs = np.unique(langs * n + code, return_counts=True)
-        self.docs.append(pa.table({"lang": lang.dictionary.take(pa.array(own // n)), "term": vocabulary.take(pa.array(own % n)).cast(pa.large_string()), "docs": pa.array(docs)}))
-        width = len(source.dictionary)
-        cells, which = np.unique((langs * n + code) * width + sources, return_inverse=True)
-        sums = np.bincount(which, weights=times, minlength=len(cells)).astype(np.int64)
-        cell, at = cells // width, pa.array(cells % width)
-        self.counts.append(pa.table({"lang": lang.dictionary.take(pa.array(cell // n)), "term": vocabulary.take(pa.array(cell % n)).cast(pa.large_string()), "source": source.dictionary.take(at), "count": pa.array(sums)}))
-        self.size += len(cells)
+        lang, source = self.codes(batch.column("lang"), self.langs)[row], self.codes(batch.column("source"), self.sources)[row]
+        wide, deep = len(self.sources), len(self.langs)
+        at = (code * deep + lang) * wide
+        k, c = _summed([at + source, at], [times, np.ones(len(at), np.int64)])
+        self.words.append(terms.dictionary)
+        self.cells.append(np.stack([k // wide // deep, k // wide % deep, k % wide]))
+        self.counts.append(c)
+        self.size += len(k)
 
     def merge(self) -> None:
-        if len(self.counts) > 1:
-            self.counts = [pa.concat_tables(self.counts).group_by(["lang", "term", "source"]).aggregate([("count", "sum")]).rename_columns(["lang", "term", "source", "count"])]
-            self.docs = [pa.concat_tables(self.docs).group_by(["lang", "term"]).aggregate([("docs", "sum")]).rename_columns(["lang", "term", "docs"])]
-        self.size = sum(t.num_rows for t in self.counts)
+        if len(self.words) > 1:
+            every = pa.chunked_array(self.words).combine_chunks().dictionary_encode()
+            code = np.asarray(every.indices).astype(np.int64)
+            first = np.cumsum([0, *[len(w) for w in self.words]])
+            wide, deep = len(self.sources), len(self.langs)
+            k, c = _summed([(code[f + x[0]] * deep + x[1]) * wide + x[2] for f, x in zip(first, self.cells, strict=False)], self.counts)
+            self.words, self.cells, self.counts = [every.dictionary], [np.stack([k // wide // deep, k // wide % deep, k % wide])], [c]
+        self.size = sum(map(len, self.counts))
 
     def spill(self) -> Iterator[pa.RecordBatch]:
         """The stripes, one row per language and term; none stay."""
         self.merge()
         if self.counts:
-            order = [("lang", "ascending"), ("term", "ascending")]
-            counts, docs = self.counts[0].sort_by(order), self.docs[0].sort_by(order)
-            self.counts, self.docs, self.size = [], [], 0
-            lang, term = counts["lang"].combine_chunks(), counts["term"].combine_chunks()
-            new = np.ones(len(lang) + 1, bool)
-            new[1:-1] = np.asarray(pa.compute.or_(pa.compute.not_equal(lang[1:], lang[:-1]), pa.compute.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)) if len(lang) > 1 else new[1:-1]
-            first = pa.array(np.flatnonzero(new).astype(np.int32))
-            lists = lambda c: pa.ListArray.from_arrays(first, counts[c].combine_chunks())
-            out = pa.record_batch({"lang": docs["lang"].combine_chunks().cast(pa.string()), "term": docs["term"].combine_chunks().cast(pa.string()), "docs": docs["docs"].combine_chunks(), "sources": lists("source"), "counts": lists("count")})
-            for at in range(0, out.num_rows, 1 << 16):
-                yield out.slice(at, 1 << 16)
+            (words,), ((term, lang, source),), (count,) = self.words, self.cells, self.counts
+            first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (lang[1:] != lang[:-1])]))
+            bounds = pa.array(np.append(first, len(term)).astype(np.int32))
+            names = pa.array(list(self.sources), pa.string()).take(pa.array(source))
+            langs = pa.array(list(self.langs), pa.string()).take(pa.array(lang[first]))
+            lists = [pa.ListArray.from_arrays(bounds, v) for v in (names, pa.array(count))]
+            out = pa.record_batch([langs, words.take(pa.array(term[first])).cast(pa.string()), *lists], names=["lang", "term", "sources", "counts"])
+            self.words, self.cells, self.counts, self.size = [], [], [], 0
+            for at in range(0, out.num_rows, 1 << 15):
+                yield out.slice(at, 1 << 15)
 
 
 def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +140,8 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def stripes(docs: DataFrame) -> DataFrame:
     """Merged stripes of (lang, source, text) rows: ``lang``, ``term``, ``docs`` and the ``stripe`` of (source, count), one row per language and term."""
     parts = docs.mapInArrow(_stripes, STRIPES)
-    # Documents and counts travel together: the number of documents is the count under no source.
-    entries = F.concat(F.transform("sources", lambda s, i: F.struct(s.alias("source"), F.col("counts")[i].alias("count"))), F.array(F.struct(F.lit(None).cast("string").alias("source"), F.col("docs").alias("count"))))
-    cells = parts.select("lang", "term", F.inline(entries))
-    # First by source as well, so that a term all tasks know brings each reader one source's counts.
+    # Stripes travel whole; of a term that all tasks know each brings one row.  Counts are then summed by source where they lie.
+    cells = parts.repartition("lang", "term").select("lang", "term", F.inline(F.arrays_zip("sources", "counts")).alias("source", "count"))
     whole = cells.groupBy("lang", "term", "source").agg(F.sum("count").alias("count"))
     own = F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "count")))
     return whole.groupBy("lang", "term").agg(F.max(F.when(F.col("source").isNull(), F.col("count"))).alias("docs"), own.alias("stripe"))
