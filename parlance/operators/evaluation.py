@@ -1,7 +1,7 @@
 """Evaluation of transcripts and diarisation against references.
 
-A recording's token lists live in one row (a transcript is one text), so sequence comparison is an Arrow function
-over rows; everything counted afterwards is ordinary aggregation.
+Pairs of texts, a row each, are compared by an Arrow function over rows; recordings whose tokens are rows are aligned by
+``alignment.aligned_positions``, whatever their length.  Everything counted afterwards is ordinary aggregation.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import text as tx
+from parlance.operators.alignment import aligned_positions, codes, matching_blocks
 from parlance.operators.intervals import interval_join
-from parlance.operators.ordered import BLOCK_MS, Timeline, joined_text, neighbours
+from parlance.operators.ordered import BLOCK_MS, Timeline, by_position, joined_text, neighbours, running_totals
 from parlance.session import cut
 
 PUNCT_CLASSES = [".", ",", "?", "!", ":", ";"]
@@ -22,40 +23,6 @@ SENTENCE_ENDS = [".", "!", "?"]
 
 
 # ---- sequence comparison ----------------------------------------------------------------------
-def _codes(a, b) -> tuple[np.ndarray, np.ndarray]:
-    seen: dict[str, int] = {}
-    enc = lambda xs: np.fromiter((seen.setdefault(x, len(seen)) for x in xs), dtype=np.int64, count=len(xs))
-    return enc(a), enc(b)
-
-
-def matching_blocks(a, b) -> list[tuple[int, int, int]]:
-    """Longest common block first (earliest in ``a``, then in ``b``), then the same left and right of it."""
-    if a == b:
-        return [(0, 0, len(a))] if a else []
-    x, y = _codes(a, b)
-    todo, out = [(0, len(x), 0, len(y))], []
-    while todo:
-        alo, ahi, blo, bhi = todo.pop()
-        if alo >= ahi or blo >= bhi:
-            continue
-        part = y[blo:bhi]
-        run = np.zeros(len(part) + 1, dtype=np.int64)
-        size = at_a = at_b = 0
-        for i in range(alo, ahi):
-            nxt = np.zeros_like(run)
-            nxt[1:] = np.where(part == x[i], run[:-1] + 1, 0)
-            run = nxt
-            j = int(run.argmax())
-            if run[j] > size:
-                size = int(run[j])
-                at_a, at_b = i - size + 1, blo + j - size
-        if size:
-            out.append((at_a, at_b, size))
-            todo.append((alo, at_a, blo, at_b))
-            todo.append((at_a + size, ahi, at_b + size, bhi))
-    return sorted(out)
-
-
 def _blocks(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([[{"a": i, "b": j, "size": n} for i, j, n in matching_blocks(list(p), list(q))] for p, q in zip(a, b)])
 
@@ -74,7 +41,7 @@ def similarity_ratio(a: Column, b: Column) -> Column:
 
 def edit_counts(ref: list, hyp: list) -> dict:
     """Fewest edits between two token lists and, among those alignments, the most hits."""
-    x, y = _codes(ref, hyp)
+    x, y = codes(ref, hyp)
     # Equal ends can be aligned with each other without giving up edits or hits.
     k = min(len(x), len(y))
     head = k if (x[:k] == y[:k]).all() else int((x[:k] != y[:k]).argmax())
@@ -229,18 +196,23 @@ def top_offenders(matched: DataFrame, keys: list[str], order: list[str], n: int
 def turn_coverage(turns: DataFrame, words: DataFrame) -> DataFrame:
     """Per reference turn the matched tokens and the span of the recogniser words they match.
 
-    ``turns(recording_id, turn, text)``, ``words(recording_id, pos, word, start_ms, end_ms)``.  A recording's two
-    token lists are one row each; matches are exploded back to rows before they are counted.
+    ``turns(recording_id, turn, text)``, ``words(recording_id, pos, word, start_ms, end_ms)``; ``turn`` and ``pos`` order a
+    recording and occur once in it.  Tokens stay rows; matches are positions, joined back to them.
     """
     norm = lambda c: tx.tokens(tx.scoring_normalise(c))
-    gold = turns.select("recording_id", "turn", F.posexplode(norm("text")).alias("k", "tok"))
-    hyp = words.select("recording_id", "pos", "start_ms", "end_ms", F.posexplode(norm("word")).alias("k", "tok"))
-    gcol = F.array_sort(F.collect_list(F.struct("turn", "k", "tok")))
-    hcol = F.array_sort(F.collect_list(F.struct("pos", "k", "tok", "start_ms", "end_ms")))
-    pair = gold.groupBy("recording_id").agg(gcol.alias("g")).join(hyp.groupBy("recording_id").agg(hcol.alias("h")), "recording_id")
-    pair = pair.withColumn("m", blocks_of(F.transform("g", lambda s: s["tok"]), F.transform("h", lambda s: s["tok"])))
-    hits = pair.select("recording_id", F.inline(_pairs_in(F.col("m"), F.col("g"), F.col("h")))).select("recording_id", F.col("gold.turn").alias("turn"), F.col("hyp").alias("w"))
-    found = hits.groupBy("recording_id", "turn").agg(F.count("*").alias("n_matched"), F.min("w.start_ms").alias("start_ms"), F.max("w.end_ms").alias("end_ms"))
+
+    def placed(df: DataFrame, text: str, order: str, *keep: str) -> DataFrame:
+        """Tokens with their positions in the recording."""
+        sized = df.select("recording_id", order, *keep, norm(text).alias("ws")).withColumn("n", F.size("ws").cast("long"))
+        upto = running_totals(sized, by_position(("recording_id",), order), {"upto": F.col("n")})
+        return cut(upto.select("recording_id", order, *keep, (F.col("upto") - F.col("n")).alias("before"), F.posexplode("ws").alias("k", "tok")).withColumn("pos_", F.col("before") + F.col("k")).drop("before", "k"))
+
+    gold, hyp = placed(turns, "text", "turn"), placed(words, "word", "pos", "start_ms", "end_ms")
+    side = lambda t: t.select("recording_id", F.col("pos_").alias("pos"), "tok")
+    hits = aligned_positions(side(gold), side(hyp))
+    hits = hits.join(gold.select("recording_id", F.col("pos_").alias("gold_pos"), "turn"), ["recording_id", "gold_pos"])
+    hits = hits.join(hyp.select("recording_id", F.col("pos_").alias("hyp_pos"), "start_ms", "end_ms"), ["recording_id", "hyp_pos"])
+    found = hits.groupBy("recording_id", "turn").agg(F.count("*").alias("n_matched"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     sized = turns.withColumn("n_tokens", F.size(norm("text")))
     return sized.join(found, ["recording_id", "turn"], "left").withColumns(
         {"n_matched": F.coalesce("n_matched", F.lit(0)), "status": F.when(F.col("n_matched").isNotNull(), "aligned").otherwise("unaligned")}

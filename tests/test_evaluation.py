@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import numpy as np
 from pyspark.sql import functions as F
 
+from parlance.operators import alignment
 from parlance.operators import evaluation as ev
 
 
@@ -24,6 +25,43 @@ def test_blocks_equal_difflib():
         assert pairs_of(ev.matching_blocks(a, b)) == want
 
 
+def changed(r, a, kinds):
+    b = list(a)
+    for _ in range(r.randrange(0, 12)):
+        k = r.randrange(len(b) + 1)
+        b[k : k + r.randrange(0, 9)] = r.choice([[], [r.randrange(kinds)], [r.randrange(kinds) for _ in range(r.randrange(1, 9))], b[: r.randrange(1, 40)]])
+    return b
+
+
+def test_blocks_of_longer_sequences_equal_difflib(monkeypatch):
+    monkeypatch.setattr(alignment, "SMALL", 0)
+    r = random.Random(8)
+    for trial in range(500):
+        monkeypatch.setattr(alignment, "MANY", 30 if trial % 5 == 0 else 1 << 25)
+        kinds = r.choice([2, 3, 5, 20, 200])
+        a = [r.randrange(kinds) for _ in range(r.randrange(0, 120))]
+        b = changed(r, a, kinds) if r.random() < 0.6 else [r.randrange(kinds) for _ in range(r.randrange(0, 120))]
+        assert pairs_of(alignment.matching_blocks(a, b)) == pairs_of(SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def test_recordings_in_ranges_equal_whole_ones(spark, monkeypatch):
+    """Recordings cut at runs of many tokens, one that repeats itself, unlike and one-sided ones, over several blocks of rows."""
+    monkeypatch.setattr(alignment, "WHOLE", 500)
+    monkeypatch.setattr(alignment, "BLOCK", 64)
+    r = random.Random(9)
+    base = [f"w{int(r.paretovariate(0.8))}" for _ in range(3000)]
+    heard = [w for w in (r.choice(["x", "y"]) if r.random() < 0.02 else w for w in base) if r.random() > 0.01]
+    twice = [f"t{i % 70}" for i in range(3000)]
+    sides = {1: (base, heard), 2: (twice, twice[9:] + ["z"] * 40), 3: (base[:900], base[1500:2400]), 4: (base[:20], heard[:25]), 5: (base[:5], []), 6: (["a"] * 700, ["a"] * 300)}
+    rows = lambda s: spark.createDataFrame([(k, i, t) for k, v in sides.items() for i, t in enumerate(v[s])], "recording_id long, pos long, tok string")
+    got = {}
+    for x in alignment.aligned_positions(rows(0), rows(1)).collect():
+        got.setdefault(x.recording_id, []).append((x.gold_pos, x.hyp_pos))
+    for k, (a, b) in sides.items():
+        assert sorted(got.get(k, [])) == pairs_of(alignment.matching_blocks(a, b)), k
+    assert alignment.aligned_positions(rows(0).limit(0), rows(1)).count() == 0
+
+
 def slow_edits(a, b):
     best = {}
     for i in range(len(a) + 1):
