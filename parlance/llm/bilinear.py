@@ -1,19 +1,20 @@
-"""Log-bilinear language model: classes predicted from the two words before, trained by noise-contrastive estimation in numpy.
-
-The commonest ``COMMON`` words are classes of their own, all others fall into ``RARE`` classes by their last two bytes, and the end of a text is a class.  A context's
-vector is the sum of its words' vectors, each turned by the matrix of its place; its product with a class's vector, plus a bias, is that
-class's score.  Training counts are gathered over all training texts: words, and triples of classes (a table of fixed size), from which batches are drawn
-by weight.  Batched matrix products then give the normalised log-probabilities of every class after every context.
-
-A word's probability is that of its class times its share of the class, smoothed by half a count with one place for unknown words, so a text's
+"""Log-bilinear language model over a growing vocabulary, trained by noise-contrastive estimation in numpy.
+
+The commonest ``ROOTS * sqrt(distinct words)`` words have an input and an output vector each, so the model grows with what is counted, while what every task holds grows with the
+root of it.  Words lie in classes of neighbours by frequency; other words fall into ``RARE`` classes by their last two bytes, and the end of a text is a class.  A context's vector is the sum of the
+vectors of the two words before, each turned by the matrix of its place; its products with the vectors of the classes, plus biases, are their scores, and likewise for the words of one class.
+Every training token is learnt from: tasks go over their texts from the same beginning, telling each class from drawn ones and each word from drawn ones of its class, and
+send back what they learnt; a row is the mean of the tasks' rows, weighted by how often each met it.  Batched matrix products give normalised log-probabilities, of
+the class among all and of the word among those of its class.  A rare word has its share of its class, smoothed by half a count with one place for unknown words, so a text's
 probability is normalised over all words.
 
 Defined results: a null or empty text is its end alone; without training texts classes are equally likely; repeated rows are scored once each; an empty table
-gives an empty table.
+gives an empty table; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,12 +27,11 @@ from pyspark.sql import functions as F
 from parlance.llm.words import VALUES, Words, chunks, commonest, find_words
 from parlance.session import cut
 
-COMMON, RARE = 71, 24
-END = COMMON + RARE
-CLASSES = END + 1
-START = CLASSES  # Stands before a text's first word, in contexts only.
+ROOTS = 4  # Words with vectors, by the root of all distinct words.
+RARE = 24
 HELD = 1 << 18  # Bound of the words whose counts every task holds; the counts of others are joined.
-DIM, STEPS, BATCH, NOISE = 24, 800, 4096, 48
+DIM, BATCH, NOISE, OWN, RATE = 16, 4096, 24, 3, 0.1
+ROWS = 1024  # Parameter rows that travel as one.
 
 
 def suffix_class(w: Words) -> np.ndarray:
@@ -60,99 +60,210 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"word": pa.array(h.view(np.int64)), "kind": pa.array(kind.astype(np.int32)), "n": pa.array(n)})
 
 
-def classes_of(w: Words, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every token, ends included, and the index of each row's first token (one more entry at the end)."""
-    kind = COMMON + suffix_class(w)
-    if len(common):
-        order = np.argsort(common)
-        spot = order[np.minimum(np.searchsorted(common, w.hash, sorter=order), len(common) - 1)]
-        kind = np.where(common[spot] == w.hash, spot, kind)
-    return np.insert(kind, w.first[1:], END), w.first + np.arange(len(w.first))
+@dataclass
+class Shape:
+    """Words with vectors, ordered by frequency, and how they and all else are numbered: words, rare classes, the end; in contexts the start takes the end's place."""
 
+    words: np.ndarray  # hashes, by rank
+    order: np.ndarray  # ranks by hash
+    size: int  # words of a class
 
-def triples(kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Code of (class two before, class before, class) of every token."""
-    one = np.concatenate([[START], kind[:-1]]) if len(kind) else kind
-    two = np.concatenate([[START, START], kind[:-2]])[: len(kind)]
-    first = bounds[:-1]
-    one[first], two[first] = START, START
-    second = first[np.diff(bounds) > 1] + 1
-    two[second] = START
-    return (two * (CLASSES + 1) + one) * CLASSES + kind
+    @classmethod
+    def of(cls, words: np.ndarray) -> Shape:
+        return cls(words, np.argsort(words), max(1, math.isqrt(len(words))))
 
+    @property
+    def n(self) -> int:
+        return len(self.words)
 
-TRIPLES = (CLASSES + 1) ** 2 * CLASSES
+    @property
+    def word_classes(self) -> int:
+        return -(-self.n // self.size)
+
+    @property
+    def classes(self) -> int:
+        return self.word_classes + RARE + 1
 
+    @property
+    def end(self) -> int:
+        return self.n + RARE
 
-def _count_triples(common: np.ndarray):
+    # Rows of the parameters: context vectors, class vectors, word vectors (with a bias behind each), the matrices of the two places.
+    @property
+    def starts(self) -> tuple[int, int, int, int, int]:
+        q = self.end + 1
+        return q, q + self.classes, q + self.classes + self.n, q + self.classes + self.n + DIM, q + self.classes + self.n + 2 * DIM
+
+    def class_of(self, token: np.ndarray) -> np.ndarray:
+        return np.where(token < self.n, token // self.size, self.word_classes + token - self.n)
+
+    def tokens(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Number of every token, ends included, and the index of each row's first token (one more entry at the end)."""
+        kind = self.n + suffix_class(w)
+        if self.n:
+            spot = self.order[np.minimum(np.searchsorted(self.words, w.hash, sorter=self.order), self.n - 1)]
+            kind = np.where(self.words[spot] == w.hash, spot, kind)
+        return np.insert(kind, w.first[1:], self.end), w.first + np.arange(len(w.first))
+
+
+def contexts(token: np.ndarray, bounds: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens one and two before each."""
+    one, two = np.full(len(token), start), np.full(len(token), start)
+    one[1:], two[2:] = token[:-1], token[:-2]
+    first = bounds[:-1][np.diff(bounds) > 0]
+    one[first], two[first] = start, start
+    two[bounds[:-1][np.diff(bounds) > 1] + 1] = start
+    return one, two
+
+
+def beginning(shape: Shape, counts: np.ndarray) -> np.ndarray:
+    """Parameters before training: small vectors, places that keep them, biases of the counted frequencies (words, rare classes, the end)."""
+    rng = np.random.default_rng(5)
+    q, r, w, p, last = shape.starts
+    x = np.zeros((last, DIM + 1), np.float32)
+    x[:w, :DIM] = rng.normal(0, 0.1, (w, DIM))
+    x[w:p, :DIM], x[p:last, :DIM] = np.eye(DIM), 0.5 * np.eye(DIM)
+    by_class = np.bincount(shape.class_of(np.arange(shape.end + 1)), weights=counts + 0.5, minlength=shape.classes)
+    x[q:r, DIM] = np.log(by_class / by_class.sum())
+    x[r:w, DIM] = np.log((counts[: shape.n] + 0.5) / by_class[shape.class_of(np.arange(shape.n))])
+    return x
+
+
+def _grouped(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places and the sums of their rows."""
+    kinds, which = np.unique(at, return_inverse=True)
+    return kinds, np.stack([np.bincount(which, weights=rows[:, d], minlength=len(kinds)) for d in range(rows.shape[1])], axis=1)
+
+
+class Learner:
+    """One task's training."""
+
+    def __init__(self, shape: Shape, x: np.ndarray, counts: np.ndarray, seed: int):
+        self.shape, self.x, self.memory = shape, x.copy(), np.ones((len(x), DIM + 1), np.float32)
+        self.met = np.zeros(len(x))
+        self.rng = np.random.default_rng(seed)
+        by_class = np.bincount(shape.class_of(np.arange(shape.end + 1)), weights=counts + 0.5, minlength=shape.classes)
+        self.log_class = np.log(NOISE * by_class / by_class.sum()).astype(np.float32)
+        self.class_upto = np.cumsum(by_class / by_class.sum())
+        self.log_word = np.log(OWN * (counts[: shape.n] + 0.5) / by_class[shape.class_of(np.arange(shape.n))]).astype(np.float32)
+        self.word_upto = np.concatenate([[0.0], np.cumsum(counts[: shape.n] + 0.5)])
+
+    def step(self, at: np.ndarray, grad: np.ndarray, times: np.ndarray | int = 1) -> None:
+        self.memory[at] += grad * grad
+        self.x[at] += RATE * grad / np.sqrt(self.memory[at])
+        self.met[at] += times
+
+    def learn(self, one: np.ndarray, two: np.ndarray, token: np.ndarray) -> None:
+        s, x = self.shape, self.x
+        q, r, w, p, last = s.starts
+        near, far = x[w:p, :DIM], x[p:last, :DIM]
+        q1, q2 = x[one, :DIM], x[two, :DIM]
+        h = q1 @ near + q2 @ far
+        with_one = np.column_stack([h, np.ones(len(h), np.float32)])
+        own = s.class_of(token)
+        # Classes: each from NOISE drawn ones that the batch shares.
+        drawn = np.minimum(np.searchsorted(self.class_upto, self.rng.random(NOISE)), s.classes - 1)
+        true = (with_one * x[q + own]).sum(axis=1) - self.log_class[own]
+        false = with_one @ x[q + drawn].T - self.log_class[drawn]
+        g, gf = 1 / (1 + np.exp(true)), -1 / (1 + np.exp(-false))
+        gh = g[:, None] * x[q + own, :DIM] + gf @ x[q + drawn, :DIM]
+        steps = [(np.concatenate([q + own, q + drawn]), np.concatenate([g[:, None] * with_one, gf.T @ with_one]))]
+        # Words: each from OWN drawn ones of its class.
+        at = np.flatnonzero(token < s.n)
+        if len(at):
+            t, low = token[at], own[at] * s.size
+            begin, finish = self.word_upto[low], self.word_upto[np.minimum(low + s.size, s.n)]
+            others = np.searchsorted(self.word_upto, begin[:, None] + self.rng.random((len(at), OWN)) * (finish - begin)[:, None], side="right") - 1
+            others = np.minimum(others, s.n - 1)
+            mine = with_one[at]
+            g = 1 / (1 + np.exp((mine * x[r + t]).sum(axis=1) - self.log_word[t]))
+            theirs = x[r + others]
+            gf = -1 / (1 + np.exp(-(np.einsum("bd,bkd->bk", mine, theirs) - self.log_word[others])))
+            gh[at] += g[:, None] * x[r + t, :DIM] + np.einsum("bk,bkd->bd", gf, theirs[:, :, :DIM])
+            steps.append((np.concatenate([r + t, (r + others).reshape(-1)]), np.concatenate([g[:, None] * mine, (gf[:, :, None] * mine[:, None, :]).reshape(-1, DIM + 1)])))
+        context = np.concatenate([gh @ near.T, gh @ far.T])
+        steps.append((np.concatenate([one, two]), np.column_stack([context, np.zeros(len(context), np.float32)])))
+        places = np.zeros((2 * DIM, DIM + 1))
+        places[:, :DIM] = np.concatenate([q1.T @ gh, q2.T @ gh])
+        for rows, grads in steps:
+            kinds, sums = _grouped(rows, grads)
+            self.step(kinds, sums, np.bincount(np.searchsorted(kinds, rows), minlength=len(kinds)))
+        self.step(np.arange(w, last), places, len(token))
+
+
+PARTS = "block long, rows binary, met binary"
+
+
+def _train(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TRIPLES, np.int64)
+        shape, x, counts = shared.value
+        learner = Learner(shape, x, counts, TaskContext.get().partitionId())
         for batch in batches:
             for part in chunks(batch):
-                total += np.bincount(triples(*classes_of(find_words(part.column("text")), common)), minlength=TRIPLES)
-        code = np.flatnonzero(total)
-        for at in range(0, len(code), 50_000):
-            yield pa.record_batch({"code": pa.array(code[at : at + 50_000]), "n": pa.array(total[code[at : at + 50_000]])})
+                token, bounds = shape.tokens(find_words(part.column("text")))
+                one, two = contexts(token, bounds, shape.end)
+                mixed = learner.rng.permutation(len(token))
+                for at in range(0, len(token), BATCH):
+                    pick = mixed[at : at + BATCH]
+                    learner.learn(one[pick], two[pick], token[pick])
+        for block in range(0, len(x), ROWS):
+            met = learner.met[block : block + ROWS]
+            if met.any():
+                rows = (learner.x[block : block + ROWS] - x[block : block + ROWS]) * met[:, None]
+                yield pa.record_batch({"block": pa.array([block]), "rows": pa.array([rows.tobytes()], pa.binary()), "met": pa.array([met.tobytes()], pa.binary())})
 
     return run
 
 
-def train(codes: np.ndarray, counts: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Log10 probabilities (context two before, context before, class) by noise-contrastive estimation over weighted triples."""
-    rng = np.random.default_rng(seed)
-    q = rng.normal(0, 0.1, (CLASSES + 1, DIM)).astype(np.float32)
-    r = rng.normal(0, 0.1, (CLASSES, DIM)).astype(np.float32)
-    c1, c2 = (np.eye(DIM) + rng.normal(0, 0.01, (DIM, DIM))).astype(np.float32), (0.5 * np.eye(DIM) + rng.normal(0, 0.01, (DIM, DIM))).astype(np.float32)
-    freq = np.bincount(codes % CLASSES, weights=counts, minlength=CLASSES) + 0.5
-    noise_p = freq / freq.sum()
-    b = np.log(noise_p).astype(np.float32)
-    if len(codes):
-        weight = np.cumsum(counts / counts.sum())
-        log_kn = np.log(NOISE * noise_p).astype(np.float32)
-        params = [q, r, c1, c2, b]
-        memory = [np.full_like(p, 1e-3) for p in params]
-        noise_cdf = np.cumsum(noise_p)
-        for step in range(STEPS):
-            pick = codes[np.minimum(np.searchsorted(weight, rng.random(BATCH)), len(codes) - 1)]
-            u2, u1, t = pick // CLASSES // (CLASSES + 1), pick // CLASSES % (CLASSES + 1), pick % CLASSES
-            noise = np.minimum(np.searchsorted(noise_cdf, rng.random(NOISE)), CLASSES - 1)
-            q1, q2 = q[u1], q[u2]
-            h = q1 @ c1 + q2 @ c2
-            true = (h * r[t]).sum(axis=1) + b[t] - log_kn[t]
-            false = h @ r[noise].T + b[noise] - log_kn[noise]
-            # Gradients of the log-likelihood of telling data from noise.
-            g_true = 1 / (1 + np.exp(true))
-            g_false = -1 / (1 + np.exp(-false))
-            gh = g_true[:, None] * r[t] + g_false @ r[noise]
-            gr, gb = np.zeros_like(r), np.zeros_like(b)
-            hot = np.zeros((BATCH, CLASSES), np.float32)
-            hot[np.arange(BATCH), t] = g_true
-            gr += hot.T @ h
-            gb += hot.sum(axis=0)
-            np.add.at(gr, noise, g_false.T @ h)
-            np.add.at(gb, noise, g_false.sum(axis=0))
-            gq = np.zeros_like(q)
-            for u, g in ((u1, gh @ c1.T), (u2, gh @ c2.T)):
-                mark = np.zeros((BATCH, CLASSES + 1), np.float32)
-                mark[np.arange(BATCH), u] = 1
-                gq += mark.T @ g
-            rate = 0.15 * (1 - step / STEPS) + 0.005
-            for p, m, g in zip(params, memory, (gq, gr, q1.T @ gh, q2.T @ gh, gb), strict=True):
-                g = (g / BATCH).astype(np.float32)
-                m += g * g
-                p += rate * g / np.sqrt(m)
-    return log_probabilities(q, r, c1, c2, b)
-
-
-def log_probabilities(q, r, c1, c2, b) -> np.ndarray:
-    """Normalised log10 probabilities of all classes, one batch of contexts per first word."""
-    out = np.empty((CLASSES + 1, CLASSES + 1, CLASSES), np.float32)
-    near = q @ c1
-    for u2 in range(CLASSES + 1):
-        s = ((near + q[u2] @ c2) @ r.T + b).astype(np.float64)
-        s -= s.max(axis=1, keepdims=True)
-        out[u2] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
-    return out
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the parts of each block of rows."""
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for block, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = [np.frombuffer(x) for x in parts]
+            held[block] = [a + b for a, b in zip(held[block], own, strict=True)] if block in held else own
+    for block, (rows, met) in held.items():
+        yield pa.record_batch({"block": pa.array([block]), "rows": pa.array([rows.tobytes()], pa.binary()), "met": pa.array([met.tobytes()], pa.binary())})
+
+
+def train(texts: DataFrame, shape: Shape, counts: np.ndarray) -> np.ndarray:
+    """Parameters after one pass over all texts."""
+    x = beginning(shape, counts)
+    shared = texts.sparkSession.sparkContext.broadcast((shape, x, counts))  # grows with the root of the distinct words
+    sums = texts.mapInArrow(_train(shared), PARTS).repartition("block").mapInArrow(_add_up, PARTS)
+    for r in sums.toLocalIterator():
+        met = np.frombuffer(r["met"])
+        x[r["block"] : r["block"] + ROWS] += np.frombuffer(r["rows"]).reshape(len(met), DIM + 1) / np.maximum(met, 1)[:, None]
+    shared.destroy()
+    return x
+
+
+def log_probabilities(shape: Shape, x: np.ndarray, one: np.ndarray, two: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Log10 probability of each token after its context; of a rare one, that of its class."""
+    q, r, w, p, last = shape.starts
+    out = np.zeros(len(token))
+    if not len(token):
+        return out
+    h = x[one, :DIM] @ x[w:p, :DIM] + x[two, :DIM] @ x[p:last, :DIM]
+    own = shape.class_of(token)
+
+    def chosen(h: np.ndarray, rows: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        z = h @ rows[:, :DIM].T + rows[:, DIM]
+        top = z.max(axis=1)
+        return z[np.arange(len(z)), pick] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+
+    for at in range(0, len(token), BATCH):
+        s = slice(at, at + BATCH)
+        out[s] = chosen(h[s], x[q:r], own[s])
+    order = np.argsort(own, kind="stable")
+    edges = np.searchsorted(own[order], np.arange(shape.word_classes + 1))
+    for c in range(shape.word_classes):
+        low = c * shape.size
+        rows = x[r + low : r + min(low + shape.size, shape.n)]
+        for at in range(edges[c], edges[c + 1], BATCH):
+            pick = order[at : min(at + BATCH, edges[c + 1])]
+            out[pick] += chosen(h[pick], rows, token[pick] - low)
+    return out / math.log(10)
 
 
 @dataclass
@@ -160,10 +271,10 @@ class LanguageModel:
     tokens: int  # training tokens, ends included
     kinds: int  # distinct ones
     ends: int
-    common: np.ndarray
+    shape: Shape
+    params: np.ndarray
     class_tokens: np.ndarray  # tokens and distinct words of each rare class
     class_kinds: np.ndarray
-    table: np.ndarray
     held: np.ndarray  # words whose counts all tasks hold, sorted, and these
     held_counts: np.ndarray
     counts: DataFrame  # word, n of all others
@@ -177,23 +288,22 @@ def fit(docs: DataFrame, text: str = "text") -> LanguageModel:
     texts = docs.select(F.col(text).alias("text"))
     ends = texts.count()
     counts = cut(texts.mapInArrow(_count_words, "word long, kind int, n long").groupBy("word").agg(F.first("kind").alias("kind"), F.sum("n").alias("n")))
-    held, limit = commonest(counts, "n", HELD)
-    top = held.toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
-    common = top["word"].to_numpy(np.int64)[:COMMON]
     per = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas().set_index("kind")
     n, v = np.zeros(RARE), np.zeros(RARE)
     n[per.index], v[per.index] = per["n"], per["v"]
     tokens, kinds = int(n.sum()) + ends, int(v.sum()) + (ends > 0)
-    for kind, count in zip(top["kind"][:COMMON], top["n"][:COMMON], strict=True):
+    wanted = ROOTS * math.isqrt(int(v.sum()))
+    held, limit = commonest(counts, "n", max(HELD, wanted))
+    top = held.toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+    words = top["word"].to_numpy(np.int64)
+    shape = Shape.of(words[:wanted].view(np.uint64))
+    for kind, count in zip(top["kind"][: shape.n], top["n"][: shape.n], strict=True):
         n[kind] -= count
         v[kind] -= 1
-    found = texts.mapInArrow(_count_triples(common.view(np.uint64)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most TRIPLES rows
-    found = found.sort_values("code")
-    table = train(found["code"].to_numpy(np.int64), found["n"].to_numpy(np.float64))
-    words = top["word"].to_numpy(np.int64)
+    params = train(texts, shape, np.concatenate([top["n"].to_numpy(np.float64)[: shape.n], n, [ends]]))
     order = np.argsort(words.view(np.uint64))
     rest = counts.where(F.col("n") <= limit)
-    return LanguageModel(tokens, kinds, ends, common.view(np.uint64), n, v, table, words.view(np.uint64)[order], top["n"].to_numpy(np.int64)[order], rest.select("word", "n"))
+    return LanguageModel(tokens, kinds, ends, shape, params, n, v, words.view(np.uint64)[order], top["n"].to_numpy(np.int64)[order], rest.select("word", "n"))
 
 
 SUMMARY = "row long, id long, n_tokens long, known long, base double, model double, words array<long>, times array<long>"
@@ -201,17 +311,16 @@ SUMMARY = "row long, id long, n_tokens long, known long, base double, model doub
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, kinds, ends, common, class_tokens, class_kinds, table, held, held_counts = shared.value
+        tokens, kinds, ends, shape, params, class_tokens, class_kinds, held, held_counts = shared.value
         norm = tokens + 0.5 * (kinds + 1)
         class_norm = np.log10(class_tokens + 0.5 * (class_kinds + 1))
-        flat = table.reshape(-1)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in chunks(batch):
                 w = find_words(part.column("text"))
                 docs = part.num_rows
-                kind, bounds = classes_of(w, common)
-                steps = flat[triples(kind, bounds)].astype(np.float64)
+                kind, bounds = shape.tokens(w)
+                steps = log_probabilities(shape, params, *contexts(kind, bounds, shape.end), kind)
                 model = np.add.reduceat(steps, bounds[:-1]) if docs else np.zeros(0)
                 own = np.delete(kind, bounds[1:] - 1)
                 spot = np.minimum(np.searchsorted(held, w.hash), max(len(held) - 1, 0))
@@ -220,8 +329,8 @@ def _score(shared):
                 log_c = np.log10(c + 0.5)
                 base = np.bincount(w.doc, weights=np.where(hit, log_c, 0.0), minlength=docs) + np.log10(ends + 0.5)
                 base -= np.diff(bounds) * np.log10(norm)
-                rare = own >= COMMON
-                within = np.where(rare, np.where(hit, log_c, 0.0) - class_norm[np.where(rare, own - COMMON, 0)], 0.0)
+                rare = own >= shape.n
+                within = np.where(rare, np.where(hit, log_c, 0.0) - class_norm[np.where(rare, own - shape.n, 0)], 0.0)
                 model = model + np.bincount(w.doc, weights=within, minlength=docs)
                 known = np.bincount(w.doc, weights=hit, minlength=docs).astype(np.int64) + (ends > 0)
                 # Words that are not held: their counts are joined, each distinct word of a text once.
@@ -247,7 +356,7 @@ def _score(shared):
 def score(docs: DataFrame, lm: LanguageModel, ids: str = "doc_id", text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
     """``ids``, ``n_tokens``, ``n_known``, ``base_score`` (of the smoothed unigram model) and ``score`` (log10 probability of the whole text)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((lm.tokens, lm.kinds, lm.ends, lm.common, lm.class_tokens, lm.class_kinds, lm.table, lm.held, lm.held_counts))
+    shared = spark.sparkContext.broadcast((lm.tokens, lm.kinds, lm.ends, lm.shape, lm.params, lm.class_tokens, lm.class_kinds, lm.held, lm.held_counts))
     rows = cut(docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_score(shared), SUMMARY))
     loose = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     # A word outside the held ones without a count is unknown: half a count, as for the words below.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.words import chunks, mix
+from parlance.llm.words import chunks, mix, tidy
 
 ORDER = 5
 SAMPLE_ROWS = 1000
@@ -226,7 +226,7 @@ def fit(labelled: DataFrame) -> Identifier:
     chosen = low.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS)
     sample = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h", "rank").agg(F.min("text").alias("text")).cache()
     try:
-        counted = sample.where(F.col("rank") % CALIBRATE_EVERY != 0).select("lang", "text").mapInArrow(_gram_counts, "lang string, head long, tail long, n long")
+        counted = sample.where(F.col("rank") % CALIBRATE_EVERY != 0).select("lang", "text").mapInArrow(tidy(_gram_counts), "lang string, head long, tail long, n long")
         grams = counted.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n")).toPandas()  # distinct grams of the bounded sample
         models = {}
         for lang, g in grams.groupby("lang"):
@@ -262,4 +262,4 @@ def identify(docs: DataFrame, found: Identifier, ids: str = "doc_id", text: str
                 names, score, ce, out = shared.value.judge(scorer, part.column("text").to_pylist())
                 yield pa.record_batch({"id": part.column("id"), "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(score), "cross_entropy": pa.array(ce), "rejected": pa.array(out)})
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", ids)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", ids)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.words import chunks, find_words
+from parlance.llm.words import chunks, find_words, tidy
 from parlance.session import cut
 
 WINDOW = 2048
@@ -249,7 +249,7 @@ def _assign(tables):
 
 def pieces_of(docs: DataFrame, path: str, ids: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Spans of token ids of every document: whole windows, then the rest."""
-    return docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_pieces(path, window), PIECES)
+    return docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(tidy(_pieces(path, window)), PIECES)
 
 
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:

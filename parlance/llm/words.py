@@ -6,6 +6,7 @@ random byte values modulo 2**64, read off prefix sums, so no word becomes a Pyth
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -131,6 +132,20 @@ def runs_hash(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[at]), at
 
 
+def tidy(task):
+    """The task, after which its worker hands freed memory back to the system: workers are used again, by tasks that need other memory."""
+
+    def run(batches):
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library than glibc
+            pass
+
+    return run
+
+
 def commonest(counts: DataFrame, count: str, bound: int) -> tuple[DataFrame, int]:
     """Rows with the largest counts, at most ``bound``, as those above a count; and that count.
 

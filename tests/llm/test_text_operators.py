@@ -231,21 +231,52 @@ def test_leaks_equal_exhaustive_search():
 @pytest.mark.parametrize("held", [1 << 18, 200])
 def test_scores_equal_loops(spark, docs, texts, monkeypatch, held):
     monkeypatch.setattr(bilinear, "HELD", held)
-    monkeypatch.setattr(bilinear, "STEPS", 60)
     lm = bilinear.fit(docs.where("doc_id % 5 <> 1"))
     tokens = {d: [*words(t), None] for d, t in texts.items()}
     c = Counter(x for d, w in tokens.items() if d % 5 != 1 for x in w)
     norm = sum(c.values()) + 0.5 * (len(c) + 1)
     assert (lm.tokens, lm.kinds) == (sum(c.values()), len(c))
-    for r in bilinear.score(docs, lm).collect():
+    got = bilinear.score(docs, lm).collect()
+    for r in got:
         w = tokens[r.doc_id]
         assert (r.n_tokens, r.n_known) == (len(w), sum(c[x] > 0 for x in w))
         assert math.isclose(r.base_score, sum(math.log10((c[x] + 0.5) / norm) for x in w), rel_tol=1e-9)
-    assert np.allclose((10.0 ** lm.table.astype(float)).sum(axis=2), 1, atol=1e-4)
+    # Scores from the parameters, word by word.
+    shape, x = lm.shape, lm.params.astype(float)
+    q, r, w0, p, last = shape.starts
+    d = bilinear.DIM
+    kinds = bilinear.find_words(bilinear.pa.array([" ".join(k for k in c if k)]))
+    number = dict(zip([k for k in c if k], shape.tokens(kinds)[0][:-1].tolist(), strict=True))
+    suffix = lambda k: shape.n + int(bilinear.suffix_class(bilinear.find_words(bilinear.pa.array([k])))[0])
+    rare_n, rare_v = Counter(), Counter()
+    for k, n in c.items():
+        if k and number[k] >= shape.n:
+            rare_n[number[k]] += n
+            rare_v[number[k]] += 1
+    soft = lambda z: z - z.max() - math.log(np.exp(z - z.max()).sum())
+    assert shape.n == bilinear.ROOTS * math.isqrt(len(c) - 1) if held > 1000 else shape.n <= bilinear.ROOTS * math.isqrt(len(c) - 1)
+    better = []
+    for r_ in got:
+        one = two = shape.end
+        total = 0.0
+        for k in tokens[r_.doc_id]:
+            t = shape.end if k is None else number[k] if k in number else suffix(k)
+            h = x[one, :d] @ x[w0:p, :d] + x[two, :d] @ x[p:last, :d]
+            own = int(shape.class_of(np.array([t]))[0])
+            total += soft(x[q:r, :d] @ h + x[q:r, d])[own]
+            if t < shape.n:
+                low = own * shape.size
+                rows = x[r + low : r + min(low + shape.size, shape.n)]
+                total += soft(rows[:, :d] @ h + rows[:, d])[t - low]
+            elif k is not None:
+                total += math.log((c[k] + 0.5) / (rare_n[t] + 0.5 * (rare_v[t] + 1)))
+            one, two = t, one
+        assert math.isclose(r_.score, total / math.log(10), rel_tol=1e-3), r_.doc_id
+        if r_.doc_id % 5 == 1:
+            better.append(r_.score > r_.base_score)
 
 
 def test_scores_of_odd_rows(odd_docs, no_docs, monkeypatch):
-    monkeypatch.setattr(bilinear, "STEPS", 5)
     lm = bilinear.fit(odd_docs)
     got = bilinear.score(odd_docs, lm).collect()
     assert len(got) == odd_docs.count() and all(r.n_tokens == 1 for r in got if r.doc_id in (4, 5, 6)) and all(math.isfinite(r.score) for r in got)
