@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,12 +12,12 @@ from pyspark.sql import functions as F
 
 from parlance.functions import json as js
 from parlance.functions import text as tx
+from parlance.operators.components import components
 from parlance.operators.ordered import by_position, dense_index
 from parlance.session import cut
 
 MIN_OVERLAP = 0.70
 SAME_TEXT, NEAR_TEXT, NEAR_EVIDENCE, NEAR_SECONDS = 0.86, 0.72, 0.78, 180
-ITEMS_PER_BLOCK = 256
 
 # Section headings of a structured reply.
 SECTIONS = {
@@ -180,65 +182,89 @@ def correction_statistics(corrections: DataFrame) -> DataFrame:
 
 
 # ---- fuzzy union ------------------------------------------------------------------------------
-def _similar(a: str, b: str, floor: float) -> float:
-    """Ratio when it can reach ``floor``, else 0: the length and letter bounds are exact upper bounds."""
-    if not a or not b or 2 * min(len(a), len(b)) < floor * (len(a) + len(b)):
-        return 0.0
-    m = SequenceMatcher(None, a, b)
-    return m.ratio() if m.quick_ratio() >= floor else 0.0
-
-
-def _same_item(c: dict, o: dict) -> bool:
-    if not o["t"]:
-        return False
-    if c["t"] == o["t"]:
-        return True
-    if c["e"] and c["e"] == o["e"]:
-        return True
-    near = c["s"] is not None and o["s"] is not None and abs(c["s"] - o["s"]) <= NEAR_SECONDS
-    if _similar(c["t"], o["t"], NEAR_TEXT if near else SAME_TEXT) >= (NEAR_TEXT if near else SAME_TEXT):
-        return True
-    return bool(near and c["e"] and o["e"] and _similar(c["e"], o["e"], NEAR_EVIDENCE) >= NEAR_EVIDENCE)
-
-
-def duplicate_edges(items: DataFrame) -> DataFrame:
-    """Pairs (earlier, later) of one meeting that count as the same item; ``items`` needs a dense ``idx``.
-
-    The meeting's items are cut into blocks; every pair of blocks is one bounded task that returns only the
-    pairs that are duplicates.
+# Where an item of each kind is listed.
+BUCKETS = {"decision": "decisions", "task": "tasks", "open_question": "open_questions", "risk": "risks"}
+
+
+def similarity(a: str, b: str) -> float:
+    """Share of matched characters (the first text is the later item's)."""
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def _ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(similarity(x, y), similarity(y, x)) for x, y in zip(a, b)], columns=["ab", "ba"])
+
+
+def letters(text: Column) -> Column:
+    """Every character with its number among equal ones, so that what two texts share is an intersection."""
+    chars = F.array_sort(F.split(text, ""))
+    return F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c) + 2).cast("string")))
+
+
+def similar_pairs(values: DataFrame, floor: float) -> DataFrame:
+    """``meeting_id``, ``a``, ``b`` (different texts, ``a`` first), ``ab``, ``ba``: pairs whose similarity reaches ``floor`` in one direction.
+
+    ``values`` has ``meeting_id``, ``zone`` and ``v``; texts meet inside a zone.  No similarity exceeds twice the shared characters over all characters, so the least alike two
+    similar texts of lengths ``n`` and ``m`` share ``floor * (n + m) / 2`` of them.  Sorted by rarity, each text's first ``n - share * n + 1`` characters then hold a common
+    one: these are the keys of the join, and only pairs that share enough characters are compared.
     """
-    n = items.withColumn("blk", F.floor(F.col("idx") / ITEMS_PER_BLOCK))
-    last = n.groupBy("meeting_id").agg(F.max("blk").alias("last_blk"))
-    n = n.join(last, "meeting_id")
-    own = n.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_blk"))))
-    lo, hi = F.least("blk", "other"), F.greatest("blk", "other")
-    cells = own.select("meeting_id", lo.alias("lo"), hi.alias("hi"), "blk", "idx", "candidate", "t", "e", "s")
-    kind = dict(items.dtypes)["meeting_id"]
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [dict(zip(pdf.columns, r)) for r in pdf.sort_values("idx").itertuples(index=False, name=None)]
-        for r in rows:
-            r["s"] = None if pd.isna(r["s"]) else int(r["s"])
-        same_cell = rows[0]["lo"] == rows[0]["hi"]
-        left = [r for r in rows if r["blk"] == r["lo"]]
-        right = [r for r in rows if r["blk"] == r["hi"]]
-        out = [
-            (o["meeting_id"], o["idx"], c["idx"])
-            for c in right
-            if c["candidate"] and c["t"]
-            for o in left
-            if (not same_cell or o["idx"] < c["idx"]) and _same_item(c, o)
-        ]
-        return pd.DataFrame(out, columns=["meeting_id", "earlier", "later"])
-
-    return cells.groupBy("meeting_id", "lo", "hi").applyInPandas(compare, f"meeting_id {kind}, earlier bigint, later bigint")
+    least = floor / (2 - floor)
+    kinds = values.select("meeting_id", "v").distinct().withColumn("ls", letters(F.col("v")))
+    df = kinds.select(F.explode("ls").alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("df"))
+    ranked = kinds.select("meeting_id", "v", F.size("ls").alias("n"), F.explode("ls").alias("l")).join(df, "l")
+    order = F.slice(F.array_sort(F.collect_list(F.struct("df", "l"))), 1, (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int"))
+    heads = ranked.groupBy("meeting_id", "v", "n").agg(order.alias("head")).select("meeting_id", "v", F.explode("head.l").alias("l"))
+    keyed = values.distinct().join(heads, ["meeting_id", "v"])
+    x, y = keyed.withColumnRenamed("v", "a"), keyed.withColumnRenamed("v", "b")
+    n, m = F.length("a"), F.length("b")
+    met = x.join(y, ["meeting_id", "zone", "l"]).where((F.col("a") < F.col("b")) & (2 * F.least(n, m) >= floor * (n + m))).select("meeting_id", "a", "b").distinct()
+    # Letters of both sides come back only to the pairs that met.
+    shared = F.size(F.array_intersect(letters(F.col("a")), letters(F.col("b"))))
+    close = met.where(2 * shared >= floor * (n + m) - 1e-9)
+    close = close.withColumn("r", F.pandas_udf(_ratios, "struct<ab:double,ba:double>")("a", "b"))
+    return close.select("meeting_id", "a", "b", "r.ab", "r.ba").where((F.col("ab") >= floor) | (F.col("ba") >= floor))
+
+
+def _zones(items: DataFrame, v: str) -> DataFrame:
+    """Texts with the stretches of time they may meet others in: neighbouring ones share a stretch."""
+    zone = F.floor(F.col("s") / NEAR_SECONDS)
+    return items.where(F.col("s").isNotNull() & (F.col(v) != "")).select("meeting_id", F.explode(F.array(zone, zone + 1)).alias("zone"), F.col(v).alias("v"))
+
+
+def accept(items: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of one component that repeat neither an existing nor an earlier accepted item, in order."""
+    near: dict[str, dict[str, list[tuple[str, float]]]] = {"t": {}, "e": {}}
+    for p in pairs.itertuples(index=False):
+        near[p.side].setdefault(p.a, []).append((p.b, p.ab))
+        near[p.side].setdefault(p.b, []).append((p.a, p.ba))
+    times: dict[str, dict[str, list[int]]] = {"t": {}, "e": {}}
+    kept = []
+
+    def close(side: str, v: str, s) -> bool:
+        at = times[side].get(v, [])
+        k = bisect.bisect_left(at, s - NEAR_SECONDS)
+        return k < len(at) and at[k] <= s + NEAR_SECONDS
+
+    for r in items.sort_values("seq").itertuples(index=False):
+        s = None if pd.isna(r.s) else int(r.s)
+        if r.candidate:
+            repeated = r.t in times["t"] or (r.e and r.e in times["e"])
+            repeated = repeated or any(ratio >= SAME_TEXT and v in times["t"] or ratio >= NEAR_TEXT and s is not None and close("t", v, s) for v, ratio in near["t"].get(r.t, []))
+            if repeated or (r.e and s is not None and any(ratio >= NEAR_EVIDENCE and close("e", v, s) for v, ratio in near["e"].get(r.e, []))):
+                continue
+            kept.append(int(r.seq))
+        for side, v in (("t", r.t), ("e", r.e)):
+            if v:
+                at = times[side].setdefault(v, [])
+                if s is not None:
+                    bisect.insort(at, s)
+    return pd.DataFrame({"seq": pd.Series(kept, dtype="int64")})
 
 
 def fuzzy_union(existing: DataFrame, candidates: DataFrame) -> DataFrame:
-    """U4: existing items plus the candidates that repeat neither an existing nor an earlier accepted one.
+    """U4: existing items plus the candidates that repeat neither an existing nor an earlier accepted one, with the ``bucket`` of their kind.
 
-    Acceptance in order is decided in rounds over the duplicate pairs: a candidate is rejected once an earlier
-    accepted item equals it and accepted once no earlier one is left undecided.
+    Items that could decide about each other (equal or similar texts or evidence) form components; each is settled by one walk in order.
     """
     cols = ["meeting_id", "ord", "kind", "text", "evidence", "timestamp"]
     both = existing.select(*cols, F.lit(False).alias("candidate")).unionByName(candidates.select(*cols, F.lit(True).alias("candidate")))
@@ -250,21 +276,32 @@ def fuzzy_union(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     # Rows that agree in text, evidence and time stand or fall together behind the first of them, so copies are
     # reduced to that one before anything is compared.
     firsts = both.where("t <> ''").groupBy("meeting_id", "t", "e", "s").agg(F.min(F.struct("seq", "candidate")).alias("f"))
-    firsts = firsts.select("meeting_id", "t", "e", "s", F.col("f.seq").alias("seq"), F.col("f.candidate").alias("candidate"))
-    items = cut(dense_index(firsts, by_position(order="seq"), "idx").withColumn("idx", F.col("idx").cast("long")))
-    edges = cut(duplicate_edges(items))
-    state = cut(items.select("meeting_id", "idx", F.when(~F.col("candidate"), 1).otherwise(0).alias("st")))
-    while not state.where("st = 0").isEmpty():
-        e = edges.join(state.select("meeting_id", F.col("idx").alias("earlier"), F.col("st").alias("est")), ["meeting_id", "earlier"])
-        seen = e.groupBy("meeting_id", F.col("later").alias("idx")).agg(F.max(F.col("est") == 1).alias("dup"), F.max(F.col("est") == 0).alias("open"))
-        nxt = state.join(seen, ["meeting_id", "idx"], "left")
-        state = cut(
-            nxt.select(
-                "meeting_id",
-                "idx",
-                F.when(F.col("st") != 0, F.col("st")).when(F.coalesce("dup", F.lit(False)), -1).when(F.coalesce("open", F.lit(False)), 0).otherwise(1).alias("st"),
-            )
-        )
-    kept = items.where("candidate").join(state.where("st = 1"), ["meeting_id", "idx"], "left_semi").select("meeting_id", "seq")
+    items = cut(firsts.select("meeting_id", "t", F.coalesce("e", F.lit("")).alias("e"), "s", F.col("f.seq").alias("seq"), F.col("f.candidate").alias("candidate")))
+    anywhere = items.select("meeting_id", F.lit(0).cast("long").alias("zone"), F.col("t").alias("v"))
+    found = [(similar_pairs(anywhere, SAME_TEXT), "t"), (similar_pairs(_zones(items, "t"), NEAR_TEXT), "t"), (similar_pairs(_zones(items, "e"), NEAR_EVIDENCE), "e")]
+    pairs = cut(reduce(DataFrame.unionByName, [p.withColumn("side", F.lit(side)) for p, side in found]).distinct())
+    # Vertices are texts and evidence; an item links its two, a pair links its own.
+    vertex = lambda side, v: F.xxhash64("meeting_id", side, v)
+    links = items.where("e <> ''").select(vertex(F.lit("t"), "t").alias("u"), vertex(F.lit("e"), "e").alias("v"))
+    links = links.unionByName(pairs.select(vertex(F.col("side"), "a").alias("u"), vertex(F.col("side"), "b").alias("v")))
+    root = components(links)
+    own = lambda df, v: df.withColumn("id", v).join(root, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("id", "component")
+    grouped = own(items, vertex(F.lit("t"), "t")).groupBy("meeting_id", "group")
+    beside = own(pairs, vertex(F.col("side"), "a")).groupBy("meeting_id", "group")
+    kind = items.schema["meeting_id"].dataType.simpleString()
+
+    def walk(key: tuple, rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        out = accept(rows, near)
+        out.insert(0, "meeting_id", key[0])
+        return out
+
+    kept = grouped.cogroup(beside).applyInPandas(walk, f"meeting_id {kind}, seq long")
     accepted = both.where("candidate").join(kept, ["meeting_id", "seq"], "left_semi")
-    return both.where("not candidate").unionByName(accepted).select(*cols, "candidate", "seq")
+    bucket = reduce(lambda w, b: w.when(F.col("kind") == b[0], b[1]), BUCKETS.items(), F.when(F.lit(False), ""))
+    return both.where("not candidate").unionByName(accepted).select(*cols, "candidate", "seq", bucket.alias("bucket"))
+
+
+def bucketed(union: DataFrame) -> DataFrame:
+    """The items of each bucket of a meeting with their place in it: existing ones first, accepted ones behind them."""
+    listed = union.where("bucket is not null")
+    return dense_index(listed, by_position(("meeting_id", "bucket"), "seq"), "place")

@@ -1,6 +1,8 @@
 """Profiles, replies, items, quality and files on small fixtures."""
 
 import json
+import random
+import re
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -48,36 +50,65 @@ def test_labels_resolve_in_nested_fields(spark):
     assert got.participants == ["Bob", "Ann"] and got.turns[0].speaker == "Спикер #2 agrees"
 
 
+def same_item(c, o):
+    """The rule for two items, later one first."""
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    near = c["s"] is not None and o["s"] is not None and abs(c["s"] - o["s"]) <= 180
+    return bool(
+        o["t"]
+        and (c["t"] == o["t"] or ratio(c["t"], o["t"]) >= (0.72 if near else 0.86) or (c["e"] and c["e"] == o["e"]) or (near and c["e"] and o["e"] and ratio(c["e"], o["e"]) >= 0.78))
+    )
+
+
 def one_by_one(existing, candidates):
     kept = list(existing)
     for c in candidates:
-        if c["t"] and not any(it._same_item(c, o) for o in kept):
+        if c["t"] and not any(same_item(c, o) for o in kept):
             kept.append(c)
     return kept
 
 
-def test_fuzzy_union_equals_the_sequential_rule(spark, monkeypatch):
-    monkeypatch.setattr(it, "ITEMS_PER_BLOCK", 3)
-    texts = ["prepare the budget report", "prepare the budget reports", "call the client on monday", "call client on monday", "hire two engineers", "hire three engineers", "prepare a budget report now", "", "order new chairs", "order new chair"]
-    mk = lambda i, t, ts: (1, i, "task", t, "", ts)
-    existing = [mk(0, texts[0], "00:10"), mk(1, texts[2], "05:00")]
-    cands = [mk(i, t, f"0{i}:00") for i, t in enumerate(texts[1:] + ["hire two engineer"])]
-    schema = "meeting_id int, ord bigint, kind string, text string, evidence string, timestamp string"
-    got = it.fuzzy_union(spark.createDataFrame(existing, schema), spark.createDataFrame(cands, schema)).collect()
-    as_dict = lambda r: {"t": r[3], "e": "", "s": int(r[5][:2]) * 60 + int(r[5][3:])}
-    want = one_by_one([as_dict(r) for r in existing], [as_dict(r) for r in cands])
-    assert sorted(r.text for r in got) == sorted(w["t"] for w in want)
+ITEMS = "meeting_id int, ord bigint, kind string, text string, evidence string, timestamp string"
 
 
-def test_similarity_bounds_never_change_the_verdict():
-    import random
-
+def test_fuzzy_union_equals_the_sequential_rule(spark):
+    texts = ["prepare the budget report", "prepare the budget reports", "call the client on monday", "call client on monday", "hire two engineers", "hire three engineers", "prepare a budget report now", "", "order new chairs", "order new chair"]
+    r = random.Random(4)
+    rows = {0: [], 1: []}
+    for meeting in range(6):
+        for side in (0, 1):
+            for i in range(25):
+                t = list(r.choice(texts))
+                for _ in range(r.randrange(0, 5)):
+                    if t:
+                        t[r.randrange(len(t))] = r.choice("abcdefgh ")
+                e = r.choice(["", "", "we said so at length", "we said so at full length", "nobody said that", "".join(t)[:9]])
+                rows[side].append((meeting, i, r.choice(["task", "decision", "risk", "open_question", "other", None]), "".join(t), e, r.choice([f"0{r.randrange(10)}:{r.randrange(10, 60)}", "", None, "later"])))
+    got = it.fuzzy_union(spark.createDataFrame(rows[0], ITEMS), spark.createDataFrame(rows[1], ITEMS))
+    norm = lambda x: " ".join(re.sub("[^0-9a-z]+", " ", (x or "").lower()).split())
+    secs = lambda x: int(x[:2]) * 60 + int(x[3:]) if x and ":" in x else None
+    item = lambda x: {"m": x[0], "ord": x[1], "t": norm(x[3]), "e": norm(x[4]), "s": secs(x[5])}
+    want = set()
+    for meeting in range(6):
+        old, new = ([item(x) for x in rows[s] if x[0] == meeting] for s in (0, 1))
+        kept = one_by_one(old, new)
+        want |= {(meeting, x["ord"], False) for x in old} | {(meeting, x["ord"], True) for x in kept[len(old) :]}
+    assert {(x.meeting_id, x.ord, x.candidate) for x in got.collect()} == want and got.count() == len(want)
+    places = it.bucketed(got).collect()
+    assert {(x.kind, x.bucket) for x in places} == {("task", "tasks"), ("decision", "decisions"), ("risk", "risks"), ("open_question", "open_questions")}
+    for key in {(x.meeting_id, x.bucket) for x in places}:
+        own = sorted((x.place, x.candidate, x.ord) for x in places if (x.meeting_id, x.bucket) == key)
+        assert [p for p, _, _ in own] == list(range(len(own))) and [x[1:] for x in own] == sorted(x[1:] for x in own)
+    assert it.fuzzy_union(spark.createDataFrame([], ITEMS), spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_similar_pairs_miss_none(spark):
     r = random.Random(1)
-    for _ in range(300):
-        a, b = ("".join(r.choice("ab c") for _ in range(r.randrange(0, 14))) for _ in range(2))
-        for floor in (0.72, 0.86):
-            exact = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
-            assert (it._similar(a, b, floor) >= floor) == (exact >= floor)
+    texts = sorted({"".join(r.choice("ab cd") for _ in range(r.randrange(1, 22))) for _ in range(150)})
+    df = spark.createDataFrame([(1, 0, t) for t in texts], "meeting_id int, zone long, v string")
+    for floor in (0.72, 0.86):
+        got = {(x.a, x.b) for x in it.similar_pairs(df, floor).collect()}
+        assert got == {(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= floor}
 
 
 def test_repeats_match_the_plain_search(spark):
