@@ -191,44 +191,58 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([(similarity(x, y), similarity(y, x)) for x, y in zip(a, b)], columns=["ab", "ba"])
+def _ratios(a: pd.Series, b: pd.Series, first: pd.Series, second: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(similarity(x, y) if p else 0.0, similarity(y, x) if q else 0.0) for x, y, p, q in zip(a, b, first, second)], columns=["ab", "ba"])
+
+
+def _letters(texts: pd.Series) -> pd.Series:
+    def numbered(text: str) -> list[str]:
+        seen: dict[str, int] = {}
+        out = []
+        for c in text:
+            seen[c] = seen.get(c, 0) + 1
+            out.append(f"{c}{seen[c]}")
+        return out
+
+    return texts.map(numbered)
 
 
 def letters(text: Column) -> Column:
     """Every character with its number among equal ones, so that what two texts share is an intersection."""
-    chars = F.array_sort(F.split(text, ""))
-    return F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c) + 2).cast("string")))
+    return F.pandas_udf(_letters, "array<string>")(text)
 
 
 def similar_pairs(values: DataFrame, floor: float) -> DataFrame:
     """``meeting_id``, ``a``, ``b`` (different texts, ``a`` first), ``ab``, ``ba``: pairs whose similarity reaches ``floor`` in one direction.
 
-    ``values`` has ``meeting_id``, ``zone`` and ``v``; texts meet inside a zone.  No similarity exceeds twice the shared characters over all characters, so the least alike two
+    ``values`` has ``meeting_id``, ``zone``, ``v`` and ``asks``: texts meet inside a zone, and a direction counts if its first text asks.  No similarity exceeds twice the shared characters over all characters, so the least alike two
     similar texts of lengths ``n`` and ``m`` share ``floor * (n + m) / 2`` of them.  Sorted by rarity, each text's first ``n - share * n + 1`` characters then hold a common
     one: these are the keys of the join, and only pairs that share enough characters are compared.
     """
     least = floor / (2 - floor)
-    kinds = values.select("meeting_id", "v").distinct().withColumn("ls", letters(F.col("v")))
+    kinds = cut(values.groupBy("meeting_id", "v").agg(F.max("asks").alias("asks")).withColumn("ls", letters(F.col("v"))))
     df = kinds.select(F.explode("ls").alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("df"))
     ranked = kinds.select("meeting_id", "v", F.size("ls").alias("n"), F.explode("ls").alias("l")).join(df, "l")
     order = F.slice(F.array_sort(F.collect_list(F.struct("df", "l"))), 1, (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int"))
     heads = ranked.groupBy("meeting_id", "v", "n").agg(order.alias("head")).select("meeting_id", "v", F.explode("head.l").alias("l"))
-    keyed = values.distinct().join(heads, ["meeting_id", "v"])
+    keyed = values.select("meeting_id", "zone", "v").distinct().join(heads, ["meeting_id", "v"])
     x, y = keyed.withColumnRenamed("v", "a"), keyed.withColumnRenamed("v", "b")
     n, m = F.length("a"), F.length("b")
     met = x.join(y, ["meeting_id", "zone", "l"]).where((F.col("a") < F.col("b")) & (2 * F.least(n, m) >= floor * (n + m))).select("meeting_id", "a", "b").distinct()
     # Letters of both sides come back only to the pairs that met.
-    shared = F.size(F.array_intersect(letters(F.col("a")), letters(F.col("b"))))
-    close = met.where(2 * shared >= floor * (n + m) - 1e-9)
-    close = close.withColumn("r", F.pandas_udf(_ratios, "struct<ab:double,ba:double>")("a", "b"))
+    side = lambda v: kinds.select("meeting_id", F.col("v").alias(v), F.col("ls").alias(f"l{v}"), F.col("asks").alias(f"{v}_asks"))
+    full = met.join(side("a"), ["meeting_id", "a"]).join(side("b"), ["meeting_id", "b"]).where("a_asks or b_asks")
+    close = full.where(2 * F.size(F.array_intersect("la", "lb")) >= floor * (n + m) - 1e-9).select("meeting_id", "a", "b", "a_asks", "b_asks")
+    # Few bytes but much work a row: spread over all cores, whatever their size.
+    close = close.repartition(4 * values.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    close = close.withColumn("r", F.pandas_udf(_ratios, "struct<ab:double,ba:double>")("a", "b", "a_asks", "b_asks"))
     return close.select("meeting_id", "a", "b", "r.ab", "r.ba").where((F.col("ab") >= floor) | (F.col("ba") >= floor))
 
 
 def _zones(items: DataFrame, v: str) -> DataFrame:
     """Texts with the stretches of time they may meet others in: neighbouring ones share a stretch."""
     zone = F.floor(F.col("s") / NEAR_SECONDS)
-    return items.where(F.col("s").isNotNull() & (F.col(v) != "")).select("meeting_id", F.explode(F.array(zone, zone + 1)).alias("zone"), F.col(v).alias("v"))
+    return items.where(F.col("s").isNotNull() & (F.col(v) != "")).select("meeting_id", F.explode(F.array(zone, zone + 1)).alias("zone"), F.col(v).alias("v"), F.col("candidate").alias("asks"))
 
 
 def accept(items: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
@@ -277,7 +291,7 @@ def fuzzy_union(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     # reduced to that one before anything is compared.
     firsts = both.where("t <> ''").groupBy("meeting_id", "t", "e", "s").agg(F.min(F.struct("seq", "candidate")).alias("f"))
     items = cut(firsts.select("meeting_id", "t", F.coalesce("e", F.lit("")).alias("e"), "s", F.col("f.seq").alias("seq"), F.col("f.candidate").alias("candidate")))
-    anywhere = items.select("meeting_id", F.lit(0).cast("long").alias("zone"), F.col("t").alias("v"))
+    anywhere = items.select("meeting_id", F.lit(0).cast("long").alias("zone"), F.col("t").alias("v"), F.col("candidate").alias("asks"))
     found = [(similar_pairs(anywhere, SAME_TEXT), "t"), (similar_pairs(_zones(items, "t"), NEAR_TEXT), "t"), (similar_pairs(_zones(items, "e"), NEAR_EVIDENCE), "e")]
     pairs = cut(reduce(DataFrame.unionByName, [p.withColumn("side", F.lit(side)) for p, side in found]).distinct())
     # Vertices are texts and evidence; an item links its two, a pair links its own.

@@ -105,7 +105,7 @@ def test_fuzzy_union_equals_the_sequential_rule(spark):
 def test_similar_pairs_miss_none(spark):
     r = random.Random(1)
     texts = sorted({"".join(r.choice("ab cd") for _ in range(r.randrange(1, 22))) for _ in range(150)})
-    df = spark.createDataFrame([(1, 0, t) for t in texts], "meeting_id int, zone long, v string")
+    df = spark.createDataFrame([(1, 0, t, True) for t in texts], "meeting_id int, zone long, v string, asks boolean")
     for floor in (0.72, 0.86):
         got = {(x.a, x.b) for x in it.similar_pairs(df, floor).collect()}
         assert got == {(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= floor}
