@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import balltree, components, hilbert, queries, urls, warc
+from parlance.llm import balltree, hilbert, queries, urls, warc
+from parlance.operators import components
 from parlance.session import cut
 
 
