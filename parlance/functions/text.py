@@ -173,9 +173,9 @@ def scoring_normalise(c) -> Column:
 
 
 def compose(c) -> Column:
-    """NFC form.  Rows without combining marks pass through in the JVM; only the rest meet Python."""
+    """NFC form.  Only texts with combining marks travel to Python; of all others a null does, and the text stays."""
     text = _col(c)
-    return F.when(text.rlike(r"[\p{M}ᄀ-ᇿ]"), _nfc_udf()(text)).otherwise(text)
+    return F.coalesce(_nfc_udf()(F.when(text.rlike(r"[\p{M}ᄀ-ᇿ]"), text)), text)
 
 
 def _nfc_udf():
