@@ -129,10 +129,11 @@ def beginning(shape: Shape, counts: np.ndarray) -> np.ndarray:
     return x
 
 
-def _grouped(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct places and the sums of their rows."""
-    kinds, which = np.unique(at, return_inverse=True)
-    return kinds, np.stack([np.bincount(which, weights=rows[:, d], minlength=len(kinds)) for d in range(rows.shape[1])], axis=1)
+def _grouped(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct places, the sums of their rows and how often each occurs."""
+    kinds, which, times = np.unique(at, return_inverse=True, return_counts=True)
+    columns = np.ascontiguousarray(rows.T, np.float64)
+    return kinds, np.stack([np.bincount(which, weights=c, minlength=len(kinds)) for c in columns], axis=1).astype(np.float32), times
 
 
 class Learner:
@@ -157,16 +158,18 @@ class Learner:
         s, x = self.shape, self.x
         q, r, w, p, last = s.starts
         near, far = x[w:p, :DIM], x[p:last, :DIM]
-        q1, q2 = x[one, :DIM], x[two, :DIM]
+        rows = lambda at: np.take(x, at, axis=0)
+        q1, q2 = rows(one)[:, :DIM], rows(two)[:, :DIM]
         h = q1 @ near + q2 @ far
         with_one = np.column_stack([h, np.ones(len(h), np.float32)])
         own = s.class_of(token)
         # Classes: each from NOISE drawn ones that the batch shares.
         drawn = np.minimum(np.searchsorted(self.class_upto, self.rng.random(NOISE)), s.classes - 1)
-        true = (with_one * x[q + own]).sum(axis=1) - self.log_class[own]
-        false = with_one @ x[q + drawn].T - self.log_class[drawn]
+        mine, theirs = rows(q + own), rows(q + drawn)
+        true = np.einsum("bd,bd->b", with_one, mine) - self.log_class[own]
+        false = with_one @ theirs.T - self.log_class[drawn]
         g, gf = 1 / (1 + np.exp(true)), -1 / (1 + np.exp(-false))
-        gh = g[:, None] * x[q + own, :DIM] + gf @ x[q + drawn, :DIM]
+        gh = g[:, None] * mine[:, :DIM] + gf @ theirs[:, :DIM]
         steps = [(np.concatenate([q + own, q + drawn]), np.concatenate([g[:, None] * with_one, gf.T @ with_one]))]
         # Words: each from OWN drawn ones of its class.
         at = np.flatnonzero(token < s.n)
@@ -175,19 +178,16 @@ class Learner:
             begin, finish = self.word_upto[low], self.word_upto[np.minimum(low + s.size, s.n)]
             others = np.searchsorted(self.word_upto, begin[:, None] + self.rng.random((len(at), OWN)) * (finish - begin)[:, None], side="right") - 1
             others = np.minimum(others, s.n - 1)
-            mine = with_one[at]
-            g = 1 / (1 + np.exp((mine * x[r + t]).sum(axis=1) - self.log_word[t]))
-            theirs = x[r + others]
-            gf = -1 / (1 + np.exp(-(np.einsum("bd,bkd->bk", mine, theirs) - self.log_word[others])))
-            gh[at] += g[:, None] * x[r + t, :DIM] + np.einsum("bk,bkd->bd", gf, theirs[:, :, :DIM])
-            steps.append((np.concatenate([r + t, (r + others).reshape(-1)]), np.concatenate([g[:, None] * mine, (gf[:, :, None] * mine[:, None, :]).reshape(-1, DIM + 1)])))
+            context, mine, theirs = np.take(with_one, at, axis=0), rows(r + t), rows(r + others)
+            g = 1 / (1 + np.exp(np.einsum("bd,bd->b", context, mine) - self.log_word[t]))
+            gf = -1 / (1 + np.exp(-(np.einsum("bd,bkd->bk", context, theirs) - self.log_word[others])))
+            gh[at] += g[:, None] * mine[:, :DIM] + np.einsum("bk,bkd->bd", gf, theirs[:, :, :DIM])
+            steps.append((np.concatenate([r + t, (r + others).reshape(-1)]), np.concatenate([g[:, None] * context, (gf[:, :, None] * context[:, None, :]).reshape(-1, DIM + 1)])))
         context = np.concatenate([gh @ near.T, gh @ far.T])
         steps.append((np.concatenate([one, two]), np.column_stack([context, np.zeros(len(context), np.float32)])))
         places = np.zeros((2 * DIM, DIM + 1))
         places[:, :DIM] = np.concatenate([q1.T @ gh, q2.T @ gh])
-        for rows, grads in steps:
-            kinds, sums = _grouped(rows, grads)
-            self.step(kinds, sums, np.bincount(np.searchsorted(kinds, rows), minlength=len(kinds)))
+        self.step(*_grouped(np.concatenate([to for to, _ in steps]), np.concatenate([grads for _, grads in steps])))
         self.step(np.arange(w, last), places, len(token))
 
 
@@ -244,13 +244,17 @@ def log_probabilities(shape: Shape, x: np.ndarray, one: np.ndarray, two: np.ndar
     out = np.zeros(len(token))
     if not len(token):
         return out
-    h = x[one, :DIM] @ x[w:p, :DIM] + x[two, :DIM] @ x[p:last, :DIM]
+    h = np.take(x, one, axis=0)[:, :DIM] @ x[w:p, :DIM] + np.take(x, two, axis=0)[:, :DIM] @ x[p:last, :DIM]
     own = shape.class_of(token)
 
     def chosen(h: np.ndarray, rows: np.ndarray, pick: np.ndarray) -> np.ndarray:
-        z = h @ rows[:, :DIM].T + rows[:, DIM]
-        top = z.max(axis=1)
-        return z[np.arange(len(z)), pick] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+        z = h @ rows[:, :DIM].T
+        z += rows[:, DIM]
+        # One shift for all rows, unless some lie too far from it for their exponentials.
+        top = z.max(axis=1, keepdims=True) if z.max() - z.min() > 60 else z.max()
+        z -= top
+        own = z[np.arange(len(z)), pick]
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
 
     for at in range(0, len(token), BATCH):
         s = slice(at, at + BATCH)
