@@ -220,8 +220,9 @@ def fit(labelled: DataFrame) -> Identifier:
     """Models from ``text`` and ``lang`` of labelled rows: at most ``SAMPLE_ROWS`` different texts a language, those of least hash."""
     known = labelled.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("h"))
     # Only hashes are ranked, and of these only as many as may be chosen: about four times SAMPLE_ROWS a language, each text once.
+    # One row a language, as many as there are models: every task gets them, so no language's rows meet in one task.
     kinds = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("kinds"))
-    low = known.select("lang", "h").join(kinds, "lang").where(F.col("h").cast("double") <= F.least(4.0 * SAMPLE_ROWS / F.col("kinds"), F.lit(1.0)) * 2.0**64 - 2.0**63)
+    low = known.select("lang", "h").join(F.broadcast(kinds), "lang").where(F.col("h").cast("double") <= F.least(4.0 * SAMPLE_ROWS / F.col("kinds"), F.lit(1.0)) * 2.0**64 - 2.0**63)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = low.select("lang", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= SAMPLE_ROWS)
     sample = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h", "rank").agg(F.min("text").alias("text")).cache()
