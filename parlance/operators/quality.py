@@ -17,6 +17,7 @@ KNOWN_CODECS = ["pcm_s16le", "wav", "mp3", "aac", "flac"]
 MIN_CONFIDENCE, VERY_LOW_CONFIDENCE = 0.6, 0.3
 MIN_REPEAT, MAX_REPEAT = 20, 100
 MAX_CHARS_PER_SEC = 200
+MEAN_BLOCK = 4096
 SHORT_ROW_MS, GAP_COUNTED_MS, GAP_MEAN_MS, MIN_SHARE = 300, 1000, 2000, 0.05
 
 
@@ -94,17 +95,24 @@ def dense_text(segments: DataFrame) -> DataFrame:
     return segments.where((dur > 0) & (F.length("text") * 1000 > MAX_CHARS_PER_SEC * dur))
 
 
+def _mean_confidence(segments: DataFrame) -> DataFrame:
+    """Mean confidence per meeting, added up in the order of its segments (blocks of them by themselves): the last digits, and what is rounded from them, don't depend on where rows lie."""
+    known = segments.where("confidence is not null").withColumn("block", F.floor(F.col("ord") / MEAN_BLOCK))
+    added = lambda xs: F.aggregate(F.array_sort(xs), F.lit(0.0), lambda s, x: s + x["x"])
+    blocks = known.groupBy("meeting_id", "block").agg(F.collect_list(F.struct("ord", F.col("confidence").cast("double").alias("x"))).alias("xs")).select("meeting_id", "block", F.size("xs").alias("n"), added("xs").alias("x"))
+    return blocks.groupBy("meeting_id").agg(F.collect_list(F.struct("block", "x")).alias("xs"), F.sum("n").alias("n")).select("meeting_id", (added("xs") / F.col("n")).alias("avg_confidence"))
+
+
 def transcript_quality(meetings: DataFrame, segments: DataFrame) -> DataFrame:
     """A5: confidence, empty text and hallucination checks; meetings without segments score 0."""
     suspects = repeated_text(segments).select("meeting_id").unionByName(dense_text(segments).select("meeting_id")).distinct().withColumn("suspect", F.lit(True))
     blank = tx.strip(F.coalesce("text", F.lit(""))) == ""
     per = segments.groupBy("meeting_id").agg(
-        F.avg("confidence").alias("avg_confidence"),
         F.min("confidence").alias("min_confidence"),
         F.count_if(F.col("confidence") < VERY_LOW_CONFIDENCE).alias("very_low"),
         F.count_if(blank).alias("empty"),
     )
-    df = meetings.select("meeting_id").join(per, "meeting_id", "left").join(suspects, "meeting_id", "left")
+    df = meetings.select("meeting_id").join(per, "meeting_id", "left").join(_mean_confidence(segments), "meeting_id", "left").join(suspects, "meeting_id", "left")
     none = F.col("avg_confidence").isNull()
     low = F.col("avg_confidence") < MIN_CONFIDENCE
     suspect = F.coalesce("suspect", F.lit(False))
@@ -120,7 +128,7 @@ def transcript_quality(meetings: DataFrame, segments: DataFrame) -> DataFrame:
         (~none & ~low & ~suspect).alias("passed"),
         _present(
             _finding(none, "critical", "no segments"),
-            _finding(low, "warning", "low average confidence", F.bround("avg_confidence", 2)),
+            _finding(low, "warning", "low average confidence", F.rint(F.col("avg_confidence") * 100) / 100),
             _finding(suspect, "warning", "repeated or dense text"),
             _finding(F.col("very_low") > 0, "note", "segments with very low confidence", F.col("very_low")),
             _finding(F.col("empty") > 0, "note", "segments without text", F.col("empty")),

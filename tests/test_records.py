@@ -213,3 +213,13 @@ def test_quality_of_missing_meetings(spark):
 def test_dense_index_with_gaps(spark):
     df = spark.createDataFrame([(1, 10), (1, 50_000), (1, 7)], "meeting_id int, ord bigint")
     assert [r.idx for r in dense_index(df, by_position()).orderBy(F.col("ord")).collect()] == [0, 1, 2]
+
+
+def test_mean_confidence_is_added_up_in_order(spark):
+    rows = [(1, o, 0, 1000, "fine text", c) for o, c in ((3, 0.3), (2, 0.2), (1, 0.1))] + [(2, 1, 0, 1000, "fine text", 0.575), (3, 1, 0, 1000, "fine text", None)]
+    seg = spark.createDataFrame(rows, "meeting_id int, ord bigint, start_ms bigint, end_ms bigint, text string, confidence double").coalesce(1)
+    got = {r.meeting_id: r for r in ql.transcript_quality(spark.createDataFrame([(1,), (2,), (3,)], "meeting_id int"), seg).collect()}
+    assert got[1].avg_confidence == (0.1 + 0.2 + 0.3) / 3 != (0.3 + 0.2 + 0.1) / 3
+    # Rounded as SQL does: half to even of the hundredfold, which is 57.49999999999999 here.
+    assert [f.value for f in got[2].findings if f.message == "low average confidence"] == [0.57]
+    assert got[3].avg_confidence is None and got[3].score == 0.0
