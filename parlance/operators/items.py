@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import bisect
+import math
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -184,6 +186,8 @@ def correction_statistics(corrections: DataFrame) -> DataFrame:
 # ---- fuzzy union ------------------------------------------------------------------------------
 # Where an item of each kind is listed.
 BUCKETS = {"decision": "decisions", "task": "tasks", "open_question": "open_questions", "risk": "risks"}
+CELL = 512  # Texts of a class of lengths that meet others as one cell.
+BATCH = 1 << 12  # Texts, with their copies for several cells, that a task holds at once.
 
 
 def similarity(a: str, b: str) -> float:
@@ -195,46 +199,86 @@ def _ratios(a: pd.Series, b: pd.Series, first: pd.Series, second: pd.Series) ->
     return pd.DataFrame([(similarity(x, y) if p else 0.0, similarity(y, x) if q else 0.0) for x, y, p, q in zip(a, b, first, second)], columns=["ab", "ba"])
 
 
-def _letters(texts: pd.Series) -> pd.Series:
-    def numbered(text: str) -> list[str]:
-        seen: dict[str, int] = {}
-        out = []
-        for c in text:
-            seen[c] = seen.get(c, 0) + 1
-            out.append(f"{c}{seen[c]}")
-        return out
-
-    return texts.map(numbered)
-
-
-def letters(text: Column) -> Column:
-    """Every character with its number among equal ones, so that what two texts share is an intersection."""
-    return F.pandas_udf(_letters, "array<string>")(text)
+def common_length(places: dict[str, int], n: int, other: str, least: float) -> int:
+    """Length of the longest common subsequence of ``other`` and a text of ``n`` characters, given by the places of each character as bits; 0 once it cannot reach ``least``."""
+    full = (1 << n) - 1
+    free = full
+    for k in range(0, len(other), 16):
+        for c in other[k : k + 16]:
+            met = free & places.get(c, 0)
+            free = ((free + met) | (free - met)) & full
+        # Every character to come adds one at most.
+        if n - free.bit_count() + max(0, len(other) - k - 16) < least:
+            return 0
+    return n - free.bit_count()
+
+
+def _places(text: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def may_be_similar(rows: pd.DataFrame, floor: float) -> pd.DataFrame:
+    """Pairs of the texts that were sent to the same two cells, without those that share too few characters, or too few in order."""
+    texts, asks, side = rows["v"].tolist(), rows["asks"].to_numpy(bool), rows["side"].to_numpy()
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    kinds, spelled = np.unique(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), return_inverse=True)
+    held = np.bincount(np.repeat(np.arange(len(texts)), size) * len(kinds) + spelled, minlength=len(texts) * len(kinds)).reshape(len(texts), -1).astype(np.int32)
+    met: list[tuple[int, int]] = []
+    for at in rows.groupby(["meeting_id", "zone", "lo", "p", "hi", "q"], sort=False).indices.values():
+        left, right = at[side[at] != 1], at[side[at] != 0]
+        used = np.flatnonzero(held[left].any(axis=0))
+        own = held[np.ix_(right, used)]
+        step = max(1, (1 << 21) // max(1, own.size))
+        for k in range(0, len(left), step):
+            part = left[k : k + step]
+            shared = np.minimum(held[np.ix_(part, used)][:, None, :], own[None, :, :]).sum(axis=2)
+            near = 2 * shared >= floor * (size[part][:, None] + size[right]) - 1e-9
+            near &= (asks[part][:, None] | asks[right]) & ((side[part][:, None] != 2) | (part[:, None] < right))
+            for i, js_ in zip(part.tolist(), near, strict=True):
+                others = right[js_].tolist()
+                if others:
+                    places, n = _places(texts[i]), len(texts[i])
+                    met += [(i, j) for j in others if common_length(places, n, texts[j], floor * (n + len(texts[j])) / 2 - 1e-9)]
+    i, j = np.array(met, np.int64).reshape(-1, 2).T
+    swap = np.fromiter((texts[x] > texts[y] for x, y in met), bool, len(met))
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    v = rows["v"].to_numpy()
+    return pd.DataFrame({"meeting_id": rows["meeting_id"].to_numpy()[i], "a": v[i], "b": v[j], "a_asks": asks[i], "b_asks": asks[j]})
 
 
 def similar_pairs(values: DataFrame, floor: float) -> DataFrame:
     """``meeting_id``, ``a``, ``b`` (different texts, ``a`` first), ``ab``, ``ba``: pairs whose similarity reaches ``floor`` in one direction.
 
-    ``values`` has ``meeting_id``, ``zone``, ``v`` and ``asks``: texts meet inside a zone, and a direction counts if its first text asks.  No similarity exceeds twice the shared characters over all characters, so the least alike two
-    similar texts of lengths ``n`` and ``m`` share ``floor * (n + m) / 2`` of them.  Sorted by rarity, each text's first ``n - share * n + 1`` characters then hold a common
-    one: these are the keys of the join, and only pairs that share enough characters are compared.
+    ``values`` has ``meeting_id``, ``zone``, ``v`` and ``asks``: texts meet inside a zone, and a direction counts if its first text asks.  What two texts match is in order in both, so no similarity
+    exceeds twice their longest common subsequence over all characters, nor twice their shared characters.  Texts travel, not pairs: those of a zone are dealt to cells by length (similar texts lie in
+    the same class of lengths or in neighbouring ones) and, beyond ``CELL`` texts, by hash; each text goes to every cell it may meet, and pairs leave a task only if both bounds allow them.
     """
-    least = floor / (2 - floor)
-    kinds = cut(values.groupBy("meeting_id", "v").agg(F.max("asks").alias("asks")).withColumn("ls", letters(F.col("v"))))
-    df = kinds.select(F.explode("ls").alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("df"))
-    ranked = kinds.select("meeting_id", "v", F.size("ls").alias("n"), F.explode("ls").alias("l")).join(df, "l")
-    order = F.slice(F.array_sort(F.collect_list(F.struct("df", "l"))), 1, (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int"))
-    heads = ranked.groupBy("meeting_id", "v", "n").agg(order.alias("head")).select("meeting_id", "v", F.explode("head.l").alias("l"))
-    keyed = values.select("meeting_id", "zone", "v").distinct().join(heads, ["meeting_id", "v"])
-    x, y = keyed.withColumnRenamed("v", "a"), keyed.withColumnRenamed("v", "b")
-    n, m = F.length("a"), F.length("b")
-    met = x.join(y, ["meeting_id", "zone", "l"]).where((F.col("a") < F.col("b")) & (2 * F.least(n, m) >= floor * (n + m))).select("meeting_id", "a", "b").distinct()
-    # Letters of both sides come back only to the pairs that met.
-    side = lambda v: kinds.select("meeting_id", F.col("v").alias(v), F.col("ls").alias(f"l{v}"), F.col("asks").alias(f"{v}_asks"))
-    full = met.join(side("a"), ["meeting_id", "a"]).join(side("b"), ["meeting_id", "b"]).where("a_asks or b_asks")
-    close = full.where(2 * F.size(F.array_intersect("la", "lb")) >= floor * (n + m) - 1e-9).select("meeting_id", "a", "b", "a_asks", "b_asks")
-    # Few bytes but much work a row: spread over all cores, whatever their size.
-    close = close.repartition(4 * values.sparkSession.sparkContext.defaultParallelism, "a", "b")
+    width = math.log((2 - floor) / floor * (1 + 1e-6))
+    kinds = values.where("v <> ''").groupBy("meeting_id", "v").agg(F.max("asks").alias("asks"))
+    texts = cut(values.select("meeting_id", "zone", "v").distinct().join(kinds, ["meeting_id", "v"]).withColumn("c", F.floor(F.log(F.length("v")) / width).cast("int")))
+    classes = texts.groupBy("meeting_id", "zone", "c").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"), F.count(F.lit(1)).alias("k"))
+    zones = cut(classes.groupBy("meeting_id", "zone").agg(F.sum("k").alias("k"), F.map_from_entries(F.collect_list(F.struct("c", "parts"))).alias("parts")))
+    few = F.col("k") <= CELL
+    placed = texts.join(zones, ["meeting_id", "zone"]).withColumns({"c": F.when(few, 0).otherwise(F.col("c")), "parts": F.when(few, F.create_map(F.lit(0), F.lit(1))).otherwise(F.col("parts"))})
+    parts = lambda c: F.coalesce(F.try_element_at("parts", c), F.lit(0))
+    c, p = F.col("c"), F.col("part")
+    each = lambda c, cell: F.transform(F.slice(F.sequence(F.lit(0), parts(c)), 1, parts(c)), cell)
+    cell = lambda lo, p, hi, q, side: F.struct(lo.alias("lo"), p.alias("p"), hi.alias("hi"), q.alias("q"), side.cast("int").alias("side"))
+    inside = each(c, lambda q: cell(c, F.least(p, q), c, F.greatest(p, q), F.when(p == q, 2).when(p < q, 0).otherwise(1)))
+    longer, shorter = each(c + 1, lambda q: cell(c, p, c + 1, q, F.lit(0))), each(c - 1, lambda q: cell(c - 1, q, c, p, F.lit(1)))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("v"), parts(c)).cast("int"))
+    sent = placed.select("meeting_id", "zone", "v", "asks", F.inline(F.concat(inside, longer, shorter)))
+    # Small zones share a batch: most meetings have a handful of texts.  Few bytes but much work a row: spread over all cores, whatever their size.
+    tasks = 4 * values.sparkSession.sparkContext.defaultParallelism
+    batches = max(tasks, 1 + sent.select("side").count() // BATCH)
+    sent = sent.withColumn("batch", F.pmod(F.xxhash64("meeting_id", "zone", "lo", "p", "hi", "q"), F.lit(batches)))
+    kind = values.schema["meeting_id"].dataType.simpleString()
+    sent = sent.repartition(max(tasks, batches // 16), "batch")
+    close = sent.groupBy("batch").applyInPandas(lambda rows: may_be_similar(rows, floor), f"meeting_id {kind}, a string, b string, a_asks boolean, b_asks boolean").distinct()
+    close = close.repartition(tasks, "a", "b")
     close = close.withColumn("r", F.pandas_udf(_ratios, "struct<ab:double,ba:double>")("a", "b", "a_asks", "b_asks"))
     return close.select("meeting_id", "a", "b", "r.ab", "r.ba").where((F.col("ab") >= floor) | (F.col("ba") >= floor))
 
@@ -246,33 +290,35 @@ def _zones(items: DataFrame, v: str) -> DataFrame:
 
 
 def accept(items: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one component that repeat neither an existing nor an earlier accepted item, in order."""
-    near: dict[str, dict[str, list[tuple[str, float]]]] = {"t": {}, "e": {}}
+    """Candidates of whole components that repeat neither an existing nor an earlier accepted item, in order; components do not decide about each other."""
+    near: dict[tuple, list[tuple[tuple, float]]] = {}
     for p in pairs.itertuples(index=False):
-        near[p.side].setdefault(p.a, []).append((p.b, p.ab))
-        near[p.side].setdefault(p.b, []).append((p.a, p.ba))
-    times: dict[str, dict[str, list[int]]] = {"t": {}, "e": {}}
+        a, b = (p.meeting_id, p.side, p.a), (p.meeting_id, p.side, p.b)
+        near.setdefault(a, []).append((b, p.ab))
+        near.setdefault(b, []).append((a, p.ba))
+    times: dict[tuple, list[int]] = {}
     kept = []
 
-    def close(side: str, v: str, s) -> bool:
-        at = times[side].get(v, [])
+    def close(v: tuple, s) -> bool:
+        at = times.get(v, [])
         k = bisect.bisect_left(at, s - NEAR_SECONDS)
         return k < len(at) and at[k] <= s + NEAR_SECONDS
 
     for r in items.sort_values("seq").itertuples(index=False):
         s = None if pd.isna(r.s) else int(r.s)
+        t, e = (r.meeting_id, "t", r.t), (r.meeting_id, "e", r.e)
         if r.candidate:
-            repeated = r.t in times["t"] or (r.e and r.e in times["e"])
-            repeated = repeated or any(ratio >= SAME_TEXT and v in times["t"] or ratio >= NEAR_TEXT and s is not None and close("t", v, s) for v, ratio in near["t"].get(r.t, []))
-            if repeated or (r.e and s is not None and any(ratio >= NEAR_EVIDENCE and close("e", v, s) for v, ratio in near["e"].get(r.e, []))):
+            repeated = t in times or (r.e and e in times)
+            repeated = repeated or any(ratio >= SAME_TEXT and v in times or ratio >= NEAR_TEXT and s is not None and close(v, s) for v, ratio in near.get(t, []))
+            if repeated or (r.e and s is not None and any(ratio >= NEAR_EVIDENCE and close(v, s) for v, ratio in near.get(e, []))):
                 continue
-            kept.append(int(r.seq))
-        for side, v in (("t", r.t), ("e", r.e)):
-            if v:
-                at = times[side].setdefault(v, [])
+            kept.append((r.meeting_id, int(r.seq)))
+        for v in (t, e):
+            if v[2]:
+                at = times.setdefault(v, [])
                 if s is not None:
                     bisect.insort(at, s)
-    return pd.DataFrame({"seq": pd.Series(kept, dtype="int64")})
+    return pd.DataFrame(kept, columns=["meeting_id", "seq"])
 
 
 def fuzzy_union(existing: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -300,16 +346,13 @@ def fuzzy_union(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     links = links.unionByName(pairs.select(vertex(F.col("side"), "a").alias("u"), vertex(F.col("side"), "b").alias("v")))
     root = components(links)
     own = lambda df, v: df.withColumn("id", v).join(root, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("id", "component")
-    grouped = own(items, vertex(F.lit("t"), "t")).groupBy("meeting_id", "group")
-    beside = own(pairs, vertex(F.col("side"), "a")).groupBy("meeting_id", "group")
+    # Most components are a single item: many share a batch, none is divided.
+    batches = max(4 * items.sparkSession.sparkContext.defaultParallelism, 1 + items.count() // BATCH)
+    batch = F.pmod(F.xxhash64("meeting_id", "group"), F.lit(batches)).alias("batch")
+    grouped = own(items, vertex(F.lit("t"), "t")).withColumn("batch", batch).groupBy("batch")
+    beside = own(pairs, vertex(F.col("side"), "a")).withColumn("batch", batch).groupBy("batch")
     kind = items.schema["meeting_id"].dataType.simpleString()
-
-    def walk(key: tuple, rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        out = accept(rows, near)
-        out.insert(0, "meeting_id", key[0])
-        return out
-
-    kept = grouped.cogroup(beside).applyInPandas(walk, f"meeting_id {kind}, seq long")
+    kept = grouped.cogroup(beside).applyInPandas(accept, f"meeting_id {kind}, seq long")
     accepted = both.where("candidate").join(kept, ["meeting_id", "seq"], "left_semi")
     bucket = reduce(lambda w, b: w.when(F.col("kind") == b[0], b[1]), BUCKETS.items(), F.when(F.lit(False), ""))
     return both.where("not candidate").unionByName(accepted).select(*cols, "candidate", "seq", bucket.alias("bucket"))

@@ -111,6 +111,20 @@ def test_similar_pairs_miss_none(spark):
         assert got == {(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= floor}
 
 
+def test_similar_pairs_of_a_long_meeting_do_not_travel(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choice("etaoin shrdlu") for _ in range(r.randrange(250, 350))) for _ in range(700)]
+    texts += [t[:100] + "xyz" + t[100:] for t in texts[:40]]
+    df = spark.createDataFrame([(1, 0, t, True) for t in texts], "meeting_id int, zone long, v string, asks boolean")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = written()
+    got = {(x.a, x.b) for x in it.similar_pairs(df, 0.72).collect()}
+    # Popular characters of texts from 200 on count as junk, so what is similar is settled by the standard library.
+    want = {tuple(sorted((a, b))) for a, b in zip(texts[:40], texts[700:]) if max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.72}
+    assert got >= want
+    assert written() - before < 40 * sum(map(len, texts))
+
+
 def test_repeats_match_the_plain_search(spark):
     texts = ["xy " * 60, "a" * 150, "no repeats here at all, just a sentence that is long enough to be looked at by the detector, ok?", ("lorem ipsum dolor sit amet " * 3) + "end of it all now and some more"]
     df = spark.createDataFrame([(1, i, 0, 1000, t) for i, t in enumerate(texts)], "meeting_id int, ord int, start_ms int, end_ms int, text string")
