@@ -12,6 +12,7 @@ pieces follow id and start.
 from __future__ import annotations
 
 import os
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -21,14 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.words import chunks, find_words, tidy
+from parlance.llm.words import chunks, prefix_sums, span_hash, split_words, tidy
 from parlance.session import cut
 
 WINDOW = 2048
 STEP = 16  # Width of a length class; a window has WINDOW / STEP units.
 DEPTH = 3
 END_ID = 1
-REMEMBERED = 1 << 18  # Bound of the words a worker remembers.
+REMEMBERED = 1 << 20  # Words that a worker may remember when it begins a chunk; beyond them it forgets all.
+BLOCK = 20_000  # Words of letters that are encoded at a time.
+
+LETTERS, PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
+LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+PUNCTUATION[list(string.punctuation.encode())] = True
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -36,31 +42,40 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 class WordIds:
     """Token ids of words, each distinct word encoded once while a worker remembers it.
 
-    Valid for tokenizers that drop white space, split letters from punctuation, and end the last id of each such piece with ``</w>``: the ids of a text are
-    those of its words in turn.  Words of letters alone (but for one mark behind them) are encoded many at a time and told apart by these ends, or one
-    by one if the ends don't match the words.
+    Valid for tokenizers that drop white space, split letters from punctuation, leave the letters a-z as they are, and end the last id of each such piece
+    with ``</w>``: the ids of a text are those of its words in turn, and those of letters with punctuation behind them are the ids of the two.  Words of
+    letters alone are encoded many at a time and told apart by these ends, or one by one if the ends don't match the words.
+
+    Remembered words are found by their hashes (see ``words``), in an open table: ``slot`` holds the word's number, or -1 where nothing is.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Words of a-z need no normalising and no patterns: the same model, parted at blanks.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {m: self.tokenizer.encode(m.decode(), add_special_tokens=False).ids[0] for m in (b".", b",", b";", b":", b"!", b"?")}
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.key, self.slot = np.zeros(1 << 12, np.uint64), np.full(1 << 12, -1, np.int32)
         self.flat, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.letters = np.zeros(0, bool)
 
     def _learn(self, letters: list[bytes], others: list[bytes]) -> None:
+        """Append the ids of words of lower-case letters and of any others."""
         flat, counts = [], []
-        for at in range(0, len(letters), 20_000):
-            part = letters[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
+        for at in range(0, len(letters), BLOCK):
+            part = letters[at : at + BLOCK]
+            joined = b" ".join(part)
+            coder = self.plain if joined.isascii() else self.tokenizer
+            ids = np.array(coder.encode_batch_fast([joined.decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids])
             if len(ends) == len(part):
                 flat.append(ids)
@@ -70,65 +85,109 @@ class WordIds:
             for e in self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in part], add_special_tokens=False):
                 flat.append(np.array(e.ids, np.uint32))
                 counts.append(np.array([len(e.ids)]))
-        for e in self.tokenizer.encode_batch_fast([o[1:].decode("utf-8") for o in others], add_special_tokens=False) if others else []:
+        for e in self.tokenizer.encode_batch_fast([o.decode("utf-8") for o in others], add_special_tokens=False) if others else []:
             flat.append(np.array(e.ids, np.uint32))
             counts.append(np.array([len(e.ids)]))
-        new = np.concatenate(counts).astype(np.int64)
+        new = np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64)
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(new) - new])
         self.flat, self.count = np.concatenate([self.flat, *flat]), np.concatenate([self.count, new])
-        for i, k in enumerate([*letters, *others], len(self.place)):
-            self.place[k] = i
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in turn and the number of each word."""
-        if len(self.place) + len(words) > REMEMBERED:
-            self.forget()
-        keys, tails, letters, others, place = [], [], {}, {}, self.place
-        for word in words:
-            low = word.lower()
-            mark = self.marks.get(low[-1:], -1)
-            core = low[:-1] if mark >= 0 else low
-            if core in place or core in letters:
-                pass
-            elif core.isalpha() or (not core.isascii() and unicodedata.normalize("NFC", core.decode("utf-8").lower()).isalpha()):
-                letters[core] = True
+        self.letters = np.concatenate([self.letters, np.arange(len(new)) < len(letters)])
+
+    def _seek(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of remembered words, -1 for others."""
+        mask = len(self.slot) - 1
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        number = self.slot[at]
+        left = np.flatnonzero((number >= 0) & (self.key[at] != hashes))
+        while len(left):
+            at[left] = (at[left] + 1) & mask
+            spot = at[left]
+            number[left] = self.slot[spot]
+            left = left[(self.slot[spot] >= 0) & (self.key[spot] != hashes[left])]
+        return number
+
+    def _note(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Enter different hashes that the table lacks."""
+        if 2 * len(self.count) > len(self.slot):
+            used = self.slot >= 0
+            hashes, numbers = np.concatenate([self.key[used], hashes]), np.concatenate([self.slot[used], numbers])
+            size = 1 << int(4 * len(self.count) - 1).bit_length()
+            self.key, self.slot = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        mask = len(self.slot) - 1
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        left = np.arange(len(hashes))
+        while len(left):
+            free = left[self.slot[at[left]] < 0]
+            self.slot[at[free]] = numbers[free]  # of several at one place one stays, the others go on
+            won = self.slot[at[left]] == numbers[left]
+            self.key[at[left[won]]] = hashes[left[won]]
+            left = left[~won]
+            at[left] = (at[left] + 1) & mask
+
+    def of(self, raw: bytes, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the words at these places; those not remembered are learnt."""
+        number = self._seek(hashes)
+        gone = np.flatnonzero(number < 0)
+        if not len(gone):
+            return number
+        _, seen = np.unique(hashes[gone], return_index=True)
+        new = gone[seen]
+        plain, marked, others = [], [], []  # words of a-z, of other letters too, and the rest, with their places in new
+        for i, (a, b) in enumerate(zip(start[new].tolist(), end[new].tolist(), strict=True)):
+            word = raw[a:b].lower()
+            if word.isalpha():
+                plain.append((i, word))
+            elif not word.isascii() and unicodedata.normalize("NFC", word.decode("utf-8").lower()).isalpha():
+                marked.append((i, word))
             else:
-                core, mark = b"\0" + low, -1  # never the spelling of a word of letters
-                if core not in place:
-                    others[core] = True
-            keys.append(core)
-            tails.append(mark)
-        if letters or others:
-            self._learn(list(letters), list(others))
-        at = np.array([place[k] for k in keys], np.int64)
-        tail = np.array(tails, np.int64)
-        counts = self.count[at] + (tail >= 0)
-        ends = np.cumsum(counts)
-        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
-        own = self.count[at]
-        spot = np.repeat(ends - counts, own) + (np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own))
-        out[spot] = self.flat[np.repeat(self.first[at], own) + (np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own))]
-        out[ends[tail >= 0] - 1] = tail[tail >= 0]
-        return out, counts
+                others.append((i, word))
+        known = len(self.count)
+        self._learn([w for _, w in plain], [])
+        self._learn([w for _, w in marked], [w for _, w in others])
+        order = np.array([i for i, _ in (*plain, *marked, *others)], np.int64)
+        self._note(hashes[new][order], np.arange(known, len(self.count), dtype=np.int32))
+        number[gone] = self._seek(hashes[gone])
+        return number
 
 
 _WORKER: dict[str, WordIds] = {}
 
 
+def split_tails(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each word the end of its letters, if only ASCII punctuation follows them; else its end.  Bytes from 128 on count as letters here."""
+    middle = end.copy()
+    at = np.flatnonzero(PUNCTUATION[data[end - 1]])
+    if len(at):
+        stops = np.append(np.flatnonzero(~LETTERS[data]), len(data))
+        stop = stops[np.searchsorted(stops, start[at])]
+        solid = np.append(np.flatnonzero(~PUNCTUATION[data]), len(data))
+        fit = (stop > start[at]) & (solid[np.searchsorted(solid, stop)] >= end[at])
+        middle[at[fit]] = stop[fit]
+    return middle
+
+
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows in turn, each row ended by ``END_ID``, and the first place of each row (one more at the end)."""
     if path not in _WORKER:
         _WORKER[path] = WordIds(path)
-    w = find_words(texts)
-    # Upper case is folded by the tokenizer itself, so words that differ only in the case of A-Z share ids.
-    _, seen, which = np.unique(w.hash, return_index=True, return_inverse=True)
-    raw = w.data.tobytes()
-    flat, counts = _WORKER[path].of([raw[a:b] for a, b in zip(w.start[seen].tolist(), w.end[seen].tolist(), strict=True)])
-    base = np.concatenate([[0], np.cumsum(counts)])
-    n = counts[which]
+    coder = _WORKER[path]
+    if len(coder.count) > REMEMBERED:
+        coder.forget()
+    data, start, end, first = split_words(texts)
+    # Upper case is folded by the tokenizer itself, so words that differ only in the case of A-Z share ids and hashes.
+    total, raw = prefix_sums(data), data.tobytes()
+    middle = split_tails(data, start, end)
+    number = coder.of(raw, start, middle, span_hash(total, start, middle))
+    whole = np.flatnonzero((middle < end) & ~coder.letters[number])  # not letters after all, so what follows may belong to it
+    if len(whole):
+        middle[whole] = end[whole]
+        number[whole] = coder.of(raw, start[whole], end[whole], span_hash(total, start[whole], end[whole]))
+    tails = np.flatnonzero(middle < end)
+    spans = np.insert(number, tails + 1, coder.of(raw, middle[tails], end[tails], span_hash(total, middle[tails], end[tails])))
+    n = coder.count[spans]
     upto = np.concatenate([[0], np.cumsum(n)])
-    ids = flat[np.repeat(base[which] - upto[:-1], n) + np.arange(upto[-1])]
-    bounds = upto[w.first]
+    ids = coder.flat[np.repeat(coder.first[spans] - upto[:-1], n) + np.arange(upto[-1])]
+    bounds = upto[first + np.searchsorted(tails, first)]
     out = np.insert(ids, bounds[1:], END_ID).astype(np.uint32)
     return out, bounds + np.arange(len(bounds))
 

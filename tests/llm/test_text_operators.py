@@ -366,6 +366,42 @@ def test_packing_letters_that_compose_to_letter_and_mark():
     assert coder.count.sum() == len(packing_ids(" ".join([*(f"स{x}क" for x in letters), "hello", "road"])))
 
 
+def test_packing_encodes_letters_and_what_follows_them_once(monkeypatch):
+    monkeypatch.setattr(packing, "_WORKER", {})
+    cores = [f"{a}or{b}" for a in "bcdfgéñß" for b in "lmnpqr"]
+    tails = ["", ".", "!!", "***", ".$$$", ",%%%", "'", "|>"]
+    for case in (str.lower, str.upper):
+        text = " ".join(case(c) + t for c in cores for t in tails)
+        ids, _ = packing.token_ids(packing.pa.array([text]), TOKENIZER)
+        assert ids[:-1].tolist() == packing_ids(text)
+    # Each of the letters in both cases of those beyond a-z, and each tail: not their products.
+    assert len(packing._WORKER[TOKENIZER].count) <= 2 * len(cores) + len(tails)
+
+
+def test_packing_tells_words_with_control_bytes_apart(monkeypatch):
+    monkeypatch.setattr(packing, "_WORKER", {})
+    texts = ["5 \x005 a5. \x00a5. \x00a \x00 a", None, "—. a—. \u0338. é\u0338. ...", "", "<|endoftext|>. a<|endoftext|>| 's a's 's."]
+    for bound in (1 << 20, 0):  # remembered; forgotten before each call
+        monkeypatch.setattr(packing, "REMEMBERED", bound)
+        for _ in range(2):
+            ids, bounds = packing.token_ids(packing.pa.array(texts), TOKENIZER)
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [packing_ids(t or "") + [1] for t in texts]
+
+
+def test_packing_word_table_at_size():
+    coder, rng = packing.WordIds(TOKENIZER), np.random.default_rng(8)
+    known = {}
+    for _ in range(40):
+        letters = rng.integers(97, 101, 6 * 500).astype(np.uint8)
+        start = np.arange(0, len(letters), 6)
+        # Few different low bits: the places that words ask for meet.
+        hashes = np.array([int.from_bytes(letters[a : a + 6].tobytes(), "big") << 10 for a in start], np.uint64)
+        number = coder.of(letters.tobytes(), start, start + 6, hashes)
+        for h, n in zip(hashes.tolist(), number.tolist(), strict=True):
+            assert known.setdefault(h, n) == n
+    assert sorted(known.values()) == list(range(len(coder.count)))
+
+
 def test_plan_uses_up_any_histogram():
     rng = np.random.default_rng(3)
     for _ in range(5):
