@@ -11,6 +11,7 @@ pieces follow id and start.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import string
 import unicodedata
@@ -61,6 +62,7 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -140,7 +142,7 @@ class WordIds:
             elif not word.isascii() and unicodedata.normalize("NFC", word.decode("utf-8").lower()).isalpha():
                 marked.append((i, word))
             else:
-                others.append((i, word))
+                others.append((i, raw[a:b]))
         known = len(self.count)
         self._learn([w for _, w in plain], [])
         self._learn([w for _, w in marked], [w for _, w in others])
@@ -166,6 +168,13 @@ def split_tails(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return middle
 
 
+def places(data: bytes, part: bytes) -> Iterator[int]:
+    at = data.find(part)
+    while at >= 0:
+        yield at
+        at = data.find(part, at + 1)
+
+
 def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows in turn, each row ended by ``END_ID``, and the first place of each row (one more at the end)."""
     if path not in _WORKER:
@@ -177,7 +186,14 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     # Upper case is folded by the tokenizer itself, so words that differ only in the case of A-Z share ids and hashes.
     total, raw = prefix_sums(data), data.tobytes()
     middle = split_tails(data, start, end)
-    number = coder.of(raw, start, middle, span_hash(total, start, middle))
+    hashes = span_hash(total, start, middle)
+    # But added tokens are found before that, as they are spelt: words that hold one in any other case get hashes of their own.
+    low = raw.lower()
+    for i in np.unique(np.searchsorted(start, [at for token in coder.added for at in places(low, token)], "right") - 1).tolist():
+        word = raw[start[i] : end[i]]
+        if word != low[start[i] : end[i]]:
+            hashes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    number = coder.of(raw, start, middle, hashes)
     whole = np.flatnonzero((middle < end) & ~coder.letters[number])  # not letters after all, so what follows may belong to it
     if len(whole):
         middle[whole] = end[whole]

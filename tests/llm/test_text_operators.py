@@ -388,6 +388,15 @@ def test_packing_tells_words_with_control_bytes_apart(monkeypatch):
             assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [packing_ids(t or "") + [1] for t in texts]
 
 
+def test_packing_added_tokens_in_other_cases(monkeypatch):
+    words = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|EndOfText|>", "A<|endoftext|>", "a<|ENDOFTEXT|>", "a<|endoftext|>.", "X5", "x5", "<|startofTEXT|><|startoftext|>"]
+    for order in (words, words[::-1]):
+        monkeypatch.setattr(packing, "_WORKER", {})
+        for texts in ([" ".join(order)], order):
+            ids, bounds = packing.token_ids(packing.pa.array(texts), TOKENIZER)
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [packing_ids(t) + [1] for t in texts]
+
+
 def test_packing_word_table_at_size():
     coder, rng = packing.WordIds(TOKENIZER), np.random.default_rng(8)
     known = {}
