@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.words import chunks, commonest, find_words, mix, runs_hash
+from parlance.llm.words import HALF_CHUNK, chunks, commonest, find_words, mix, runs_hash, tidy
 from parlance.operators.components import components
 from parlance.session import cut
 
@@ -53,7 +53,7 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
 
 def _sample_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, limit=HALF_CHUNK):
             sets = [s >> np.uint64(2) for s in shingle_sets(part.column("text"))]
             if sets:
                 yield pa.record_batch({"key": np.concatenate(sets).view(np.int64)})
@@ -62,9 +62,9 @@ def _sample_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles that at least three documents of the sample hold, the commonest ``HINT_TOKENS``."""
     sample = docs.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(HINT_SHARE)) == 0).select("text")
-    counts = cut(sample.mapInArrow(_sample_shingles, "key long").groupBy("key").count().where("count >= 3"))
-    rows = commonest(counts, "count", HINT_TOKENS)[0].select("key").toPandas()
-    return np.sort(rows["key"].to_numpy(np.int64))
+    counts = cut(sample.mapInArrow(tidy(_sample_shingles), "key long").groupBy("key").count().where("count >= 3"))
+    rows = commonest(counts, "count", HINT_TOKENS)[0].select("key").toArrow()
+    return np.sort(rows["key"].to_numpy())
 
 
 def _heads(frequent: np.ndarray):
@@ -72,7 +72,7 @@ def _heads(frequent: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=HALF_CHUNK):
                 sizes, digests, ends, regions = [], [], [0], []
                 for s in shingle_sets(part.column("text")):
                     keys = (s >> np.uint64(2)).view(np.int64)
@@ -121,14 +121,14 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             at = batch.column("b").to_numpy() - 1
             yield batch.select(["id", "text"]).filter(pa.array((packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
 
-    rows = docs.select("id", "text", spot.alias("b")).mapInArrow(thin, "id long, text string")
+    rows = docs.select("id", "text", spot.alias("b")).mapInArrow(tidy(thin), "id long, text string")
     return rows.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sizes of intersection and union of two texts per row."""
     for batch in batches:
-        for part in chunks(batch, "tx"):
+        for part in chunks(batch, "tx", HALF_CHUNK):
             xs, ys = shingle_sets(part.column("tx")), shingle_sets(part.column("ty"))
             both = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(xs, ys, strict=True)]
             either = [len(a) + len(b) - c for a, b, c in zip(xs, ys, both, strict=True)]
@@ -138,7 +138,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``x``, ``y``, ``both``, ``either`` of pairs, from their texts."""
     tx, ty = texts.select(F.col("id").alias("x"), F.col("text").alias("tx")), texts.select(F.col("id").alias("y"), F.col("text").alias("ty"))
-    return pairs.select("x", "y").join(tx, "x").join(ty, "y").select("x", "y", "tx", "ty").mapInArrow(_compare, "x long, y long, both long, either long")
+    return pairs.select("x", "y").join(tx, "x").join(ty, "y").select("x", "y", "tx", "ty").mapInArrow(tidy(_compare), "x long, y long, both long, either long")
 
 
 LINKED = "100 * both >= 75 * either"
@@ -171,7 +171,7 @@ def _block_links(rows: pd.DataFrame) -> pd.DataFrame:
 def jaccard_components(docs: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
     """``ids``, ``n_shingles`` and ``component_id`` (least id reachable over links of Jaccard similarity 0.75 or more) of every row."""
     docs = docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text"))
-    heads = cut(docs.mapInArrow(_heads(frequent_shingles(docs)), "id long, n long, d0 long, d1 long, regions array<long>"))
+    heads = cut(docs.mapInArrow(tidy(_heads(frequent_shingles(docs))), "id long, n long, d0 long, d1 long, regions array<long>"))
     filled = heads.where("n > 0")
     groups = cut(filled.groupBy("d0", "d1", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     copies = cut(filled.select("id", "d0", "d1", "n").join(groups, ["d0", "d1", "n"]).where("id <> rep").select("id", "rep").distinct())

@@ -134,6 +134,7 @@ def kneser_ney(rows: np.ndarray, counts: np.ndarray, d: float = DISCOUNT) -> Mod
 
 
 SLOTS = 1 << 19
+SCORED = 1 << 19  # Bytes of text counted or scored at once; each takes some 100 in arrays.
 
 
 class Scorer:
@@ -201,7 +202,7 @@ def deviation(ce: np.ndarray, n: np.ndarray, centre) -> np.ndarray:
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, limit=SCORED):
             langs = np.array(part.column("lang").to_pylist(), dtype=object)
             for lang in np.unique(langs.astype(str)):
                 texts = [t for t, own in zip(part.column("text").to_pylist(), langs == lang, strict=True) if own]
@@ -228,20 +229,24 @@ def fit(labelled: DataFrame) -> Identifier:
     sample = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h", "rank").agg(F.min("text").alias("text")).cache()
     try:
         counted = sample.where(F.col("rank") % CALIBRATE_EVERY != 0).select("lang", "text").mapInArrow(tidy(_gram_counts), "lang string, head long, tail long, n long")
-        grams = counted.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n")).toPandas()  # distinct grams of the bounded sample
+        # Distinct grams of the bounded sample; as Arrow columns, since a Row each would take some ten times the memory.
+        grams = counted.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n")).toArrow()
         models = {}
-        for lang, g in grams.groupby("lang"):
+        for lang in sorted(pa.compute.unique(grams["lang"]).to_pylist()):
+            g = grams.filter(pa.compute.equal(grams["lang"], lang))
             head, tail, low = g["head"].to_numpy(), g["tail"].to_numpy(), (1 << 21) - 1
             rows = np.stack([head >> 21, head & low, tail >> 42, tail >> 21 & low, tail & low], axis=1).astype(np.uint32)
-            models[str(lang)] = kneser_ney(rows, g["n"].to_numpy())
+            models[lang] = kneser_ney(rows, g["n"].to_numpy())
         del grams
-        held = sample.where(F.col("rank") % CALIBRATE_EVERY == 0).select("lang", "text").toPandas()
+        held = sample.where(F.col("rank") % CALIBRATE_EVERY == 0).select("lang", "text").toArrow()
     finally:
         sample.unpersist()
     centre, limit = {}, {}
     scorer = Scorer(models)
     for i, lang in enumerate(scorer.names):
-        ce, n = scorer.entropies(held.loc[held["lang"] == lang, "text"].tolist())
+        own = held.filter(pa.compute.equal(held["lang"], lang)).select(["text"]).to_batches()
+        judged = [scorer.entropies(part.column("text").to_pylist()) for batch in own for part in chunks(batch, limit=SCORED)]
+        ce, n = (np.concatenate(x) for x in zip(*judged, strict=True)) if judged else scorer.entropies([])
         ce, n = ce[n > 0, i], n[n > 0]
         centre[lang] = float(np.median(ce)) if len(ce) else 0.0
         limit[lang] = 2.0 * float(deviation(ce, n, centre[lang]).max()) + 0.5 if len(ce) else np.inf
@@ -259,7 +264,7 @@ def identify(docs: DataFrame, found: Identifier, ids: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value.models)
         for batch in batches:
-            for part in chunks(batch, limit=1 << 19):
+            for part in chunks(batch, limit=SCORED):
                 names, score, ce, out = shared.value.judge(scorer, part.column("text").to_pylist())
                 yield pa.record_batch({"id": part.column("id"), "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(score), "cross_entropy": pa.array(ce), "rejected": pa.array(out)})
 

@@ -348,6 +348,6 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("size", "part").orderBy("doc_id", "start", "ids_crc32"))
     ranked = blocked.withColumn("own", own).join(F.broadcast(blocks), ["size", "part"]).withColumn("rank", F.col("before") + F.col("own") - 1)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    placed = ranked.select(*names, "size", "rank").mapInPandas(_assign(tables), PIECES + ", sequence_id long, place long")
+    placed = ranked.select(*names, "size", "rank").mapInPandas(tidy(_assign(tables)), PIECES + ", sequence_id long, place long")
     order = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return placed.withColumn("offset", F.sum("length").over(order) - F.col("length")).drop("place")

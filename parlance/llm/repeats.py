@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.jaccard import texts_of
-from parlance.llm.words import Words, chunks, find_words, mix, runs_hash
+from parlance.llm.words import HALF_CHUNK, Words, chunks, find_words, mix, runs_hash, tidy
 from parlance.session import cut
 
 KEY = 19
@@ -53,7 +53,7 @@ def minimisers(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, limit=HALF_CHUNK):
             w = find_words(part.column("text"))
             at, h = minimisers(w)
             ids = part.column("id").to_numpy()
@@ -63,7 +63,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of all windows of ``LENGTH`` words that hold a seed's key."""
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, limit=HALF_CHUNK):
             w = find_words(part.column("text"))
             h, at = runs_hash(w, LENGTH)
             ids = part.column("id").to_numpy()
@@ -83,11 +83,11 @@ def repeated_spans(docs: DataFrame, ids: str = "doc_id", text: str = "text") ->
     """``ids``, ``start_word``, ``end_word`` (exclusive), ``owner`` (least document that holds a window of it), ``own`` (this document is the owner of
     all its windows) and ``holders`` (occurrences of its commonest window)."""
     docs = docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    seeds = docs.mapInArrow(_seeds, "key long, id long, at int")
+    seeds = docs.mapInArrow(tidy(_seeds), "key long, id long, at int")
     common = cut(seeds.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
     met = cut(seeds.join(common, "key").groupBy("id").agg(F.collect_set("at").alias("seeds")))  # at most one entry per word of the document
     texts = texts_of(docs, met.select("id")).join(met, "id")
-    windows = cut(texts.select("id", "text", "seeds").mapInArrow(_windows, "digest long, id long, start int"))
+    windows = cut(texts.select("id", "text", "seeds").mapInArrow(tidy(_windows), "digest long, id long, start int"))
     runs = windows.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("documents"))
     runs = cut(runs.where("owner < hi").drop("hi"))
     marked = windows.join(runs, "digest").select("id", "start", "owner", (F.col("owner") == F.col("id")).alias("own"), "documents")
@@ -106,7 +106,7 @@ def repeated_spans(docs: DataFrame, ids: str = "doc_id", text: str = "text") ->
 
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in chunks(batch):
+        for part in chunks(batch, limit=HALF_CHUNK):
             w = find_words(part.column("text"))
             data = w.data.tobytes()
             out = []
@@ -127,7 +127,7 @@ def drop_repeats(docs: DataFrame, spans: DataFrame, ids: str = "doc_id", text: s
     """Documents whose repeated spans are cut out except at their owner; a document left without words goes, all others keep their rows and columns."""
     borrowed = cut(spans.where("not own").groupBy(F.col(ids).alias("id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")))
     touched = texts_of(docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text")), borrowed.select("id")).join(borrowed, "id")
-    fresh = cut(touched.select("id", "text", "spans").mapInArrow(_cut_text, "id long, _cut_text_ string").dropDuplicates(["id"]))
+    fresh = cut(touched.select("id", "text", "spans").mapInArrow(tidy(_cut_text), "id long, _cut_text_ string").dropDuplicates(["id"]))
     new = max(docs.columns, key=len) + "_cut"  # no column's name
     fresh = fresh.select(F.col("id").alias(ids), F.col("_cut_text_").alias(new))
     out = docs.join(fresh, ids, "left")
