@@ -31,7 +31,8 @@ STEP = 16  # Width of a length class; a window has WINDOW / STEP units.
 DEPTH = 3
 END_ID = 1
 REMEMBERED = 1 << 20  # Words that a worker may remember when it begins a chunk; beyond them it forgets all.
-BLOCK = 20_000  # Words of letters that are encoded at a time.
+BLOCK = 2_000  # Words of letters that are encoded at a time.
+ENCODED = 1 << 18  # Bytes of text encoded at once.
 
 LETTERS, PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -211,7 +212,7 @@ def token_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def _pieces(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=ENCODED):
                 ids, bounds = token_ids(part.column("text"), path)
                 ids = ids.astype("<u4")
                 rows = [(i, a, min(window, int(hi - lo) - a), int(lo), int(hi - lo)) for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) for a in range(0, int(hi - lo), window)]

@@ -86,7 +86,8 @@ def repeated_spans(docs: DataFrame, ids: str = "doc_id", text: str = "text") ->
     seeds = docs.mapInArrow(tidy(_seeds), "key long, id long, at int")
     common = cut(seeds.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"))
     met = cut(seeds.join(common, "key").groupBy("id").agg(F.collect_set("at").alias("seeds")))  # at most one entry per word of the document
-    texts = texts_of(docs, met.select("id")).join(met, "id")
+    # Shuffled, not broadcast: else two Python nodes share a stage, and each task holds two workers.
+    texts = texts_of(docs, met.select("id")).join(met.hint("merge"), "id")
     windows = cut(texts.select("id", "text", "seeds").mapInArrow(tidy(_windows), "digest long, id long, start int"))
     runs = windows.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("documents"))
     runs = cut(runs.where("owner < hi").drop("hi"))
@@ -126,7 +127,7 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeats(docs: DataFrame, spans: DataFrame, ids: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents whose repeated spans are cut out except at their owner; a document left without words goes, all others keep their rows and columns."""
     borrowed = cut(spans.where("not own").groupBy(F.col(ids).alias("id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans")))
-    touched = texts_of(docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text")), borrowed.select("id")).join(borrowed, "id")
+    touched = texts_of(docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text")), borrowed.select("id")).join(borrowed.hint("merge"), "id")
     fresh = cut(touched.select("id", "text", "spans").mapInArrow(tidy(_cut_text), "id long, _cut_text_ string").dropDuplicates(["id"]))
     new = max(docs.columns, key=len) + "_cut"  # no column's name
     fresh = fresh.select(F.col("id").alias(ids), F.col("_cut_text_").alias(new))
