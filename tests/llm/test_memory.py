@@ -35,7 +35,7 @@ def test_a_task_holds_arrays_of_half_a_megabyte_of_text(name):
         for _ in TASKS[name](iter([batch])):
             pass
 
-    assert peak(work) < 24
+    assert peak(work) < 16
 
 
 def test_tasks_hand_back_their_memory(spark, monkeypatch):
